@@ -53,5 +53,6 @@ def names_mentioned(text, terms_by_name) -> Column:
 
 
 def news_score(count) -> Column:
-    """Three articles an hour are full strength."""
-    return F.least(as_col(count) / F.lit(3.0), F.lit(1.0))
+    """Three articles an hour are full strength; no count is no article."""
+    articles = F.coalesce(as_col(count), F.lit(0))
+    return F.least(articles / F.lit(3.0), F.lit(1.0))

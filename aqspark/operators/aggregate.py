@@ -91,9 +91,9 @@ def dataset_summary(df: DataFrame, value="pm25") -> DataFrame:
 
 
 def null_audit(df: DataFrame) -> DataFrame:
-    """Nulls per column, as rows (column, nulls), from one pass."""
+    """Nulls per column, as rows (field, nulls), from one pass."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    return counts.unpivot([], df.columns, "column", "nulls")
+    return counts.unpivot([], df.columns, "field", "nulls")
 
 
 def first_null_row(df: DataFrame, order=("station", "timestamp")) -> DataFrame:

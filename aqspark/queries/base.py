@@ -32,8 +32,8 @@ DIGITS = 8
 
 def _spark_out(name, kind):
     c = F.col(name)
-    if kind == "f":
-        return (F.round(c.cast("double"), DIGITS) + F.lit(0.0)).alias(name)
+    if kind[0] == "f":
+        return (F.round(c.cast("double"), int(kind[1:] or DIGITS)) + F.lit(0.0)).alias(name)
     if kind == "i":
         return c.cast("bigint").alias(name)
     if kind == "t":
@@ -42,8 +42,8 @@ def _spark_out(name, kind):
 
 
 def _sql_out(name, kind):
-    if kind == "f":
-        return f"round(CAST({name} AS DOUBLE), {DIGITS}) + 0.0 AS {name}"
+    if kind[0] == "f":
+        return f"round(CAST({name} AS DOUBLE), {kind[1:] or DIGITS}) + 0.0 AS {name}"
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "t":
@@ -54,8 +54,8 @@ def _sql_out(name, kind):
 def query(name: str, out: str, sql: str | None = None, views: str = ""):
     """Register a query.
 
-    ``out`` lists the result columns as ``name:kind`` with kind f(loat), i(nteger),
-    t(ime) or s(tring), and shapes both sides alike. ``sql`` is a SELECT; ``views`` names
+    ``out`` lists the result columns as ``name:kind`` with kind f(loat; ``f4`` keeps
+    four digits), i(nteger), t(ime) or s(tring), and shapes both sides alike. ``sql`` is a SELECT; ``views`` names
     the fixture views it needs.
     """
     columns = [tuple(c.split(":")) for c in out.split()]
@@ -220,6 +220,7 @@ FIXTURE = {
 
 
 def haversine_sql(lat1, lon1, lat2, lon2) -> str:
+    lat1, lon1, lat2, lon2 = (f"({x})" for x in (lat1, lon1, lat2, lon2))
     return (f"12742.0 * asin(sqrt(least(greatest("
             f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
             f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2), 0.0), 1.0)))")
