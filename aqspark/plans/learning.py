@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
 from aqspark.operators import ranks, scaling
+from aqspark.operators.aggregate import null_audit
 from aqspark.operators.joins import join_station_ids
 from aqspark.operators.metrics import target_pairs
 from aqspark.operators.segments import over_segments
@@ -23,16 +24,23 @@ class LearningSet:
     scaler: DataFrame        # (feature, center, scale), targets pooled as "target"
 
 
+def null_columns(df: DataFrame, cols) -> list[str]:
+    """Columns with any null: one pass, one row back."""
+    counts = null_audit(df.select(*cols)).filter("nulls > 0").collect()
+    return [r["field"] for r in counts]
+
+
 def prepare(dataset: DataFrame, features=fixed.FEATURES, targets=fixed.TARGETS,
             base=1) -> LearningSet:
     """Split, ids and scales; scales are fitted on the training rows only."""
-    split = ranks.chrono_split(dataset)
+    split = materialise(ranks.chrono_split(dataset))
     train = split.filter(F.col("split") == "train")
     scaler = materialise(scaling.fit_robust(train, features).unionByName(
         scaling.fit_robust_pooled(train, targets)))
     params = scaling.params_on_driver(scaler)
     ids = ranks.station_ids(dataset, base)
-    filled = fill_forward_back(split, [c for c in features])
+    unknown = null_columns(split, features)
+    filled = fill_forward_back(split, unknown) if unknown else split
     scaled = scaling.robust_scale(filled, {c: params[c] for c in features})
     center, scale = params["target"]
     scaled = scaled.withColumns({

@@ -376,13 +376,16 @@ def repaired_sql(cols):
 
 
 REPAIRED = ["pm25_lag72", "temperature_2m", "relative_humidity_2m", "dew_point_2m"]
-# stored as 4-byte floats, so five digits are certain
+STORED_AS_FLOAT = ["pm25", "temperature_2m", "relative_humidity_2m", "dew_point_2m",
+                   "pm25_lag72", "wind_u", "frp_sum", "target_24h"]
 DATASET_OUT = ("station:s timestamp:t pm25:f4 pm25_lag72:f4 temperature_2m:f4 "
                "relative_humidity_2m:f4 dew_point_2m:f4 wind_u:f4 frp_sum:f4 target_24h:f4")
 
 
 @query("m04_dataset", DATASET_OUT, views="hourly weather fires stations",
-       sql=f"SELECT * FROM ({repaired_sql(REPAIRED)})")
+       sql="SELECT station, timestamp, " + ", ".join(
+           f"CAST({c} AS FLOAT) AS {c}" for c in STORED_AS_FLOAT)
+       + f" FROM ({repaired_sql(REPAIRED)})")
 def build_dataset(t):
     out = features.build_dataset(t.hourly(), t.stations(), cell_weather(t), t.fires())
     return out

@@ -1 +1,145 @@
-""" """
+"""Learning sets, scoring and forecast documents: M1, M2, M6, F25, S14."""
+
+from pyspark.sql import functions as F
+
+from aqspark.functions import fixed
+from aqspark.operators import metrics, ranks, scaling
+from aqspark.operators.clean import ensure_columns
+from aqspark.operators.windows import add_targets
+from aqspark.plans import forecast, learning
+from aqspark.queries.base import query
+from aqspark.queries.scalars import bands_sql
+from aqspark.sources import writers
+from aqspark.storage import new_path
+
+W = "WINDOW w AS (PARTITION BY station ORDER BY timestamp)"
+
+
+def rows_with_features(t):
+    """Hour rows with every feature column, most of them constant."""
+    df = t.hourly().withColumns({
+        "is_monsoon": (F.hour("timestamp") % 2).cast("double"),
+        "news_calamity": F.hour("timestamp") / 100.0})
+    return ensure_columns(df, dict.fromkeys(fixed.FEATURES, 0.0))
+
+
+# Every station with 72 rows: newest reading, repeated for all hours ahead
+SCORED = f"""(SELECT station, pm25, timestamp AS ts, round_even(CAST(pm25 AS DECIMAL(18,6)), 1) AS near
+FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY timestamp DESC) AS rn,
+  count(*) OVER (PARTITION BY station) AS n FROM hourly) WHERE rn = 1 AND n >= 72)"""
+
+
+def persistence_documents(t):
+    params = {"pm25": (0.0, 64.0)}
+    load = forecast.persistence(fixed.FEATURES.index("pm25"))
+    return forecast.score(rows_with_features(t), load, params, (0.0, 64.0),
+                          ids=ranks.station_ids(t.hourly()))
+
+
+@query("m01_score", "station:s current_aqi:s data_ts:s steps:i value:f2 aqi:s color:s "
+       "confidence:f", views="hourly", sql=f"""
+SELECT station, {bands_sql('pm25', 2, 'Severe')} AS current_aqi,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS data_ts, 24 AS steps,
+  round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1) AS value,
+  {bands_sql('round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1)', 2, 'Severe')} AS aqi,
+  {bands_sql('round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1)', 4, '[MAROON]')} AS color,
+  0.61 AS confidence FROM {SCORED}""")
+def score(t):
+    docs = persistence_documents(t)
+    last = F.col("forecast")["+24h"]
+    return docs.select("station", "current_aqi", "data_ts", F.size("forecast").alias("steps"),
+                       last["pm25"].alias("value"), last["aqi"].alias("aqi"),
+                       last["aqi_color"].alias("color"), last["confidence"].alias("confidence"))
+
+
+@query("m02_score_all", "station:s forecasts:i lowest:f2 highest:f2", views="hourly", sql=f"""
+SELECT station, 24 AS forecasts, CAST(pm25 AS FLOAT) AS lowest, CAST(pm25 AS FLOAT) AS highest
+FROM {SCORED}""")
+def score_all(t):
+    values = forecast.forecast_values(
+        rows_with_features(t), forecast.persistence(fixed.FEATURES.index("pm25")),
+        {"pm25": (0.0, 64.0)}, (0.0, 64.0))
+    return values.select("station", F.size("forecast").alias("forecasts"),
+                         F.array_min("forecast").alias("lowest"),
+                         F.array_max("forecast").alias("highest"))
+
+
+@query("f25_forecast_document", "station:s step:s arrow:s confidence:f", views="hourly", sql=f"""
+SELECT station, '+' || CAST(h AS VARCHAR) || 'h' AS step,
+  CASE WHEN d > 0 THEN '↑' WHEN d < 0 THEN '↓' ELSE '→' END AS arrow,
+  CASE WHEN h = 7 THEN 0.83 ELSE round_even(0.90::DOUBLE - (h - 1) / 24.0::DOUBLE * 0.30::DOUBLE, 2)
+    END AS confidence
+FROM (SELECT station, unnest(range(1, 25)) AS h, round(near - pm25, 1) AS d FROM {SCORED})""")
+def document(t):
+    return forecast.forecast_rows(persistence_documents(t))
+
+
+@query("f25_document_signals", "station:s signal:s strength:f", views="hourly", sql=f"""
+SELECT station, 'is_monsoon' AS signal, 1 AS strength FROM {SCORED} WHERE hour(ts) % 2 = 1
+UNION ALL SELECT station, 'news_calamity', hour(ts) / 100.0 FROM {SCORED} WHERE hour(ts) > 10""")
+def document_signals(t):
+    docs = persistence_documents(t)
+    return docs.select("station", F.explode("signals").alias("signal", "strength"))
+
+
+@query("s14_write_forecast", "station:s now:f2 later:f2", views="hourly", sql=f"""
+SELECT station, round(pm25, 1) AS now, round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1) AS later
+FROM {SCORED}""")
+def write_forecast(t):
+    path = new_path(t.spark, "forecast")
+    writers.write_forecast(persistence_documents(t), path)
+    schema = "station string, current_pm25 double, forecast map<string, struct<pm25: double>>"
+    return t.spark.read.schema(schema).json(path).select(
+        "station", F.col("current_pm25").alias("now"),
+        F.col("forecast")["+5h"]["pm25"].alias("later"))
+
+
+MODEL_FEATURES = ["pm25", "is_monsoon", "news_calamity"]
+
+
+def learning_set(t):
+    dataset = add_targets(rows_with_features(t).select(
+        "station", "timestamp", *MODEL_FEATURES)).dropna(subset=fixed.TARGETS)
+    return learning.prepare(dataset, MODEL_FEATURES)
+
+
+COMPLETE = f"""(SELECT * FROM (SELECT *, lead(pm25, 24) OVER w AS last FROM hourly {W})
+  WHERE last IS NOT NULL)"""
+SPLIT = f"""(SELECT *, CASE WHEN i < floor(n * 0.70::DOUBLE) THEN 'train'
+  WHEN i < floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY timestamp, station) - 1 AS i,
+    count(*) OVER () AS n FROM {COMPLETE}))"""
+
+
+@query("m06_learning_set", "station:s timestamp:t split:s station_id:i pm25:f", views="hourly",
+       sql=f"""SELECT station, timestamp, split, station_id, (pm25 - mid) / width AS pm25
+FROM {SPLIT} JOIN (SELECT station, row_number() OVER (ORDER BY station) AS station_id
+  FROM (SELECT DISTINCT station FROM {COMPLETE})) USING (station),
+  (SELECT quantile_cont(pm25, 0.5) AS mid, quantile_cont(pm25, 0.75) - quantile_cont(pm25, 0.25)
+   AS width FROM {SPLIT} WHERE split = 'train')""")
+def prepared(t):
+    return learning_set(t).rows
+
+
+@query("m06_learning_sequences", "station:s n:i shortest:i longest:i", views="hourly", sql=f"""
+SELECT station, least(n - 95, greatest(1, 2000 // (SELECT count(*) FROM (SELECT station
+  FROM {COMPLETE} GROUP BY 1 HAVING count(*) >= 96)))) AS n, 72 AS shortest, 72 AS longest
+FROM (SELECT station, count(*) AS n FROM {COMPLETE} GROUP BY 1) WHERE n >= 96""")
+def learning_sequences(t):
+    rows = learning_set(t).rows
+    examples = learning.learning_sequences(rows, MODEL_FEATURES, max_rows=2000)
+    return examples.groupBy("station").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("shortest"),
+        F.max(F.size("x")).alias("longest"))
+
+
+@query("m06_linear_forecast", "horizon:i n:i mae:f4 rmse:f4 r2:f4")
+def linear(t):
+    """Error of the fitted models on the test rows, in reading units."""
+    found = learning_set(t)
+    center, scale = scaling.params_on_driver(found.scaler)["target"]
+    train = found.rows.filter("split = 'train'")
+    models = learning.fit_linear(train, [1, 24], MODEL_FEATURES, max_iter=20)
+    pairs = learning.predict_linear(models, found.rows.filter("split = 'test'"), MODEL_FEATURES)
+    back = scaling.robust_unscale(pairs, dict.fromkeys(["y_true", "y_pred"], (center, scale)))
+    return metrics.horizon_metrics(back)

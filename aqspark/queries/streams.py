@@ -1 +1,105 @@
-""" """
+"""Streams R1–R6 over landed files. What has arrived is processed, then read back.
+
+Hours that may still get late rows stay open, so the SQL twins end where the
+watermark stands: two hours before the newest row.
+"""
+
+from pyspark.sql import functions as F
+
+from aqspark.functions import fixed
+from aqspark.operators.ranks import station_ids
+from aqspark.plans import forecast
+from aqspark.queries.aggregates import FIRE_HOURS, FIRE_OUT
+from aqspark.queries.base import query
+from aqspark.queries.scalars import PLACES, TERMS, mention_sql
+from aqspark.sources import schemas
+from aqspark.sources.readers import stream_readings
+from aqspark.storage import new_path
+from aqspark.streaming import streams
+
+
+def landed(t, df, schema):
+    """A folder of parquet files and the stream that reads it."""
+    path = new_path(t.spark, "landing")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    df.select(*names).write.parquet(path)
+    return stream_readings(t.spark, path, schema)
+
+
+def drained(t, stream):
+    out, state = new_path(t.spark, "stream"), new_path(t.spark, "state")
+    streams.run_available(stream, out, state)
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+@query("s17_stream_readings", "sensor_id:i station:s ts:t pm25:f", views="raw",
+       sql="SELECT sensor_id, station, ts, pm25 FROM raw")
+def readings(t):
+    return drained(t, landed(t, t.raw(), schemas.READINGS))
+
+
+CLOSED = "timestamp + INTERVAL 1 HOUR <= (SELECT max({ts}) - INTERVAL 2 HOUR FROM {source})"
+
+
+@query("r01_stream_hourly_mean", "station:s timestamp:t pm25:f", views="hourly raw",
+       sql=f"SELECT * FROM hourly WHERE {CLOSED.format(ts='ts', source='raw')}")
+def hourly(t):
+    return drained(t, streams.stream_hourly_mean(landed(t, t.raw(), schemas.READINGS)))
+
+
+@query("r02_stream_dedupe", "sensor_id:i station:s ts:t pm25:f", views="raw",
+       sql="SELECT sensor_id, station, ts, pm25 FROM raw")
+def dedupe(t):
+    """Every reading is delivered twice."""
+    twice = t.raw().unionAll(t.raw())
+    return drained(t, streams.stream_dedupe(landed(t, twice, schemas.READINGS)))
+
+
+@query("r03_stream_fire_hours", f"station:s timestamp:t {FIRE_OUT}", views="fires places",
+       sql=f"SELECT * FROM ({FIRE_HOURS.format(places='places')}) "
+           f"WHERE {CLOSED.format(ts='timestamp', source='fires')}")
+def fire_hours(t):
+    fires = landed(t, t.fires(), schemas.FIRE_EVENTS)
+    return drained(t, streams.stream_fire_hours(fires, t.places()))
+
+
+@query("r04_stream_news_counts", "city:s timestamp:t signal:s n:i score:f", views="articles",
+       sql="SELECT *, least(n / 3.0, 1) AS score FROM (" + " UNION ALL ".join(
+           f"SELECT '{c}' AS city, date_trunc('hour', timestamp) AS timestamp, '{s}' AS signal, "
+           f"count(*) AS n FROM articles WHERE {mention_sql(ct)} AND {mention_sql(st)} GROUP BY 2"
+           for c, ct in PLACES.items() for s, st in TERMS.items())
+       + f") WHERE {CLOSED.format(ts='timestamp', source='articles')}")
+def news_counts(t):
+    articles = landed(t, t.articles(), schemas.ARTICLE_ROWS)
+    return drained(t, streams.stream_news_counts(articles, TERMS, PLACES))
+
+
+WINDOW = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station
+  ORDER BY timestamp DESC) AS rn, lag(pm25, 24) OVER (PARTITION BY station ORDER BY timestamp)
+  AS pm25_lag24 FROM hourly WHERE timestamp >= (SELECT date_trunc('hour', max(ts)) FROM raw)
+    - INTERVAL 336 HOUR) WHERE rn <= 72)"""
+
+
+@query("r05_stream_features", "station:s timestamp:t pm25:f pm25_lag24:f", views="hourly raw",
+       sql=f"SELECT * FROM {WINDOW}")
+def features(t):
+    out = new_path(t.spark, "windows")
+    streams.stream_features(
+        landed(t, t.raw(), schemas.READINGS), new_path(t.spark, "sums"), out,
+        new_path(t.spark, "state"), t.stations()).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("r06_stream_score", "station:s later:f2", views="hourly raw", sql=f"""
+SELECT station, round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1) AS later FROM {WINDOW}
+WHERE rn = 1 AND station IN (SELECT station FROM {WINDOW} GROUP BY 1 HAVING count(*) >= 72)""")
+def score(t):
+    out = new_path(t.spark, "documents")
+    load = forecast.persistence(fixed.FEATURES.index("pm25"))
+    streams.stream_score(
+        landed(t, t.raw(), schemas.READINGS), new_path(t.spark, "sums"), out,
+        new_path(t.spark, "state"), t.stations(), load, {"pm25": (0.0, 64.0)}, (0.0, 64.0),
+        ids=station_ids(t.stations())).awaitTermination()
+    schema = "station string, forecast map<string, struct<pm25: double>>"
+    return t.spark.read.schema(schema).json(out).select(
+        "station", F.col("forecast")["+9h"]["pm25"].alias("later"))

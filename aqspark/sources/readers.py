@@ -97,7 +97,8 @@ def read_archive(spark: SparkSession, root, stations=None, start=None, end=None)
     names = [f"_c{i}" for i in range(ARCHIVE_WIDTH)]
     schema = ", ".join(f"{n} string" for n in names) + ", locationid bigint, year int, month int"
     lines = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-             .option("ignoreMissingFiles", True).csv(root))
+             .option("ignoreMissingFiles", True).csv(root)
+             .withColumn("_file", F.col("_metadata.file_path")))
     month = F.col("year") * 12 + F.col("month")
     for bound, keep in ((start, month.__ge__), (end, month.__le__)):
         if bound:
@@ -107,8 +108,7 @@ def read_archive(spark: SparkSession, root, stations=None, start=None, end=None)
         wanted = stations.filter("location_id is not null").select(
             F.col("location_id").alias("locationid")).distinct()
         lines = lines.join(wanted, "locationid", "left_semi")
-    cells = F.array(*names)
-    lines = lines.withColumn("_file", F.col("_metadata.file_path")).withColumn("_cells", cells)
+    lines = lines.withColumn("_cells", F.array(*names))
 
     def place(aliases):
         spots = [F.nullif(F.array_position("_cells", a), F.lit(0)) for a in aliases]
