@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from aqspark.functions.calendar import any_of
 from aqspark.functions.scalars import as_col
 
 
@@ -35,20 +36,29 @@ def is_pm25_archive(parameter) -> Column:
     return F.lower(as_col(parameter)).rlike("pm25|pm2.5")
 
 
-def term_pattern(terms) -> str:
-    """Regular expression for lower-cased text: any term, as whole words."""
-    words = "|".join(re.escape(t.lower()).replace("\\ ", " ") for t in terms)
-    return f"(^|[^a-z0-9])({words})([^a-z0-9]|$)"
+def search_text(text) -> Column:
+    """Lower-cased words with single blanks between and around them.
 
+    Computed once per text, it turns each term into a plain substring search.
+    """
+    words = F.regexp_replace(F.lower(as_col(text)), "[^a-z0-9]+", " ")
+    return F.concat(F.lit(" "), words, F.lit(" "))
 
-def mentions(text, terms) -> Column:
-    return F.lower(as_col(text)).rlike(term_pattern(terms))
 
+def term_words(term: str) -> str:
+    return " " + " ".join(re.findall("[a-z0-9]+", term.lower())) + " "
 
-def names_mentioned(text, terms_by_name) -> Column:
-    """Names from ``{name: terms}`` of which the text holds any term, as an array."""
+
+def mentions(words, terms) -> Column:
+    """True if ``words``, a ``search_text``, holds any of the terms."""
+    words = as_col(words)
+    return any_of(words.contains(term_words(t)) for t in terms)
+
+
+def names_mentioned(words, terms_by_name) -> Column:
+    """Names from ``{name: terms}`` of which ``words`` holds any term, as an array."""
     return F.array_compact(F.array(
-        *[F.when(mentions(text, terms), F.lit(name))
+        *[F.when(mentions(words, terms), F.lit(name))
           for name, terms in terms_by_name.items()]))
 
 

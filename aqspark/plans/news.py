@@ -5,21 +5,24 @@ from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
 from aqspark.functions.calendar import calendar_news
-from aqspark.functions.text import names_mentioned, news_score
+from aqspark.functions.text import names_mentioned, news_score, search_text
 from aqspark.operators.windows import densify_hours, hour_grid
 
 
 def matched_articles(articles: DataFrame, signal_terms=None, city_terms=None) -> DataFrame:
     """One row (city, timestamp, signal) per signal and city an article mentions.
 
-    The text is read once for all terms and dropped before anything is shuffled.
+    The text is normalised once for all terms and dropped before anything is shuffled.
     """
-    signals = names_mentioned("text", signal_terms or fixed.SIGNAL_TERMS)
-    cities = names_mentioned("text", city_terms or fixed.CITY_TERMS)
-    rows = articles.select("timestamp", signals.alias("_signals"), cities.alias("_cities"))
-    return (rows.withColumn("signal", F.explode("_signals"))
-            .withColumn("city", F.explode("_cities"))
-            .select("city", "timestamp", "signal"))
+    signals = names_mentioned("_words", signal_terms or fixed.SIGNAL_TERMS)
+    cities = names_mentioned("_words", city_terms or fixed.CITY_TERMS)
+    words = articles.select("timestamp", search_text("text").alias("_words"))
+    rows = words.select("timestamp", signals.alias("_signals"), cities.alias("_cities"))
+    # plain explode would add a test on the arrays that searches the text once more
+    return (rows.withColumn("signal", F.explode_outer("_signals"))
+            .withColumn("city", F.explode_outer("_cities"))
+            .select("city", "timestamp", "signal")
+            .filter(F.col("signal").isNotNull() & F.col("city").isNotNull()))
 
 
 def article_counts(matched: DataFrame, keys=("city",), signals=fixed.NEWS_SIGNALS) -> DataFrame:

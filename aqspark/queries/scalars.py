@@ -190,7 +190,8 @@ def news_score(t):
 
 
 def mention_sql(terms, body="text"):
-    return f"regexp_matches(lower({body}), '{text.term_pattern(terms)}')"
+    words = f"(' ' || regexp_replace(lower({body}), '[^a-z0-9]+', ' ', 'g') || ' ')"
+    return "(" + " OR ".join(f"contains({words}, '{text.term_words(t)}')" for t in terms) + ")"
 
 
 @query("f15_match_signal", "doc_id:i signal:s city:s",
@@ -199,10 +200,12 @@ def mention_sql(terms, body="text"):
            f"WHERE {mention_sql(st)} AND {mention_sql(ct)}"
            for s, st in TERMS.items() for c, ct in PLACES.items()))
 def match_signal(t):
-    docs = t.table("documents").select(
-        "doc_id", text.names_mentioned("text", TERMS).alias("s"),
-        text.names_mentioned("text", PLACES).alias("c"))
-    return docs.withColumn("signal", F.explode("s")).withColumn("city", F.explode("c"))
+    words = t.table("documents").select("doc_id", text.search_text("text").alias("words"))
+    docs = words.select("doc_id", text.names_mentioned("words", TERMS).alias("s"),
+                        text.names_mentioned("words", PLACES).alias("c"))
+    pairs = docs.withColumn("signal", F.explode_outer("s")).withColumn(
+        "city", F.explode_outer("c"))
+    return pairs.filter("signal is not null and city is not null")
 
 
 @query("f16_floor_hour", "event_id:i hour:t",
