@@ -49,9 +49,14 @@ def segment_table(df: DataFrame, key: str, ts: str, before: int, after: int,
 def split_segments(df: DataFrame, before: int = 0, after: int = 0, key: str = "station",
                    ts: str = "timestamp", rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add ``_seg``, ``_own`` (not a copy), ``_first`` (position of the segment's first
-    row in its station) and ``_total`` (rows of the station)."""
+    row in its station) and ``_total`` (rows of the station).
+
+    The result is spread by station and segment, which the window needs anyway. Said
+    here, Spark cannot take a spread by station alone as good enough.
+    """
     table = segment_table(df, key, ts, before, after, rows)
-    return df.withColumn("_month", F.date_trunc("month", ts)).join(table, [key, "_month"])
+    months = df.withColumn("_month", F.date_trunc("month", ts))
+    return months.join(table, [key, "_month"]).repartition(key, "_seg")
 
 
 def segment_window(key: str = "station", ts: str = "timestamp") -> WindowSpec:

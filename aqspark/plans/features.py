@@ -88,10 +88,10 @@ def build_dataset(readings: DataFrame, stations: DataFrame, weather: DataFrame |
     if news is not None:
         features = join_news(features, news)
         features = project_features(features)
-    complete = drop_incomplete(features)
+    # a station without a position has no use; all else is computed, filled or repaired
+    complete = drop_incomplete(features).dropna(subset=["lat", "lon"])
     # the row gate and the repair both read this twice
-    complete = materialise(complete.dropna(
-        subset=[c for c in complete.columns if c not in REPAIRABLE]))
+    complete = materialise(complete)
     repaired = interpolate(min_records(complete, min_rows), REPAIRABLE, default=0.0)
     return to_float32(project_features(repaired))
 

@@ -92,8 +92,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._open(name)
+        return self._opened[name]
+
+    def _open(self, name):
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
