@@ -37,12 +37,13 @@ def chrono_split(df: DataFrame, train=0.70, val=0.15, ts="timestamp",
                  tie="station") -> DataFrame:
     """Add ``split``: the first rows in time are train, the next val, the rest test.
 
-    Cuts fall at exact row counts. Only hours that a cut divides are ranked, by
-    station; every other hour is decided by the hour counts, of which there are
-    8,784 a year at most.
+    Cuts fall at exact row counts. Clock hours decide for all their rows from the
+    hour counts, of which there are 8,784 a year at most. Only the two hours that a cut
+    divides are ranked, by time and station: one row per station in an hourly table.
     """
-    hours = df.groupBy(ts).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(ts)
+    by_hour = df.withColumn("_hour", F.date_trunc("hour", ts))
+    hours = by_hour.groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_hour")
     everything = Window.partitionBy()
     hours = (hours
              .withColumn("_end", F.sum("_n").over(upto))
@@ -55,16 +56,16 @@ def chrono_split(df: DataFrame, train=0.70, val=0.15, ts="timestamp",
         return (F.when(place < F.col("_cut1"), "train")
                 .when(place < F.col("_cut2"), "val").otherwise("test"))
 
-    hours = hours.select(ts, "_start", "_cut1", "_cut2",
+    hours = hours.select("_hour", "_start", "_cut1", "_cut2",
                          label(F.col("_start")).alias("split"),
                          label(F.col("_end") - 1).alias("_last"))
-    placed = df.join(F.broadcast(hours), ts)
+    # bounded by the calendar, whatever the rows
+    placed = by_hour.join(F.broadcast(hours), "_hour")
     whole = placed.filter(F.col("split") == F.col("_last"))
-    cut = placed.filter(F.col("split") != F.col("_last"))
-    rank = F.row_number().over(Window.partitionBy(ts).orderBy(tie)) - 1
-    cut = cut.withColumn("split", label(F.col("_start") + rank))
-    helpers = ["_start", "_cut1", "_cut2", "_last"]
-    return whole.unionByName(cut).drop(*helpers)
+    divided = placed.filter(F.col("split") != F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy("_hour").orderBy(ts, tie)) - 1
+    divided = divided.withColumn("split", label(F.col("_start") + rank))
+    return whole.unionByName(divided).drop("_hour", "_start", "_cut1", "_cut2", "_last")
 
 
 # --- sampling ------------------------------------------------------------------------
@@ -87,10 +88,26 @@ def cap_for_total(df: DataFrame, total: int, key="station") -> int:
     return max(1, total // max(1, df.select(key).distinct().count()))
 
 
+def _leading(df: DataFrame, n: int, bucket, order) -> DataFrame:
+    """The first ``n`` rows in ``order``, which must refine the order of ``bucket``.
+
+    Bucket counts tell which buckets can hold them; all other rows go before any two
+    tasks exchange rows. There have to be few buckets.
+    """
+    marked = df.withColumn("_bucket", bucket)
+    counts = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
+    wanted = counts.withColumn("_before", before).filter(F.col("_before") < n)
+    kept = marked.join(F.broadcast(wanted.select("_bucket")), "_bucket", "left_semi")
+    return kept.drop("_bucket").orderBy(*order).limit(n)
+
+
 def sample_rows(df: DataFrame, n: int, keys=("station", "timestamp"),
                 seed: int = 42) -> DataFrame:
-    """``n`` repeatable random rows, kept per task before they meet."""
-    return df.orderBy(_draw(keys, seed), *keys).limit(n)
+    """``n`` repeatable random rows: those with the smallest hashes."""
+    draw = _draw(keys, seed)
+    # the upper 16 bits: 65,536 buckets in the order of the hash
+    return _leading(df, n, F.shiftright(draw, 48), [draw, *keys])
 
 
 def epoch_sample(df: DataFrame, n: int, epoch: int,
@@ -103,7 +120,7 @@ def scaler_sample(df: DataFrame, n: int = 200_000, how="random",
                   keys=("station", "timestamp")) -> DataFrame:
     """Rows to fit scalers on: null-free random rows, or the first rows in time."""
     if how == "first":
-        return df.orderBy("timestamp", "station").limit(n)
+        return _leading(df, n, F.date_trunc("hour", "timestamp"), ["timestamp", "station"])
     return sample_rows(df.dropna("any"), n, keys)
 
 

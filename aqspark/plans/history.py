@@ -33,8 +33,8 @@ def merge_history(current: DataFrame, history: DataFrame,
                   priority=("history", "current")) -> DataFrame:
     """Rows of both on their common columns, one per station and hour.
 
-    The archive row wins by default, which is what the original merge does although
-    its description says otherwise; turn ``priority`` round for the described rule.
+    Where both have an hour the archive row wins; turn ``priority`` round for the
+    other rule.
     """
     both = union_common({"current": current, "history": history}, tag="_source")
     return dedupe_by_source(both, ["station", "timestamp"], "_source", priority).drop("_source")
