@@ -14,28 +14,39 @@ def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> Dat
     """Linearly interpolated quantiles of ``value`` per ``key`` (few keys, any rows).
 
     A mergeable sketch brackets each quantile. A second pass counts what lies below
-    the bracket and keeps counts per distinct value only inside it, so what is finally
-    ranked is less than a thousandth of the rows.
+    the brackets and keeps counts per distinct value only inside them, so what is
+    finally ranked is less than a thousandth of the rows per quantile.
     """
     long = long.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     marks = [m for p in probs for m in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = long.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx(value, marks, SKETCH).alias("_marks"))
-    brackets = sketch.select(key, "_n", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col("_marks")[2 * i].alias("lo"),
-                 F.col("_marks")[2 * i + 1].alias("hi")) for i, p in enumerate(probs)
-    ])).alias("_b")).select(key, "_b.*", (F.col("_b.p") * (F.col("_n") - 1)).alias("rank"))
-
-    # len(probs) rows per key, and keys are columns of a table: always small
-    placed = long.join(F.broadcast(brackets), key)
-    side = F.when(F.col(value) < F.col("lo"), -1).when(F.col(value) > F.col("hi"), 1).otherwise(0)
-    inside = F.when(side == 0, F.col(value))
-    counted = (placed.groupBy(key, "p", "rank", side.alias("side"), inside.alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c"), F.min(value).alias("_min"),
-                    F.max(value).alias("_max"))
+    bounds = sketch.select(key, "_n", "_marks")
+
+    # one row per key, and keys are columns of a table: always small
+    placed = long.join(F.broadcast(bounds), key)
+    # per quantile: below (-1), inside (0) or above (1) its bracket
+    sides = F.array(*[
+        F.when(F.col(value) < F.col("_marks")[2 * i], -1)
+        .when(F.col(value) > F.col("_marks")[2 * i + 1], 1).otherwise(0)
+        for i in range(len(probs))])
+    inside = F.when(F.array_contains("_sides", 0), F.col(value))
+    zones = (placed.select(key, "_n", value, sides.alias("_sides"))
+             .groupBy(key, "_n", "_sides", inside.alias("_v"))
+             .agg(F.count(F.lit(1)).alias("_c"), F.min(value).alias("_min"),
+                  F.max(value).alias("_max")))
+    # few rows from here on
+    each = zones.select(key, "_n", "_v", "_c", "_min", "_max",
+                        F.posexplode("_sides").alias("_i", "side"))
+    counted = (each.groupBy(key, "_n", "_i", "side",
+                            F.when(F.col("side") == 0, F.col("_v")).alias("_v"))
+               .agg(F.sum("_c").alias("_c"), F.min("_min").alias("_min"),
+                    F.max("_max").alias("_max"))
                .withColumn("_v", F.when(F.col("side") < 0, F.col("_max"))
-                           .otherwise(F.col("_min"))))
+                           .otherwise(F.col("_min")))
+               .withColumn("p", F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")])
+               .withColumn("rank", F.col("p") * (F.col("_n") - 1)))
     upto = (Window.partitionBy(key, "p").orderBy("side", "_v")
             .rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
