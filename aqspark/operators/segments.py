@@ -47,14 +47,17 @@ def segment_table(df: DataFrame, key: str, ts: str, before: int, after: int,
 
 
 def split_segments(df: DataFrame, before: int = 0, after: int = 0, key: str = "station",
-                   ts: str = "timestamp", rows: int = SEGMENT_ROWS) -> DataFrame:
+                   ts: str = "timestamp", rows: int = SEGMENT_ROWS,
+                   count_from: DataFrame | None = None) -> DataFrame:
     """Add ``_seg``, ``_own`` (not a copy), ``_first`` (position of the segment's first
     row in its station) and ``_total`` (rows of the station).
 
     The result is spread by station and segment, which the window needs anyway. Said
-    here, Spark cannot take a spread by station alone as good enough.
+    here, Spark cannot take a spread by station alone as good enough. ``count_from`` has
+    the same stations and times as ``df`` but is cheaper to count.
     """
-    table = segment_table(df, key, ts, before, after, rows)
+    table = segment_table(df if count_from is None else count_from, key, ts, before, after,
+                          rows)
     months = df.withColumn("_month", F.date_trunc("month", ts))
     return months.join(table, [key, "_month"]).repartition(key, "_seg")
 
@@ -71,10 +74,11 @@ def position(w: WindowSpec) -> Column:
 def over_segments(df: DataFrame, columns: Callable[[WindowSpec], Sequence[Column]],
                   before: int = 0, after: int = 0, key: str = "station",
                   ts: str = "timestamp", rows: int = SEGMENT_ROWS,
-                  keep: Column | None = None) -> DataFrame:
+                  keep: Column | None = None,
+                  count_from: DataFrame | None = None) -> DataFrame:
     """Append row-window columns whose frames reach ``before`` rows back and ``after``
     rows ahead. ``keep`` filters on the new columns and the segment helpers."""
-    parts = split_segments(df, before, after, key, ts, rows)
+    parts = split_segments(df, before, after, key, ts, rows, count_from)
     out = parts.select("*", *columns(segment_window(key, ts))).filter("_own")
     if keep is not None:
         out = out.filter(keep)

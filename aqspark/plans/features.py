@@ -47,22 +47,23 @@ def add_calendar_features(df: DataFrame) -> DataFrame:
 def build_features(readings: DataFrame, stations: DataFrame, weather: DataFrame | None = None,
                    fires: DataFrame | None = None) -> DataFrame:
     """All features and targets for hourly ``readings`` (station, timestamp, pm25, and
-    co-pollutants if known). ``fires`` are hours per station.
+    co-pollutants if known). ``weather`` has one row per cell and hour, ``fires`` one per
+    station and hour.
 
-    Row windows run first, on the four columns they need, in one pass; wide columns
-    are added by joins afterwards.
+    The joins come first, while rows are narrow; the windows then add their many columns
+    where the rows already lie, and nothing wide is shuffled again.
     """
-    windowed = over_segments(
-        readings,
-        lambda w: lag_columns(w) + rolling_columns(w) + [trend_column(w)] + target_columns(w),
-        before=max(fixed.LAGS), after=fixed.HORIZONS)
-    df = join_stations(windowed, stations)
+    df = join_stations(readings, stations)
     if weather is not None:
         df = join_weather(df, weather)
-    df = add_weather_features(df)
     if fires is not None:
         df = join_fires(df, fires)
-    df = ensure_columns(df, dict.fromkeys(fixed.FIRE_MEASURES, 0.0))
+    df = over_segments(
+        df,
+        lambda w: lag_columns(w) + rolling_columns(w) + [trend_column(w)] + target_columns(w),
+        before=max(fixed.LAGS), after=fixed.HORIZONS,
+        count_from=readings.join(stations.select("station"), "station", "left_semi"))
+    df = ensure_columns(add_weather_features(df), dict.fromkeys(fixed.FIRE_MEASURES, 0.0))
     df = add_calendar_features(df).withColumn("aqi_category", aqi_category("pm25"))
     df = ensure_columns(df, dict.fromkeys(fixed.FEATURES, 0.0))
     return project_features(df)
