@@ -36,32 +36,53 @@ def is_pm25_archive(parameter) -> Column:
     return F.lower(as_col(parameter)).rlike("pm25|pm2.5")
 
 
-def search_text(text) -> Column:
-    """Lower-cased words with single blanks between and around them.
+def word_list(text) -> Column:
+    """Lower-cased words of the whole text."""
+    return F.split(F.lower(as_col(text)), "[^a-z0-9]+")
 
-    Computed once per text, it turns each term into a plain substring search.
-    """
-    words = F.regexp_replace(F.lower(as_col(text)), "[^a-z0-9]+", " ")
-    return F.concat(F.lit(" "), words, F.lit(" "))
+
+def _term_words(term: str) -> list[str]:
+    return re.findall("[a-z0-9]+", term.lower())
 
 
-def term_words(term: str) -> str:
-    return " " + " ".join(re.findall("[a-z0-9]+", term.lower())) + " "
+def opening_words(words, *term_lists) -> Column:
+    """Those of ``words`` (a ``word_list``) that any term begins with.
 
+    One hash lookup per word, however many terms there are.
+    """
+    firsts = sorted({_term_words(t)[0] for terms in term_lists for t in terms})
+    return F.array_intersect(as_col(words), F.array(*[F.lit(w) for w in firsts]))
 
-def mentions(words, terms) -> Column:
-    """True if ``words``, a ``search_text``, holds any of the terms."""
-    words = as_col(words)
-    return any_of(words.contains(term_words(t)) for t in terms)
 
+def mentions(words, opening, terms) -> Column:
+    """True if the text holds any of the terms, as whole words.
 
-def names_mentioned(words, terms_by_name) -> Column:
-    """Names from ``{name: terms}`` of which ``words`` holds any term, as an array."""
+    Only texts with the first word of a longer term are searched for all of it.
+    """
+    def one(term):
+        parts = _term_words(term)
+        begun = F.array_contains(as_col(opening), parts[0])
+        if len(parts) == 1:
+            return begun
+        whole = F.concat(F.lit(" "), F.array_join(as_col(words), " "), F.lit(" "))
+        return begun & whole.contains(f" {' '.join(parts)} ")
+    return any_of(one(t) for t in terms)
+
+
+def names_mentioned(words, opening, terms_by_name) -> Column:
+    """Names from ``{name: terms}`` of which the text holds any term, as an array."""
     return F.array_compact(F.array(
-        *[F.when(mentions(words, terms), F.lit(name))
+        *[F.when(mentions(words, opening, terms), F.lit(name))
           for name, terms in terms_by_name.items()]))
 
 
+def with_words(df, text, *terms_by_name):
+    """Add ``_words`` and ``_opening`` of a text column, each computed once per row."""
+    lists = [terms for group in terms_by_name for terms in group.values()]
+    return (df.withColumn("_words", word_list(text))
+            .withColumn("_opening", opening_words("_words", *lists)))
+
+
 def news_score(count) -> Column:
     """Three articles an hour are full strength; no count is no article."""
     articles = F.coalesce(as_col(count), F.lit(0))

@@ -5,19 +5,21 @@ from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
 from aqspark.functions.calendar import calendar_news
-from aqspark.functions.text import names_mentioned, news_score, search_text
+from aqspark.functions.text import names_mentioned, news_score, with_words
 from aqspark.operators.windows import densify_hours, hour_grid
 
 
 def matched_articles(articles: DataFrame, signal_terms=None, city_terms=None) -> DataFrame:
     """One row (city, timestamp, signal) per signal and city an article mentions.
 
-    The text is normalised once for all terms and dropped before anything is shuffled.
+    Each text is split into words once and dropped before anything is shuffled.
     """
-    signals = names_mentioned("_words", signal_terms or fixed.SIGNAL_TERMS)
-    cities = names_mentioned("_words", city_terms or fixed.CITY_TERMS)
-    words = articles.select("timestamp", search_text("text").alias("_words"))
-    rows = words.select("timestamp", signals.alias("_signals"), cities.alias("_cities"))
+    signal_terms = signal_terms or fixed.SIGNAL_TERMS
+    city_terms = city_terms or fixed.CITY_TERMS
+    words = with_words(articles.select("timestamp", "text"), "text", signal_terms, city_terms)
+    rows = words.select(
+        "timestamp", names_mentioned("_words", "_opening", signal_terms).alias("_signals"),
+        names_mentioned("_words", "_opening", city_terms).alias("_cities"))
     # plain explode would add a test on the arrays that searches the text once more
     return (rows.withColumn("signal", F.explode_outer("_signals"))
             .withColumn("city", F.explode_outer("_cities"))

@@ -8,7 +8,7 @@ from aqspark.queries.base import haversine_sql, query
 # Words of the corpus stand for the terms of three signals and two cities.
 TERMS = {
     "news_dust_storm": ["that", "tion"],
-    "news_smog_alert": ["hesh", "there"],
+    "news_smog_alert": ["hesh", "there", "is the"],
     "news_calamity": ["une", "der"],
 }
 PLACES = {"North": ["the", "le"], "South": ["est", "von"]}
@@ -191,7 +191,7 @@ def news_score(t):
 
 def mention_sql(terms, body="text"):
     words = f"(' ' || regexp_replace(lower({body}), '[^a-z0-9]+', ' ', 'g') || ' ')"
-    return "(" + " OR ".join(f"contains({words}, '{text.term_words(t)}')" for t in terms) + ")"
+    return "(" + " OR ".join(f"contains({words}, ' {t} ')" for t in terms) + ")"
 
 
 @query("f15_match_signal", "doc_id:i signal:s city:s",
@@ -200,9 +200,10 @@ def mention_sql(terms, body="text"):
            f"WHERE {mention_sql(st)} AND {mention_sql(ct)}"
            for s, st in TERMS.items() for c, ct in PLACES.items()))
 def match_signal(t):
-    words = t.table("documents").select("doc_id", text.search_text("text").alias("words"))
-    docs = words.select("doc_id", text.names_mentioned("words", TERMS).alias("s"),
-                        text.names_mentioned("words", PLACES).alias("c"))
+    words = text.with_words(t.table("documents").select("doc_id", "text"), "text", TERMS, PLACES)
+    docs = words.select(
+        "doc_id", text.names_mentioned("_words", "_opening", TERMS).alias("s"),
+        text.names_mentioned("_words", "_opening", PLACES).alias("c"))
     pairs = docs.withColumn("signal", F.explode_outer("s")).withColumn(
         "city", F.explode_outer("c"))
     return pairs.filter("signal is not null and city is not null")

@@ -94,9 +94,13 @@ def test_calendar_news_hours(spark):
 
 def test_terms_are_whole_words(column):
     texts = ["GRAP stage 4 in Delhi", "grape harvest", "A dust-storm!", "smog, alert", None, "UP"]
-    words = text.search_text("x")
-    got = column(text.mentions(words, ["GRAP", "dust storm", "smog alert"]), texts, "string")
-    assert got == [True, False, True, True, None, False]
+    terms = ["GRAP", "dust storm", "smog alert", "up"]
+    words = text.word_list("x")
+    got = column(text.mentions(words, text.opening_words(words, terms), terms), texts, "string")
+    assert got == [True, False, True, True, None, True]
+    apart = ["dust and storm", "storm dust", "stardust storm"]
+    assert column(text.mentions(words, text.opening_words(words, terms), terms), apart,
+                  "string") == [False, False, False]
 
 
 def test_slug_and_label(spark):
