@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aqspark.functions import fixed
 from aqspark.storage import materialise
 
 

@@ -67,6 +67,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode="append")
 
 # --- features and forecasts of the stations a batch touches --------------------------------
 
+STORED_SUMS = "station string, timestamp timestamp, total double, n bigint, date date"
+
+
 def _update_store(spark: SparkSession, batch: DataFrame, batch_id: int, store: str,
                   history_hours: int) -> DataFrame:
     """Add a batch to the hour sums and return recent hour means of its stations.
@@ -80,9 +83,9 @@ def _update_store(spark: SparkSession, batch: DataFrame, batch_id: int, store: s
             .withColumn("date", F.to_date("timestamp")))
     own = f"{store}/batch={batch_id}"
     sums.write.mode("overwrite").partitionBy("date").parquet(own)
-    touched = spark.read.parquet(own)
+    touched = spark.read.schema(STORED_SUMS).parquet(own)
     since = touched.agg(F.max("timestamp")).first()[0]
-    stored = spark.read.option("basePath", store).parquet(store)
+    stored = spark.read.schema(STORED_SUMS + ", batch bigint").parquet(store)
     if since is not None:
         oldest = F.lit(since) - F.make_interval(hours=F.lit(history_hours))
         stored = stored.filter((F.col("date") >= F.to_date(oldest))

@@ -88,6 +88,8 @@ def test_a_batch_that_runs_again_replaces_itself(spark, feed, sites):
     handle(batch, 0)
     handle(batch, 0)
     assert seen[0] == seen[1] and len(seen[0]) == 72
+    handle(batch.limit(0), 1)
+    assert seen[2] == set()
 
 
 def test_scores_of_touched_stations(spark, feed, sites):
