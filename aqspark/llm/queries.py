@@ -1,10 +1,16 @@
 """The operators of this package as queries over the given tables, and their SQL twins."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import public_tokenizers
+from aqspark.llm.batches import held_out
 from aqspark.llm.byte_codec import round_trip
+from aqspark.llm.contamination import contamination
+from aqspark.llm.language import identify, learn_languages
+from aqspark.llm.site_lines import drop_boilerplate
 from aqspark.llm.token_counts import count_tokens
+from aqspark.llm.toxicity import learn_toxicity, score_toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -14,6 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def teaching(docs: DataFrame) -> DataFrame:
+    """The rows that a model may learn from."""
+    return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+
+
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn_languages(teaching(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_site_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return drop_boilerplate(docs, F.col("source"), counts=("n_lines", "n_dropped")).select(
+        "doc_id", "text", "n_lines", "n_dropped")
+
+
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = teaching(docs).select("doc_id", "text").join(
+        teaching(labels).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    found = score_toxicity(docs, learn_toxicity(labelled))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "offending")
+
+
+def op6_contamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contamination(docs, items).drop("spans")
+
+
 def op8_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
@@ -22,5 +58,43 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
 
 
-QUERIES = {q.__name__: q for q in (op8_token_counts, op9_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (
+    op2_language, op4_site_lines, op5_toxicity, op6_contamination, op8_token_counts, op9_byte_bpe)}
+
+ORACLES = {
+    "op4_site_lines": """
+        WITH cut AS (SELECT *, string_split(text, chr(10)) AS parts FROM documents),
+        pages AS (SELECT source, text, list_distinct(list_filter(
+                    list_transform(any_value(parts), lambda l: trim(l, ' ')), lambda l: l <> '')) AS keys
+                  FROM cut WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source, text),
+        totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+        counts AS (SELECT source, line, count(*) AS n
+                   FROM (SELECT source, unnest(keys) AS line FROM pages) GROUP BY source, line),
+        often AS (SELECT source, list(line) AS lines FROM counts JOIN totals USING (source)
+                  WHERE n >= 10 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY source),
+        kept AS (SELECT cut.*, CASE WHEN lines IS NULL THEN parts ELSE list_filter(
+                   parts, lambda l: NOT list_contains(lines, trim(l, ' '))) END AS rest
+                 FROM cut LEFT JOIN often USING (source))
+        SELECT doc_id, array_to_string(rest, chr(10)) AS text, coalesce(len(parts), 0) AS n_lines,
+               coalesce(len(parts) - len(rest), 0) AS n_dropped FROM kept""",
+    "op6_contamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words, row_number() OVER () AS r FROM documents),
+        i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[a:a + least(len(words), 10) - 1], ' ') AS w
+               FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS a FROM i WHERE len(words) > 0)),
+        dw AS (SELECT r, a, n, array_to_string(words[a:a + n - 1], ' ') AS w
+               FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS a
+                     FROM d, (SELECT DISTINCT n FROM iw) WHERE len(words) >= n)),
+        f AS (SELECT r, a, n, item_id FROM dw JOIN iw USING (n, w)),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM f) GROUP BY r),
+        g AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM f WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)""",
+}
