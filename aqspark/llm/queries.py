@@ -8,6 +8,7 @@ from aqspark.llm.batches import held_out
 from aqspark.llm.byte_codec import round_trip
 from aqspark.llm.contamination import contamination
 from aqspark.llm.language import identify, learn_languages
+from aqspark.llm.near_copies import near_classes
 from aqspark.llm.site_lines import drop_boilerplate
 from aqspark.llm.token_counts import count_tokens
 from aqspark.llm.toxicity import learn_toxicity, score_toxicity
@@ -58,8 +59,13 @@ def op9_byte_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op10_near_copies(spark, sf_dir):
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
-    op2_language, op4_site_lines, op5_toxicity, op6_contamination, op8_token_counts, op9_byte_bpe)}
+    op2_language, op4_site_lines, op5_toxicity, op6_contamination, op8_token_counts, op9_byte_bpe,
+    op10_near_copies)}
 
 ORACLES = {
     "op4_site_lines": """
