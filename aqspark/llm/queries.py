@@ -9,6 +9,7 @@ from aqspark.llm.byte_codec import round_trip
 from aqspark.llm.contamination import contamination
 from aqspark.llm.language import identify, learn_languages
 from aqspark.llm.near_copies import near_classes
+from aqspark.llm.neighbours import build_index, search
 from aqspark.llm.site_lines import drop_boilerplate
 from aqspark.llm.token_counts import count_tokens
 from aqspark.llm.toxicity import learn_toxicity, score_toxicity
@@ -26,6 +27,11 @@ def teaching(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
 
+def op1_learned_partitions(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors, k=20), vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op2_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn_languages(teaching(docs)))
@@ -64,7 +70,7 @@ def op10_near_copies(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_language, op4_site_lines, op5_toxicity, op6_contamination, op8_token_counts, op9_byte_bpe,
+    op1_learned_partitions, op2_language, op4_site_lines, op5_toxicity, op6_contamination, op8_token_counts, op9_byte_bpe,
     op10_near_copies)}
 
 ORACLES = {
