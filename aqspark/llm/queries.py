@@ -13,6 +13,8 @@ from aqspark.llm.neighbours import build_index, search
 from aqspark.llm.site_lines import drop_boilerplate
 from aqspark.llm.token_counts import count_tokens
 from aqspark.llm.toxicity import learn_toxicity, score_toxicity
+from aqspark.llm.transcripts import learn_transcripts, recover_turns
+from aqspark.llm.wrappers import extract_text
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +40,22 @@ def op2_language(spark, sf_dir):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def raw_transcripts(turns: DataFrame) -> DataFrame:
+    """Transcripts as they are found: by transcript, speakers are marked in one of three ways or not at all."""
+    role, style = F.lower(F.coalesce("role", F.lit(""))), F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    text = F.coalesce("text", F.lit(""))
+    marked = (F.when((style == 0) & (role != ""), F.concat(F.initcap(role), F.lit(": "), text))
+              .when((style == 1) & (role != ""), F.concat(F.lit("### "), F.initcap(role), F.lit(":\n"), text))
+              .when((style == 2) & (role != ""), F.concat(F.lit("["), role, F.lit("] "), text)).otherwise(text))
+    return turns.select("conv_id", "turn", "role", marked.alias("text"))
+
+
+def op3_transcripts(spark, sf_dir):
+    records = raw_transcripts(table(spark, sf_dir, "conversations"))
+    model = learn_transcripts(records.where(~held_out(F.col("conv_id"))))
+    return recover_turns(records.drop("role"), model)
+
+
 def op4_site_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return drop_boilerplate(docs, F.col("source"), counts=("n_lines", "n_dropped")).select(
@@ -57,6 +75,10 @@ def op6_contamination(spark, sf_dir):
     return contamination(docs, items).drop("spans")
 
 
+def op7_wrappers(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
@@ -70,7 +92,7 @@ def op10_near_copies(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_learned_partitions, op2_language, op4_site_lines, op5_toxicity, op6_contamination, op8_token_counts, op9_byte_bpe,
+    op1_learned_partitions, op2_language, op3_transcripts, op4_site_lines, op5_toxicity, op6_contamination, op7_wrappers, op8_token_counts, op9_byte_bpe,
     op10_near_copies)}
 
 ORACLES = {
