@@ -29,8 +29,8 @@ from aqspark.llm.batches import fresh, written
 
 WINDOW = 10
 GRAM = 5
-# rows of a table that may be broadcast: 8 bytes each for fingerprints
-BROADCAST_ROWS = 500_000
+# rows of a table that may be broadcast: fingerprints of 8 bytes, or keys of texts of 16
+BROADCAST_ROWS = 300_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,7 +80,7 @@ def fingerprints(rows: DataFrame, width: int, short: list[int]) -> DataFrame:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the (written) table has few enough rows."""
+    """A broadcast hint, if the (written) table has few enough rows (of a hash or a digest)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -120,7 +120,8 @@ def text_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
 
     # the texts behind the hits, once each
     texts = docs.select(_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(shared.select("text_key").distinct(), "text_key", "left_semi")
+    # few texts are hit as a rule; only if they are many do all texts take part in a shuffle
+    texts = texts.join(_few(written(shared.select("text_key").distinct(), "hit-keys")), "text_key", "left_semi")
     texts = written(texts.groupBy("text_key").agg(F.first("text").alias("text")), "hit-texts")
     texts = texts.select("text_key", words_of(F.col("text")).alias("words"))
     places = []
