@@ -188,7 +188,7 @@ def _sample(rows: DataFrame, n: int, most: int) -> list:
 
 
 def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-                recall: float = 0.97) -> Index | None:
+                recall: float = 0.95) -> Index | None:
     """Learn the parts on a sample and put every vector into its part. None if no vector takes part."""
     spark = rows.sparkSession
     valid = valid_vectors(rows, id_col, vector_col).distinct()
