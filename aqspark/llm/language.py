@@ -169,36 +169,38 @@ def learn_languages(docs: DataFrame, sample_bytes: int = 32_000, text_col: str =
 
 
 def identify(docs: DataFrame, automata: Automata, id_col: str = "doc_id", text_col: str = "text",
-             keep: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, score) of every row, before them the columns of ``keep``.
+             keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(id, lang_pred, score) of every row; with ``keep`` these columns instead of the id, and with ``names`` other
+    names for the two new ones, which must not be among the columns kept.
 
     The score tells how far the winner leads: 1/2 when the two best languages cost the same, towards 1
     when the runner-up costs many times as much, and 1 where only one language is known.
     """
     kept = [F.col(f"`{c}`") for c in (keep or [id_col])]
-    source = docs.select(*kept, letters(F.col(text_col)).alias("__letters"))
-    fields = [f for f in source.schema.fields if f.name != "__letters"]
+    source = docs.select(*kept, letters(F.col(f"`{text_col}`")).alias("__letters"))
+    fields = source.schema.fields[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(automata)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for part, texts in text_steps(batch, "__letters"):
-                names, scores = [], []
+            batch = batch.rename_columns([str(i) for i in range(len(fields))] + ["letters"])
+            for part, texts in text_steps(batch, "letters"):
+                found, scores = [], []
                 bits = phrase_counts([t.encode() for t in texts], own) * own.bits
                 for text, cost in zip(texts, bits, strict=True):
                     if not text or not len(cost):
-                        names.append(UNKNOWN)
+                        found.append(UNKNOWN)
                         scores.append(0.0)
                         continue
                     best = int(np.argmin(cost))
                     rival = np.partition(cost, 1)[1] if len(cost) > 1 else np.inf
-                    names.append(own.languages[best])
+                    found.append(own.languages[best])
                     scores.append(float(rival / (rival + cost[best])) if np.isfinite(rival) else 1.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    [f.name for f in fields] + ["lang_pred", "score"])
+                    [*part.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                    [f.name for f in fields] + [*names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-                       + ["lang_pred string", "score double"])
+                       + [f"`{names[0]}` string", f"`{names[1]}` double"])
     return source.mapInArrow(run, schema)
