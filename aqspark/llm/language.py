@@ -6,7 +6,7 @@ costs as many bits as it takes to point into the labelled text, so counts of lan
 or less text compare. The language needing the fewest bits wins, ties going to the earlier name.
 
 Texts count as lower-case letters with one space between words, as UTF-8. A long text is parsed in
-pieces side by side, each cut at most once more than a parse of the whole; every letter counts.
+pieces side by side, which adds at most one phrase per piece; every letter counts.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without a label, or without
 an id, teach nothing; with no labelled text at all every document is ``und``. Repeated rows give repeated
@@ -113,20 +113,18 @@ def phrase_counts(texts: list[bytes], automata: Automata) -> np.ndarray:
     owner, start, size = owner[order], start[order], size[order]
     # pieces still being read at each place: they come first, longest pieces leading
     reading = np.searchsorted(-size, -np.arange(PIECE), side="left")
-    roots = automata.roots[:, None]
     first = automata.step.reshape(-1, automata.width)[automata.roots]
-    state = np.repeat(roots, len(owner), axis=1)
+    # state 0 reads nothing: before a piece, and behind a byte that a language does not have
+    state = np.zeros((len(automata.roots), len(owner)), "int64")
     phrases = np.zeros(state.shape, "int32")
     for place in range(int(size[0])):
         n = reading[place]
         symbol = symbols[start[:n] + place]
         now = automata.step[state[:, :n] * automata.width + symbol]
-        ends = now == 0
-        phrases[:, :n] += ends
-        again = first[:, symbol]
-        state[:, :n] = np.where(ends, np.where(again == 0, roots, again), now)
-    # the phrase that the end of a piece cuts off counts too
-    np.add.at(total, owner, phrases.T + 1)
+        starts = now == 0
+        phrases[:, :n] += starts
+        state[:, :n] = np.where(starts, first[:, symbol], now)
+    np.add.at(total, owner, phrases.T)
     return total
 
 

@@ -13,7 +13,7 @@ def plain_phrases(text: str, sample: str) -> int:
     n, at = 0, 0
     while at < len(text):
         size = 1
-        while at + size < len(text) and text[at:at + size + 1] in sample and text[at:at + size] in sample:
+        while at + size < len(text) and text[at:at + size + 1] in sample:
             size += 1
         at += size
         n += 1
@@ -42,9 +42,7 @@ def test_phrases_equal_a_plain_parse():
     texts = ["abra lorem", "zzz", "cadabra", "dolor ipsum abra x lorem ipsum", ""]
     found = L.phrase_counts([t.encode() for t in texts], automata)
     for row, text in zip(found, texts, strict=True):
-        # one more per piece for the phrase that the end cuts off
-        want = [plain_phrases(text, SAMPLES[name]) for name in automata.languages]
-        assert all(w <= f <= w + 1 for f, w in zip(row, want, strict=True)), (text, row, want)
+        assert row.tolist() == [plain_phrases(text, SAMPLES[name]) for name in automata.languages]
 
 
 def test_a_long_text_counts_whole():
