@@ -5,15 +5,15 @@ two sets share with the probability of their weighted Jaccard similarity; bands
 pairs together, and each pair is verified by the weighted Jaccard similarity of the whole texts.
 Documents linked by pairs of ``similarity`` or more form a class.
 
-The inverse document frequency lies between 1 (a shingle of every text) and 2 (of one): boilerplate counts
-less, but the few words in which copies differ do not outweigh what they share. Frequencies come from all documents,
+The inverse document frequency lies between 1 (a shingle of every text) and 1.2 (of one): boilerplate counts
+less, but the few words in which copies differ do not outweigh what they share, and a similarity means nearly
+what it means without weights. Frequencies come from all documents,
 in a table of hash buckets of fixed size.
 
 No bucket is expanded into all its pairs. Copies with one text are one node. In every bucket all
 nodes are compared with one leader; where that leaves several components, small buckets compare nodes of
 different components, and large ones compare the rest with the nodes of the largest component that are nearest
-to its leader. What still is apart in a large bucket is divided by the other bands, which a pair above the
-threshold shares almost surely, and there nodes of different components are compared, however many.
+to its leader. What still is apart in a large bucket is compared in blocks inside tasks, which give out links only.
 
 Words are runs of digits, a-z and characters beyond ASCII, after lower-casing. A text of one to four words has one
 shingle. Null texts and texts without a word are in no group: each is a class of its own. The class is named by its smallest id; null ids take part, and
@@ -41,8 +41,8 @@ SMALL = 32
 PIVOTS = 4
 # keys of texts that may be broadcast: 16 bytes each
 BROADCAST_KEYS = 200_000
-# texts that one leader is compared with in one task
-BLOCK = 256
+# texts that one leader is compared with in one group of rows, or that meet as one side of a block
+BLOCK = 128
 
 
 def text_key(text: Column) -> Column:
@@ -54,7 +54,7 @@ def _lowered(text: Column) -> Column:
 
 
 def shingle_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Inverse document frequency per hash bucket, from all documents: 2 - ln(df) / ln(N), at least 1."""
+    """Inverse document frequency per hash bucket, from all documents: 1 + 0.2 (1 - ln(df) / ln(N)), at least 1."""
     def run(batches):
         seen, n = np.zeros(BUCKETS, "int64"), 0
         for batch in batches:
@@ -75,7 +75,7 @@ def shingle_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     out = np.zeros(BUCKETS)
     real = counts[counts["bucket"] >= 0]
     out[real["bucket"].to_numpy("int64")] = np.log(real["n"].to_numpy(float))
-    return np.maximum(2 - out / np.log(total), 1).astype("float32")
+    return np.maximum(1 + 0.2 * (1 - out / np.log(total)), 1).astype("float32")
 
 
 def sketches(docs: DataFrame, weights, text_col: str = "text") -> DataFrame:
@@ -143,6 +143,50 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return written(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "verified")
 
 
+def block_links(left: list, right: list, weights: np.ndarray, least: float) -> pa.RecordBatch:
+    """(a, b, similarity) of the links between two blocks of (node, label, text) with different labels."""
+    out: list[tuple[int, int, float]] = []
+    if left and right:
+        sides = []
+        for block in (left, right):
+            hashes, often, n = shingle_sets([text for _, _, text in block])
+            weight = weights[buckets(hashes)].astype("float64")
+            total = np.bincount(np.repeat(np.arange(len(n)), n), often * weight, minlength=len(n))
+            # a shingle that occurs k times stands as k elements, so common weights are sums
+            which = np.repeat(np.arange(len(hashes)), often)
+            turn = np.arange(len(which)) - np.repeat(np.cumsum(often) - often, often)
+            element = hashes[which] ^ (turn.astype("uint64") * np.uint64(0x9E3779B97F4A7C15))
+            sides.append((element, weight[which], np.repeat(np.arange(len(n)), n)[which], total))
+        (element, weight, row, total), (other, _, column, other_total) = sides
+        shared, first = np.unique(element, return_index=True)
+        shared_weight = weight[first]
+        both = np.isin(shared, other)
+        shared, shared_weight = shared[both], shared_weight[both]
+        common = np.zeros((len(left), len(right)))
+        for start in range(0, len(shared), 4096):
+            part, part_weight = shared[start:start + 4096], shared_weight[start:start + 4096]
+            a, b = (np.zeros((len(block), len(part)), "float32") for block in (left, right))
+            for matrix, elements, owner in ((a, element, row), (b, other, column)):
+                at = np.searchsorted(part, elements)
+                at[at == len(part)] = 0
+                hit = part[at] == elements
+                matrix[owner[hit], at[hit]] = 1
+            common += (a * part_weight.astype("float32")) @ b.T
+        similarity = common / np.maximum(total[:, None] + other_total[None, :] - common, 1e-9)
+        for i, j in zip(*np.nonzero(similarity >= least - 1e-5), strict=True):
+            (node, label, text), (partner, other_label, other_text) = left[i], right[j]
+            if label != other_label:
+                hashes, often, n = shingle_sets([text, other_text])
+                heavy = often * weights[buckets(hashes)].astype("float64")
+                exact = weighted_jaccard(hashes[:n[0]], heavy[:n[0]], hashes[n[0]:], heavy[n[0]:])
+                if exact >= least:
+                    out.append((min(node, partner), max(node, partner), exact))
+    columns = list(zip(*out, strict=True)) if out else [[], [], []]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+        ["a", "b", "similarity"])
+
+
 class _Search:
     """Pairs tested so far, and the components they make."""
 
@@ -162,18 +206,59 @@ class _Search:
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return
-        both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.nodes.select("node", "text_key").join(both, "node")
-        wanted = written(wanted, "wanted")
+        texts = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        self.tested.append(verified(pairs, texts, self.weights))
+        self.labels = written(connected_components(self.links()), "labels")
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, low): the texts of some nodes, each read once."""
+        wanted = written(self.nodes.select("node", "text_key").join(nodes.select("node").distinct(), "node"), "wanted")
         texts = self.docs.select(text_key(F.col(self.text_col)).alias("text_key"), _lowered(F.col(self.text_col)).alias("low"))
         # copies of a text meet only after each task has kept one of them
         if wanted.count() <= BROADCAST_KEYS:
             texts = texts.join(F.broadcast(wanted.select("text_key")), "text_key", "left_semi")
         texts = texts.groupBy("text_key").agg(F.first("low").alias("low"))
-        texts = written(texts.join(wanted, "text_key").select("node", "low"), "pair-texts")
-        self.tested.append(verified(pairs, texts, self.weights))
-        self.labels = connected_components(self.links())
-        self.labels = written(self.labels, "labels")
+        return written(texts.join(wanted, "text_key").select("node", "low"), "pair-texts")
+
+    def compare_blocks(self, members: DataFrame) -> None:
+        """Link what is still apart in large buckets (bucket, node, label, size): every node outside the
+        largest component is compared with all nodes of its bucket.
+
+        Nodes meet in blocks, whose similarities one task computes as products of matrices; only
+        links leave the task.
+        """
+        sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("bucket").agg(
+            F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        n_blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        plan = largest.select("bucket", "main", n_blocks(F.col("n") - F.col("most")).alias("rows"), n_blocks(F.col("n")).alias("columns"))
+        dealt = members.select("bucket", "node", "label").join(plan, "bucket")
+        own = F.xxhash64("node", "bucket")
+        rest = dealt.where("label <> main").select(
+            "bucket", "node", "label", F.lit(0).alias("side"), F.pmod(own, F.col("rows")).cast("int").alias("r"),
+            F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
+        every = dealt.select(
+            "bucket", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"),
+            F.pmod(own, F.col("columns")).cast("int").alias("c"))
+        keys = ["bucket", "r", "c"]
+        rows = rest.union(every.select(rest.columns)).join(self.texts_of(members), "node")
+        rows = rows.select(*keys, "side", "node", "label", "low").repartition(*keys).sortWithinPartitions(*keys, "side")
+        weights, least = self.weights, self.similarity
+
+        def run(batches):
+            key, left, right = None, [], []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    now = (row["bucket"], row["r"], row["c"])
+                    if now != key:
+                        yield block_links(left, right, weights.value, least)
+                        key, left, right = now, [], []
+                    (right if row["side"] else left).append((row["node"], row["label"], row["low"].encode()))
+            yield block_links(left, right, weights.value, least)
+
+        found = written(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "block-links")
+        self.tested.append(found.distinct())
+        self.labels = written(connected_components(self.links()), "labels")
 
     def links(self) -> DataFrame:
         return reduce(DataFrame.union, self.tested).where(F.col("similarity") >= self.similarity).select("a", "b")
@@ -239,11 +324,7 @@ def near_links(docs: DataFrame, similarity: float = 0.8, text_col: str = "text")
 
     apart = written(search.mixed_buckets(large.select("bucket", "node", "total")), "apart")
     if not apart.isEmpty():
-        finer = apart.select("bucket", "node", "total").join(nodes.select("node", "bands"), "node")
-        finer = finer.select("node", "total", F.col("bucket").alias("first"), F.explode("bands").alias("second"))
-        finer = finer.where("first <> second").select("node", "total", F.xxhash64(
-            F.least("first", "second"), F.greatest("first", "second")).alias("bucket")).distinct()
-        search.try_pairs(_across(search.mixed_buckets(finer)).select("a", "b", "total_a", "total_b"))
+        search.compare_blocks(apart)
     labels = search.labels
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).where("false")
