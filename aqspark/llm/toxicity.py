@@ -12,6 +12,7 @@ score is 0. Only the named columns are read, so other columns cannot clash.
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,6 +69,14 @@ def surprise(toxic_docs, clean_docs, n_toxic, n_clean):
     return np.where(toxic_docs * n_clean > clean_docs * n_toxic, g, 0.0)
 
 
+def _spread(numbers, feature, begin):
+    """Features of words given by number, and which of the words each belongs to."""
+    begin, feature = np.frombuffer(begin, "int32"), np.frombuffer(feature, "int32")
+    n = begin[numbers + 1] - begin[numbers]
+    which = np.repeat(np.arange(len(numbers)), n)
+    return feature[begin[numbers][which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], which
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 400, evidence: float = 20.0,
         rate: float = 0.1, shrink: float = 5e-5) -> Model:
     """Full-batch fit of the noisy-or likelihood.
@@ -79,51 +88,48 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, evidence: float
     weights = np.zeros(FEATURES)
     label = np.asarray(labels, "int64")
     n_toxic = int(label.sum())
+    # features of word number w: feature[begin[w]:begin[w + 1]]
     words: dict[str, int] = {}
-    word, ends, of_doc = [], [], []
-    for doc, text in enumerate(texts):
-        for token in [*TOKEN.findall(text.lower()), "."]:
-            ends.append(is_end(token))
-            word.append(-1 if ends[-1] else words.setdefault(token, len(words)))
-            of_doc.append(doc)
+    feature, begin = array("i"), array("i", [0])
+    docs, seen = [], np.zeros((2, FEATURES), "int32")
+    for text, toxic in zip(texts, label, strict=True):
+        numbers = array("i")
+        for token in TOKEN.findall(text.lower()):
+            if is_end(token):
+                numbers.append(-1)
+                continue
+            number = words.setdefault(token, len(words))
+            if number == len(begin) - 1:
+                feature.extend(word_features(token))
+                begin.append(len(feature))
+            numbers.append(number)
+        docs.append(np.array([*numbers, -1], "int32"))
+        own, _ = _spread(np.unique(docs[-1][docs[-1] >= 0]), feature, begin)
+        seen[toxic, np.unique(own)] += 1
     if not words or not 0 < n_toxic < len(label):
         return Model(20.0 if words and n_toxic else -20.0, weights)
-    word, ends, of_doc = np.array(word), np.array(ends), np.array(of_doc)
-    features = [word_features(w) for w in words]
-    size = np.array([len(f) for f in features])
-    begin, feature = np.cumsum(size) - size, np.concatenate(features)
-
-    def spread(of_words):
-        """Features of the words, and which of the words each belongs to."""
-        n = size[of_words]
-        where = np.repeat(np.arange(len(of_words)), n)
-        return feature[begin[of_words][where] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], where
-
-    real = word >= 0
-    pairs = np.unique(word[real] * np.int64(len(texts)) + of_doc[real])
-    found, where = spread(pairs // len(texts))
-    seen = np.unique(found * np.int64(len(texts)) + (pairs % len(texts))[where])
-    toxic_docs = np.bincount(seen // len(texts), label[seen % len(texts)], minlength=FEATURES)
-    clean_docs = np.bincount(seen // len(texts), minlength=FEATURES) - toxic_docs
-    useful = surprise(toxic_docs, clean_docs, n_toxic, len(label) - n_toxic) >= evidence
-
-    starts = instances(ends)
-    held = np.add.reduceat(real, starts, dtype="int64") > 0
-    sentence = np.cumsum(np.isin(np.arange(len(word)), starts)) - 1
-    doc_of = of_doc[starts]
+    useful = surprise(seen[1].astype(float), seen[0].astype(float), n_toxic, len(label) - n_toxic) >= evidence
+
     # where useful features occur: few places, so that a round is cheap
-    helps = np.zeros(len(words), bool)
-    np.logical_or.at(helps, np.repeat(np.arange(len(words)), size), useful[feature])
-    at = np.flatnonzero(real & helps[word])
-    found, where = spread(word[at])
-    where = sentence[at[where]]
-    found, where = found[useful[found]], where[useful[found]]
-    kept, found = np.unique(found, return_inverse=True)
+    found, where, held, doc_of = [], [], [], []
+    total = 0
+    for doc, numbers in enumerate(docs):
+        starts = instances(numbers < 0)
+        held.append(np.add.reduceat(numbers >= 0, starts, dtype="int64") > 0)
+        doc_of.append(np.full(len(starts), doc))
+        at = np.flatnonzero(numbers >= 0)
+        own, which = _spread(numbers[at], feature, begin)
+        which = which[useful[own]]
+        found.append(own[useful[own]])
+        where.append(total + np.searchsorted(starts, at[which], side="right") - 1)
+        total += len(starts)
+    held, doc_of, where = np.concatenate(held), np.concatenate(doc_of), np.concatenate(where)
+    kept, found = np.unique(np.concatenate(found), return_inverse=True)
 
     theta, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     theta[-1] = -4.0
     for step in range(1, rounds + 1):
-        z = np.where(held, theta[-1] + np.bincount(where, theta[found], minlength=len(starts)), -40.0)
+        z = np.where(held, theta[-1] + np.bincount(where, theta[found], minlength=total), -40.0)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         clean = np.bincount(doc_of, softplus(z), minlength=len(texts))
         toxic = np.clip(-np.expm1(-clean), 1e-12, 1)
@@ -187,7 +193,7 @@ class Scorer:
                 for a, b, s in zip(first, nexts, z, strict=True) if s >= np.log(least / (1 - least))]
 
 
-def learn_toxicity(labelled: DataFrame, max_docs: int = 5000, max_bytes: int = 20_000_000,
+def learn_toxicity(labelled: DataFrame, max_docs: int = 5000, max_bytes: int = 16_000_000,
                    text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on a bounded sample: whole texts in the order of a hash, at most ``max_docs`` distinct ones
     with ``max_bytes`` bytes together. A text that is labelled both ways counts as toxic."""
