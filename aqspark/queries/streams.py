@@ -1,5 +1,6 @@
 """Streams R1–R6 over landed files. What has arrived is processed, then read back.
 
+The rows arrive in three files, in the order of time, and every file is a batch of its own.
 Hours that may still get late rows stay open, so the SQL twins end where the
 watermark stands: two hours before the newest row.
 """
@@ -11,19 +12,23 @@ from aqspark.operators.ranks import station_ids
 from aqspark.plans import forecast
 from aqspark.queries.aggregates import FIRE_HOURS, FIRE_OUT
 from aqspark.queries.base import query
+from aqspark.queries.joining import LIVE_OUT, live_sql
 from aqspark.queries.scalars import PLACES, TERMS, mention_sql
 from aqspark.sources import schemas
 from aqspark.sources.readers import stream_readings
-from aqspark.storage import new_path
+from aqspark.storage import folders, new_path
 from aqspark.streaming import streams
 
 
-def landed(t, df, schema):
-    """A folder of parquet files and the stream that reads it."""
+def landed(t, df, schema, ts="ts"):
+    """A folder of three parquet files and the stream that reads one after the other."""
     path = new_path(t.spark, "landing")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    df.select(*names).write.parquet(path)
-    return stream_readings(t.spark, path, schema)
+    seconds = F.unix_timestamp(ts)
+    third, rest = df.select(seconds.cast("double").alias("s")).approxQuantile("s", [1 / 3, 2 / 3], 0.01)
+    for part in (seconds <= third, (seconds > third) & (seconds <= rest), seconds > rest):
+        df.filter(part).select(*names).coalesce(1).write.mode("append").parquet(path)
+    return stream_readings(t.spark, path, schema, files_per_trigger=1)
 
 
 def drained(t, stream):
@@ -59,7 +64,7 @@ def dedupe(t):
        sql=f"SELECT * FROM ({FIRE_HOURS.format(places='places')}) "
            f"WHERE {CLOSED.format(ts='timestamp', source='fires')}")
 def fire_hours(t):
-    fires = landed(t, t.fires(), schemas.FIRE_EVENTS)
+    fires = landed(t, t.fires(), schemas.FIRE_EVENTS, "timestamp")
     return drained(t, streams.stream_fire_hours(fires, t.places()))
 
 
@@ -70,36 +75,51 @@ def fire_hours(t):
            for c, ct in PLACES.items() for s, st in TERMS.items())
        + f") WHERE {CLOSED.format(ts='timestamp', source='articles')}")
 def news_counts(t):
-    articles = landed(t, t.articles(), schemas.ARTICLE_ROWS)
+    articles = landed(t, t.articles(), schemas.ARTICLE_ROWS, "timestamp")
     return drained(t, streams.stream_news_counts(articles, TERMS, PLACES))
 
 
-WINDOW = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station
-  ORDER BY timestamp DESC) AS rn, lag(pm25, 24) OVER (PARTITION BY station ORDER BY timestamp)
-  AS pm25_lag24 FROM hourly WHERE timestamp >= (SELECT date_trunc('hour', max(ts)) FROM raw)
-    - INTERVAL 336 HOUR) WHERE rn <= 72)"""
+def ahead(t):
+    """Readings of which one station's clock runs two months ahead."""
+    return t.raw().withColumn("ts", F.when(
+        F.col("station") == "st_1", F.col("ts") + F.expr("INTERVAL 60 DAYS")).otherwise(F.col("ts")))
 
 
-@query("r05_stream_features", "station:s timestamp:t pm25:f pm25_lag24:f", views="hourly raw",
-       sql=f"SELECT * FROM {WINDOW}")
+# every station's newest rows, however far its clock is from that of others
+AHEAD = """(SELECT station, date_trunc('hour', ts) AS timestamp, avg(pm25) AS pm25 FROM (
+  SELECT station, pm25, CASE WHEN station = 'st_1' THEN ts + INTERVAL 60 DAY ELSE ts END AS ts FROM raw)
+  GROUP BY ALL HAVING avg(pm25) BETWEEN 0 AND 1500)"""
+NEWEST = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station
+  ORDER BY timestamp DESC) AS rn FROM {AHEAD}) WHERE rn <= 72)"""
+
+
+@query("r05_stream_features", LIVE_OUT, views="raw stations", sql=live_sql(AHEAD))
 def features(t):
     out = new_path(t.spark, "windows")
     streams.stream_features(
-        landed(t, t.raw(), schemas.READINGS), new_path(t.spark, "sums"), out,
+        landed(t, ahead(t), schemas.READINGS), new_path(t.spark, "sums"), out,
         new_path(t.spark, "state"), t.stations()).awaitTermination()
-    return t.spark.read.parquet(out)
+    kinds = {"station": "string", "timestamp": "timestamp"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in ["station", "timestamp", *fixed.FEATURES])
+    return streams.latest_rows(t.spark, out, stored_schema(t.spark, out, schema))
+
+
+def stored_schema(spark, out, default):
+    """Schema of a written table; the default if nothing was written."""
+    parts = [p for p in folders(spark, out) if p.startswith("bucket=")]
+    return spark.read.parquet(out).drop("bucket", "version").schema if parts else default
 
 
-@query("r06_stream_score", "station:s later:f2", views="hourly raw", sql=f"""
-SELECT station, round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1) AS later FROM {WINDOW}
-WHERE rn = 1 AND station IN (SELECT station FROM {WINDOW} GROUP BY 1 HAVING count(*) >= 72)""")
+@query("r06_stream_score", "station:s later:f2", views="raw", sql=f"""
+SELECT station, round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1) AS later FROM {NEWEST}
+WHERE rn = 1 AND station IN (SELECT station FROM {NEWEST} GROUP BY 1 HAVING count(*) >= 72)""")
 def score(t):
     out = new_path(t.spark, "documents")
     load = forecast.persistence(fixed.FEATURES.index("pm25"))
     streams.stream_score(
-        landed(t, t.raw(), schemas.READINGS), new_path(t.spark, "sums"), out,
+        landed(t, ahead(t), schemas.READINGS), new_path(t.spark, "sums"), out,
         new_path(t.spark, "state"), t.stations(), load, {"pm25": (0.0, 64.0)}, (0.0, 64.0),
         ids=station_ids(t.stations())).awaitTermination()
     schema = "station string, forecast map<string, struct<pm25: double>>"
-    return t.spark.read.schema(schema).json(out).select(
+    return streams.latest_rows(t.spark, out, schema, "json").select(
         "station", F.col("forecast")["+9h"]["pm25"].alias("later"))

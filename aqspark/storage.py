@@ -1,5 +1,6 @@
-"""Shared storage: where written tables and checkpoints go, and session set-up."""
+"""Shared storage: where written tables and checkpoints go, how long they live, and session set-up."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -7,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# folders written inside each open ``scratch`` block, innermost last
+_OPEN: list[list[str]] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings every result relies on: one time zone, zoned timestamps, AQE."""
@@ -44,9 +48,43 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and go on from there.
 
     What follows reads the rows instead of computing them again, a lost executor costs
-    no more than a re-read, and the optimizer starts from a plain scan.
+    no more than a re-read, and the optimizer starts from a plain scan. Inside a ``scratch``
+    block the folder goes with the block.
     """
     spark = df.sparkSession
     path = new_path(spark, "table")
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), location
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever file system holds it."""
+    system, location = _path(spark, path)
+    system.delete(location, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if it does not exist."""
+    system, location = _path(spark, path)
+    if not system.exists(location):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(location))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside the block are deleted at its end, so what is made of them has to
+    be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)

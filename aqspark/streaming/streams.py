@@ -9,12 +9,15 @@ from aqspark.functions import fixed
 from aqspark.functions.text import news_score
 from aqspark.operators.clean import valid_range
 from aqspark.operators.spatial import radius_join
+from aqspark.operators.windows import last_n
 from aqspark.plans.features import live_window
 from aqspark.plans.forecast import score
 from aqspark.plans.news import matched_articles
+from aqspark.storage import folders, materialise, remove, scratch
 
 LATENESS = "2 hours"
-HISTORY_HOURS = 24 * 14       # live rows look back 72 rows, and gaps make that longer
+# a live window has 72 rows, and the longest lag looks back 72 rows from the first of them
+HISTORY_ROWS = fixed.LOOKBACK + max(fixed.LAGS)
 
 
 def stream_hourly_mean(readings: DataFrame, lateness=LATENESS, ts="ts",
@@ -67,51 +70,119 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode="append")
 
 # --- features and forecasts of the stations a batch touches --------------------------------
 
-STORED_SUMS = "station string, timestamp timestamp, total double, n bigint, date date"
+HOUR_SUMS = "station string, timestamp timestamp, total double, n bigint"
 
 
-def _update_store(spark: SparkSession, batch: DataFrame, batch_id: int, store: str,
-                  history_hours: int) -> DataFrame:
-    """Add a batch to the hour sums and return recent hour means of its stations.
+class StationStore:
+    """Rows per station that each batch replaces for the stations it touches.
 
-    Every batch owns one folder, so running a batch again replaces its sums and
-    late readings still reach the mean of their hour.
+    Stations are dealt into a fixed number of buckets by a hash. A batch rewrites the buckets it
+    touches as one version; the older versions of these are deleted but for the last, so a
+    batch that runs again starts from what it started from before and replaces its own result. However
+    many batches run, a bucket has at most two versions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, buckets=64, fmt="parquet"):
+        self.spark, self.path, self.buckets, self.fmt = spark, path.rstrip("/"), buckets, fmt
+        self.schema = schema
+
+    def bucket(self, station="station"):
+        return F.pmod(F.xxhash64(station), F.lit(self.buckets)).cast("int")
+
+    def _versions(self) -> dict[int, list[int]]:
+        """Bucket → its versions, ascending."""
+        out = {}
+        for name in folders(self.spark, self.path):
+            if name.startswith("bucket="):
+                numbers = [int(v.split("=")[1]) for v in folders(self.spark, f"{self.path}/{name}")
+                           if v.startswith("version=")]
+                out[int(name.split("=")[1])] = sorted(numbers)
+        return out
+
+    def latest(self, before: int | None = None, touched: list[int] | None = None) -> DataFrame:
+        """The newest rows of every station, or those of the buckets ``touched``, as they were
+        ahead of the batch ``before``."""
+        paths = []
+        for bucket, versions in self._versions().items():
+            valid = [v for v in versions if before is None or v < before]
+            if valid and (touched is None or bucket in touched):
+                paths.append(f"{self.path}/bucket={bucket}/version={valid[-1]}")
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).format(self.fmt).load(paths)
+
+    def replace(self, rows: DataFrame, touched: list[int], batch_id: int) -> None:
+        """Write the buckets ``touched`` as version ``batch_id``; ``rows`` hold all their stations."""
+        marked = rows.withColumn("bucket", self.bucket()).withColumn("version", F.lit(batch_id))
+        (marked.repartition("bucket").write.mode("overwrite").format(self.fmt)
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").save(self.path))
+        versions = self._versions()
+        for bucket in touched:
+            for old in [v for v in versions.get(bucket, []) if v < batch_id][:-1]:
+                remove(self.spark, f"{self.path}/bucket={bucket}/version={old}")
+
+
+def _merge_sums(store: StationStore, batch: DataFrame, batch_id: int, keep: int) -> tuple[DataFrame, list[int]]:
+    """Add a batch to the stored hour sums; returns the sums of its buckets and these buckets.
+
+    Every station keeps its own newest ``keep`` hours, whatever the clocks of others say; hours
+    older than these cannot reach a live window any more.
     """
     sums = (batch.filter(F.col("pm25").isNotNull())
             .groupBy("station", F.date_trunc("hour", "ts").alias("timestamp"))
-            .agg(F.sum("pm25").alias("total"), F.count("pm25").alias("n"))
-            .withColumn("date", F.to_date("timestamp")))
-    own = f"{store}/batch={batch_id}"
-    sums.write.mode("overwrite").partitionBy("date").parquet(own)
-    touched = spark.read.schema(STORED_SUMS).parquet(own)
-    since = touched.agg(F.max("timestamp")).first()[0]
-    stored = spark.read.schema(STORED_SUMS + ", batch bigint").parquet(store)
-    if since is not None:
-        oldest = F.lit(since) - F.make_interval(hours=F.lit(history_hours))
-        stored = stored.filter((F.col("date") >= F.to_date(oldest))
-                               & (F.col("timestamp") >= oldest))
-    recent = stored.join(touched.select("station").distinct(), "station", "left_semi")
-    hours = recent.groupBy("station", "timestamp").agg(
-        (F.sum("total") / F.sum("n")).alias("pm25"))
-    return valid_range(hours)
+            .agg(F.sum("pm25").alias("total"), F.count("pm25").alias("n")))
+    sums = materialise(sums)
+    touched = [r[0] for r in sums.select(store.bucket()).distinct().collect()]
+    if not touched:
+        return sums, []
+    merged = (store.latest(batch_id, touched).unionByName(sums).groupBy("station", "timestamp")
+              .agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+    store.replace(last_n(merged, keep, require=False), touched, batch_id)
+    # only the stations of the batch have news
+    current = store.latest(batch_id + 1, touched)
+    return current.join(sums.select("station").distinct(), "station", "left_semi"), touched
 
 
 def feature_batches(store: str, stations: DataFrame, sink: Callable[[DataFrame, int], None],
                     weather: DataFrame | None = None, fires: DataFrame | None = None,
-                    news: DataFrame | None = None, history_hours=HISTORY_HOURS):
-    """``foreachBatch`` handler: live windows of the touched stations go to ``sink``."""
+                    news: DataFrame | None = None, history_rows=HISTORY_ROWS):
+    """``foreachBatch`` handler: live windows of the touched stations go to ``sink``.
+
+    A batch without readings is passed over. Tables that a batch writes on its way are
+    deleted when the sink is done.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        hours = _update_store(spark, batch, batch_id, store, history_hours)
-        sink(live_window(hours, stations, weather, fires, news), batch_id)
+        with scratch(spark):
+            sums, touched = _merge_sums(StationStore(spark, store, HOUR_SUMS), batch, batch_id, history_rows)
+            if touched:
+                hours = valid_range(sums.select("station", "timestamp", (F.col("total") / F.col("n")).alias("pm25")))
+                sink(live_window(hours, stations, weather, fires, news), batch_id)
     return handle
 
 
+def _into(out: str, fmt: str, batch_id: int, rows: DataFrame) -> None:
+    """Replace the rows of the stations in ``rows``; other stations keep theirs."""
+    spark = rows.sparkSession
+    # computed once: the stations, the buckets and the rows themselves are all asked for
+    rows = materialise(rows)
+    store = StationStore(spark, out, rows.schema, fmt=fmt)
+    touched = [r[0] for r in rows.select(store.bucket()).distinct().collect()]
+    others = store.latest(batch_id, touched).join(rows.select("station").distinct(), "station", "left_anti")
+    if touched:
+        store.replace(others.unionByName(rows), touched, batch_id)
+
+
+def latest_rows(spark: SparkSession, out: str, schema, fmt="parquet") -> DataFrame:
+    """What ``stream_features`` or ``stream_score`` (``fmt="json"``) last wrote for every station."""
+    return StationStore(spark, out, schema, fmt=fmt).latest()
+
+
 def stream_features(readings: DataFrame, store: str, out: str, checkpoint: str,
                     stations: DataFrame, **sources):
-    """Keep the newest feature rows of every touched station in ``out``, by batch."""
+    """Keep the newest feature rows of every station in ``out``; read them by ``latest_rows``."""
     def sink(window, batch_id):
-        window.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _into(out, "parquet", batch_id, window)
     handler = feature_batches(store, stations, sink, **sources)
     return (readings.writeStream.foreachBatch(handler)
             .option("checkpointLocation", checkpoint)
@@ -120,10 +191,9 @@ def stream_features(readings: DataFrame, store: str, out: str, checkpoint: str,
 
 def stream_score(readings: DataFrame, store: str, out: str, checkpoint: str,
                  stations: DataFrame, load, params, target, ids=None, **sources):
-    """Write forecast documents of every touched station to ``out``, by batch."""
+    """Keep the newest forecast document of every station in ``out``; read them by ``latest_rows``."""
     def sink(window, batch_id):
-        documents = score(window, load, params, target, ids)
-        documents.write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        _into(out, "json", batch_id, score(window, load, params, target, ids))
     handler = feature_batches(store, stations, sink, **sources)
     return (readings.writeStream.foreachBatch(handler)
             .option("checkpointLocation", checkpoint)
