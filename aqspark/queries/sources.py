@@ -72,25 +72,27 @@ def pollutants(t):
         t.spark, land(t, measurement_pages(t), "pollutants"), ["click", "view"])
 
 
-@query("s04_read_weather", "cell_lat:f timestamp:t temperature_2m:f wind_speed_10m:f "
-       "cloud_cover:f boundary_layer_height:f", views="weather", sql="""
-SELECT CAST(replace(station, 'st_', '') AS DOUBLE) AS cell_lat, timestamp, temperature_2m,
-  wind_speed_10m, NULL AS cloud_cover, 0 AS boundary_layer_height FROM weather
+DELIVERED = [c for c in fixed.WEATHER if c not in ("cloud_cover", "boundary_layer_height")]
+
+
+@query("s04_read_weather", "cell_lat:f timestamp:t " + " ".join(f"{c}:f" for c in fixed.WEATHER),
+       views="weather", sql="""
+SELECT CAST(replace(station, 'st_', '') AS DOUBLE) AS cell_lat, timestamp, """ + ", ".join(
+    f"temperature_2m + {i} AS {c}" for i, c in enumerate(DELIVERED)) + """,
+  NULL AS cloud_cover, 0 AS boundary_layer_height FROM weather
 WHERE temperature_2m > 3""")
 def weather(t):
+    """Documents lack two of the ten variables."""
     warm = F.when(F.col("temperature_2m") > 3, F.col("temperature_2m"))
     rows = t.weather().withColumn("_cell", F.substring_index("station", "_", -1).cast("double"))
+    values = [F.coalesce(warm + i, F.lit(float("nan"))).alias(c) for i, c in enumerate(DELIVERED)]
     # one document per cell and day: at most 24 entries
     days = rows.groupBy("_cell", F.to_date("timestamp").alias("_day")).agg(F.sort_array(
         F.collect_list(F.struct(
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm").alias("time"),
-            F.coalesce(warm, F.lit(float("nan"))).alias("temperature_2m"),
-            "wind_speed_10m"))).alias("_h"))
-    nulled = F.transform("_h.temperature_2m", lambda x: F.when(~F.isnan(x), x))
-    docs = days.select(
-        F.col("_cell").alias("cell_lat"), F.col("_cell").alias("cell_lon"),
-        F.struct(F.col("_h.time").alias("time"), nulled.alias("temperature_2m"),
-                 F.col("_h.wind_speed_10m").alias("wind_speed_10m")).alias("hourly"))
+            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm").alias("time"), *values))).alias("_h"))
+    nulled = [F.transform(f"_h.{c}", lambda x: F.when(~F.isnan(x), x)).alias(c) for c in DELIVERED]
+    docs = days.select(F.col("_cell").alias("cell_lat"), F.col("_cell").alias("cell_lon"),
+                       F.struct(F.col("_h.time").alias("time"), *nulled).alias("hourly"))
     path = land(t, docs, "weather", ignoreNullFields="false")
     return readers.read_weather(t.spark, path)
 
@@ -117,7 +119,8 @@ WHERE o_orderdate >= '1996-03-01' AND o_orderdate < '1998-02-11' AND k <> 2 AND
   (o_orderkey % 5 <> 0 OR year(ts) = 1997)
 GROUP BY 1, 2""")
 def archive(t):
-    """Archive files whose columns differ by year; 1997 has no parameter column."""
+    """Archive files whose columns differ by year; 1997 has no parameter column, and later files have 20
+    columns, the value among the last."""
     key = F.col("o_orderkey")
     when = F.col("o_orderdate") + F.make_dt_interval(mins=(key % 1440).cast("int"))
     rows = t.table("orders").select(
@@ -128,7 +131,8 @@ def archive(t):
     root = new_path(t.spark, "archive")
     layouts = [("year = 1997", ["time as date_utc", "v as average"]),
                ("year < 1997", ["p as parameter", "time as datetime", "v as value"]),
-               ("year > 1997", ["time as utc", "'x' as unit", "v as Value", "p as Parameter"])]
+               ("year > 1997", ["time as utc", *[f"'a, \"b\"' as note{i}" for i in range(17)],
+                                "v as Value", "p as Parameter"])]
     for years, columns in layouts:
         (rows.filter(years).selectExpr(*columns, "locationid", "year", "month")
          .repartition("locationid", "year", "month")
@@ -143,13 +147,13 @@ def archive(t):
 
 
 @query("s07_read_articles", "timestamp:t text:s", views="articles", sql="""
-SELECT timestamp, 'T' || CAST(doc_id AS VARCHAR) || ' ' || lang AS text FROM articles
+SELECT timestamp, concat_ws(' ', 'T' || CAST(doc_id AS VARCHAR), text) AS text FROM articles
 WHERE doc_id % 8 <> 0""")
 def articles(t):
     published = F.when(F.col("doc_id") % 8 == 0, "yesterday").otherwise(iso_text("timestamp"))
     page = t.articles().select(F.array(F.struct(
         F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"),
-        F.col("lang").alias("description"), published.alias("publishedAt"))).alias("articles"))
+        F.col("text").alias("description"), published.alias("publishedAt"))).alias("articles"))
     return readers.read_articles(t.spark, land(t, page, "articles"))
 
 
@@ -164,8 +168,29 @@ def read_registry(t):
     return readers.read_registry(t.spark, path + "-clean", path)
 
 
+@query("s08_read_registry_list", REGISTRY_OUT, sql=f"SELECT * FROM {REGISTRY}")
+def read_registry_list(t):
+    """The registry as one indented list of documents."""
+    stations = registry.build_registry(found_locations(t))
+    text = stations.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("d")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("d"), ",\n"), F.lit("\n]")).alias("value"))
+    path = new_path(t.spark, "registry")
+    text.write.text(path)
+    return readers.read_registry(t.spark, path)
+
+
 # --- tables --------------------------------------------------------------------------------
 
+@query("s09_read_live", "station:s pm25:f no2:f", views="raw",
+       sql="SELECT station, pm25, 0 AS no2 FROM raw WHERE event_id % 4 <> 0")
+def read_live(t):
+    """A table without targets, as it is scored."""
+    known = F.when(F.col("event_id") % 4 != 0, F.col("pm25"))
+    path = new_path(t.spark, "live")
+    t.raw().withColumn("pm25", known).write.parquet(path)
+    return readers.read_live(t.spark, path)
+
+
 @query("s09_read_dataset", "station:s pm25:f no2:f target_24h:f", views="raw", sql="""
 SELECT station, pm25, 0 AS no2, pm25 AS target_24h FROM raw WHERE event_id % 4 <> 0""")
 def read_dataset(t):
@@ -176,11 +201,11 @@ def read_dataset(t):
 
 
 @query("s10_write_dataset", "station:s timestamp:t pm25:f date:s", views="hourly", sql="""
-SELECT *, CAST(timestamp AS DATE) AS date FROM hourly WHERE timestamp >= '2024-01-10'""")
+SELECT *, CAST(timestamp AS DATE) AS date FROM hourly""")
 def write_dataset(t):
     path = new_path(t.spark, "dataset")
     writers.write_dataset(t.hourly(), path)
-    return t.spark.read.parquet(path).filter("date >= date '2024-01-10'")
+    return t.spark.read.parquet(path)
 
 
 @query("s11_write_registry", REGISTRY_OUT, views="places",

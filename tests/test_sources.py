@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aqspark.plans.history import build_history
-from aqspark.sources import readers, writers
+from aqspark.sources import readers, schemas, writers
 from aqspark.storage import new_path, shared_dir
 
 
@@ -116,3 +116,44 @@ def test_dataset_by_day(spark, hours):
 def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir()) or named is None
+
+
+def test_a_torn_page_stops_the_job_or_is_listed(spark, tmp_path):
+    page = {"sensor_id": 4, "results": [
+        {"value": 1.5, "period": {"datetimeFrom": {"utc": "2024-01-01T00:00:00Z"}}}]}
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps(page) + "\n" + json.dumps(page)[:40] + "\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        readers.read_hourly_measurements(spark, str(path)).collect()
+    assert readers.read_hourly_measurements(spark, str(path), broken="skip").count() == 1
+    broken = readers.broken_documents(spark, str(path), schemas.MEASUREMENTS).collect()
+    assert [r.document for r in broken] == [json.dumps(page)[:40]]
+    with pytest.raises(ValueError):
+        readers.read_hourly_measurements(spark, str(path), broken="ignore")
+
+
+def test_archive_of_any_width_with_quoted_cells(spark, tmp_path):
+    path = tmp_path / "locationid=1/year=2023/month=1/a.csv.gz"
+    path.parent.mkdir(parents=True)
+    notes = ",".join(f"note{i}" for i in range(20))
+    cells = ",".join('"a, ""b"""' for _ in range(20))
+    path.write_bytes(gzip.compress(
+        f"{notes},\"value\",datetime\n{cells},7.5,2023-01-01T00:10:00Z\n\n{cells},8.5,\"2023-01-01T01:10:00Z\"\n".encode()))
+    got = readers.read_archive(spark, str(tmp_path)).orderBy("timestamp").collect()
+    assert [(r.pm25, r.timestamp, r.parameter) for r in got] == [
+        ("7.5", "2023-01-01T00:10:00Z", None), ("8.5", "2023-01-01T01:10:00Z", None)]
+
+
+def test_registry_as_one_indented_list(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps([{"station": "a", "lat": 1.0}, {"station": "b", "lat": 2.0}], indent=2))
+    assert sorted((r.station, r.lat) for r in readers.read_registry(spark, str(path)).collect()) == [
+        ("a", 1.0), ("b", 2.0)]
+
+
+def test_live_rows_need_no_targets(spark, hours):
+    path = new_path(spark, "live")
+    writers.write_dataset(hours([("a", h, 1.0) for h in range(72)]), path)
+    assert readers.read_live(spark, path).count() == 72
+    assert readers.read_live(spark, path, since="2024-01-03").count() == 24
+    assert readers.read_dataset(spark, path).count() == 0
