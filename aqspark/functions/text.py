@@ -19,11 +19,13 @@ def city_label(locality, city) -> Column:
 
 
 def station_slug(name, location_id) -> Column:
-    """Readable key; cut at 50 characters, so join on the location id instead."""
+    """Readable key of at most 50 characters. Long names are cut and the id is always whole, so no two
+    locations share a key."""
     location_id = as_col(location_id).cast("string")
     base = F.coalesce(first_text(name), F.concat(F.lit("loc_"), location_id))
-    full = F.concat(base, F.lit("_"), location_id)
-    return F.substring(F.lower(F.translate(full, " ,", "_")), 1, 50)
+    end = F.concat(F.lit("_"), location_id)
+    cut = F.substring(F.translate(base, " ,", "_"), F.lit(1), F.lit(50) - F.length(end))
+    return F.lower(F.concat(cut, end))
 
 
 def is_pm25(parameter) -> Column:

@@ -193,9 +193,9 @@ def narrow(t):
 
 
 @query("p18_station_slug", "p_partkey:i slug:s", sql="""
-SELECT p_partkey, substr(lower(replace(replace(coalesce(nullif(name, ''),
-    'loc_' || CAST(p_partkey AS VARCHAR)) || '_' || CAST(p_partkey AS VARCHAR), ' ', '_'),
-    ',', '')), 1, 50) AS slug
+SELECT p_partkey, lower(substr(replace(replace(coalesce(nullif(name, ''),
+    'loc_' || CAST(p_partkey AS VARCHAR)), ' ', '_'), ',', ''), 1,
+    49 - length(CAST(p_partkey AS VARCHAR))) || '_' || CAST(p_partkey AS VARCHAR)) AS slug
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 8 = 0 THEN ''
         ELSE p_name || ', ' || p_brand || ' ' || p_type || ' measuring site, North' END
         AS name FROM part)""")
