@@ -64,8 +64,9 @@ def watched_city_counts(stations: DataFrame, watched: DataFrame) -> DataFrame:
 
 def join_news(rows: DataFrame, news: DataFrame | None,
               cols=fixed.NEWS_SIGNALS) -> DataFrame:
-    """Live news signal, else the one the row has, else 0. With no live news at all
-    the signals come from the calendar (``lat`` needed)."""
+    """Live news signal, else the one the row has, else 0. Rows of a city or station that
+    ``news`` does not know get the signals of the calendar (``lat`` needed), and so do all
+    rows where there is no live news at all."""
     if news is None:
         return rows.withColumns(calendar_news("timestamp", "lat"))
     rows = ensure_columns(rows, dict.fromkeys(cols, 0.0))
@@ -73,8 +74,17 @@ def join_news(rows: DataFrame, news: DataFrame | None,
     live = news.select(*keys, *[(F.col(c) if c in news.columns else F.lit(0.0)).alias(f"_live_{c}")
                                 for c in cols])
     out = rows.join(live, keys, "left")
-    return out.withColumns({c: F.coalesce(f"_live_{c}", c, F.lit(0.0)) for c in cols}).drop(
-        *[f"_live_{c}" for c in cols])
+    places = [k for k in keys if k != "timestamp"]
+    if places:
+        known = news.select(*places).distinct().withColumn("_known", F.lit(True))
+        out = out.join(known, places, "left")
+    else:
+        out = out.withColumn("_known", F.lit(True))
+    by_date = calendar_news("timestamp", "lat") if "lat" in rows.columns else {}
+    return out.withColumns({
+        c: F.when(F.col("_known"), F.coalesce(f"_live_{c}", c, F.lit(0.0))).otherwise(
+            by_date.get(c, F.coalesce(c, F.lit(0.0)))) for c in cols}).drop(
+        "_known", *[f"_live_{c}" for c in cols])
 
 
 def news_for_station(rows: DataFrame, stored: DataFrame, cols=fixed.NEWS_SIGNALS) -> DataFrame:

@@ -69,13 +69,21 @@ def build_features(readings: DataFrame, stations: DataFrame, weather: DataFrame
     return project_features(df)
 
 
+def with_news(features: DataFrame, stations: DataFrame, news: DataFrame | None) -> DataFrame:
+    """News signals by station, or by the city of the station."""
+    if news is not None and "city" in news.columns and "city" not in features.columns:
+        features = join_stations(features, stations, cols=["city"])
+    return join_news(features, news)
+
+
 def build_dataset(readings: DataFrame, stations: DataFrame, weather: DataFrame | None = None,
                   fires: DataFrame | None = None, copollutants: DataFrame | None = None,
                   news: DataFrame | None = None, cities=None,
                   min_readings=fixed.MIN_READINGS, min_rows=fixed.MIN_FEATURE_ROWS) -> DataFrame:
     """Learning table: gates, features, gap repair, narrow types.
 
-    ``fires`` are single detections here. News signals stay 0 unless ``news`` is given.
+    ``fires`` are single detections here. News signals stay 0 unless ``news`` is given, by
+    station or city; a place that it does not know gets those of the calendar.
     A measurement a station never has becomes 0 instead of removing the station.
     """
     if cities:
@@ -87,8 +95,7 @@ def build_dataset(readings: DataFrame, stations: DataFrame, weather: DataFrame |
     hours = None if fires is None else fire_hourly(stations, fires)
     features = build_features(enough, stations, weather, hours)
     if news is not None:
-        features = join_news(features, news)
-        features = project_features(features)
+        features = project_features(with_news(features, stations, news))
     # a station without a position has no use; all else is computed, filled or repaired
     complete = drop_incomplete(features).dropna(subset=["lat", "lon"])
     # the row gate and the repair both read this twice
@@ -109,9 +116,7 @@ def live_window(readings: DataFrame, stations: DataFrame, weather: DataFrame | N
     enough = min_records(readings, min_readings)
     hours = None if fires is None else fire_hourly(stations, fires)
     features = build_features(enough, stations, weather, hours)
-    if news is not None and "city" in news.columns:
-        features = join_stations(features, stations, cols=["city"])
-    features = join_news(features, news)
+    features = with_news(features, stations, news)
     newest = last_n(project_features(features, cols=fixed.FEATURES), rows, require=False)
     # at most `rows` rows per station from here on; the repair reads them twice
     repaired = interpolate(materialise(newest), REPAIRABLE, default=0.0)

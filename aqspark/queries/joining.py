@@ -12,7 +12,7 @@ from aqspark.plans import features, history, news, registry
 from aqspark.queries.aggregates import FIRE_HOURS, FIRE_OUT, SITES, sites
 from aqspark.queries.base import haversine_sql, query, values_sql
 from aqspark.queries.scalars import (
-    HOLIDAY, NEWS_OUT, PLACES, RUSH, TERMS, WEEKDAY, around_sql, bands_sql,
+    DIWALI, HOLI, HOLIDAY, NEWS_OUT, PLACES, RUSH, TERMS, WEEKDAY, around_sql, bands_sql,
     calendar_news_sql, local_sql, mention_sql)
 from aqspark.queries.windows import LAG_SQL, ROLL_SQL, TREND_SQL, W
 from aqspark.sources import dims
@@ -314,42 +314,70 @@ def not_done(t):
 
 # --- products ------------------------------------------------------------------------------
 
-def features_sql(source="hourly"):
-    """Every computed feature of the fixture, as one SELECT over joins."""
-    return f"""
-SELECT x.*, lat, lon, {bands_sql('x.pm25', 3, 0)} AS aqi_category,
-  temperature_2m, relative_humidity_2m,
+def calendar_sql(ts, lat):
+    """All features of the clock, the calendar and the season, by name."""
+    local = local_sql(ts)
+    at = lambda text: text.replace("timestamp", ts)
+    rush, weekday, holiday = at(RUSH), at(WEEKDAY), at(HOLIDAY)
+
+    def turn(value, length):
+        return [f"{fn}(2 * pi() * {value} / {length})" for fn in ("sin", "cos")]
+    hour, month, day = (turn(f"hour({local})", 24), turn(f"month({ts})", 12), turn(f"(isodow({local}) - 1)", 7))
+    season = f"month({local})"
+    return {
+        "rush_hour": rush, "is_weekday": weekday, "is_holiday": holiday,
+        "traffic_index": f"{rush} * {weekday} * (1 - {holiday})",
+        "day_of_week_sin": day[0], "day_of_week_cos": day[1], "hour_sin": hour[0], "hour_cos": hour[1],
+        "month_sin": month[0], "month_cos": month[1],
+        "is_monsoon": f"CAST({season} BETWEEN 6 AND 9 AS INT)",
+        "is_winter": f"CAST({season} IN (12, 1, 2) AS INT)",
+        "is_harvest_season": f"CAST(CASE WHEN {lat} > 25 THEN {season} IN (10, 11) "
+                             f"ELSE {season} IN (1, 2, 10, 11) END AS INT)",
+        "is_diwali_period": f"CAST({at(DIWALI)} AS INT)", "is_holi_period": f"CAST({at(HOLI)} AS INT)"}
+
+
+# a station's measurements that the fixture does not have
+NO_SOURCE = ["surface_pressure", "precipitation", "cloud_cover", "shortwave_radiation",
+             "boundary_layer_height"]
+
+
+def features_sql(source="hourly", weather=True, fires=True, pollutants=False):
+    """Every feature and target, as one SELECT over joins."""
+    w = (f"""LEFT JOIN (SELECT *, 17.27 * temperature_2m / (237.3 + temperature_2m)
+    + ln(relative_humidity_2m / 100.0 + 1e-9) AS a FROM {CELL_WEATHER}) w
+  ON s.cell_lat = w.cell_lat AND s.cell_lon = w.cell_lon AND x.timestamp = w.timestamp""" if weather else "")
+    f = (f"""LEFT JOIN ({FIRE_HOURS.format(places='stations')}) f
+  ON x.station = f.station AND x.timestamp = f.timestamp""" if fires else "")
+    p = f"LEFT JOIN {POLLUTED} p ON x.station = p.station AND x.timestamp = p.timestamp" if pollutants else ""
+    if weather:
+        measured = """temperature_2m, relative_humidity_2m, 237.3 * a / (17.27 - a) AS dew_point_2m,
   coalesce(wind_speed_10m, 0) AS wind_speed,
   coalesce(wind_speed_10m, 0) * cos(radians(coalesce(wind_direction_10m, 0))) AS wind_u,
-  coalesce(wind_speed_10m, 0) * sin(radians(coalesce(wind_direction_10m, 0))) AS wind_v,
-  237.3 * a / (17.27 - a) AS dew_point_2m, {FIRES_ZEROED},
-  {RUSH.replace('timestamp', 'x.timestamp')} AS rush_hour,
-  {WEEKDAY.replace('timestamp', 'x.timestamp')} AS is_weekday,
-  {HOLIDAY.replace('timestamp', 'x.timestamp')} AS is_holiday,
-  sin(2 * pi() * hour({local_sql('x.timestamp')}) / 24) AS hour_sin,
-  cos(2 * pi() * month(x.timestamp) / 12) AS month_cos,
-  CAST(month({local_sql('x.timestamp')}) IN (12, 1, 2) AS INT) AS is_winter,
-  0 AS no2, 0 AS news_calamity
+  coalesce(wind_speed_10m, 0) * sin(radians(coalesce(wind_direction_10m, 0))) AS wind_v"""
+    else:
+        # the dew point of 25 degrees and 60 percent
+        a = "(17.27 * 25.0 / (237.3 + 25.0) + ln(60.0 / 100.0 + 1e-9))"
+        measured = f"""0 AS temperature_2m, 0 AS relative_humidity_2m, 237.3 * {a} / (17.27 - {a}) AS dew_point_2m,
+  0 AS wind_speed, 0 AS wind_u, 0 AS wind_v"""
+    burnt = FIRES_ZEROED if fires else ", ".join(f"0 AS {c}" for c in fixed.FIRE_MEASURES)
+    gases = ", ".join(f"p.{c}" if pollutants else f"0 AS {c}" for c in fixed.COPOLLUTANTS)
+    return f"""
+SELECT x.*, lat, lon, city, {bands_sql('x.pm25', 3, 0)} AS aqi_category, {gases}, {measured},
+  {", ".join(f"0 AS {c}" for c in NO_SOURCE)}, {burnt},
+  {", ".join(f"{v} AS {c}" for c, v in calendar_sql('x.timestamp', 'lat').items())}
 FROM (SELECT *, {LAG_SQL}, {ROLL_SQL}, {TREND_SQL}, {", ".join(
     f"lead(pm25, {h}) OVER w AS target_{h}h" for h in range(1, 25))}
   FROM {source} {W}) x
 JOIN (SELECT *, {CELLS} FROM stations) s ON x.station = s.station
-LEFT JOIN (SELECT *, 17.27 * temperature_2m / (237.3 + temperature_2m)
-    + ln(relative_humidity_2m / 100.0 + 1e-9) AS a FROM {CELL_WEATHER}) w
-  ON s.cell_lat = w.cell_lat AND s.cell_lon = w.cell_lon AND x.timestamp = w.timestamp
-LEFT JOIN ({FIRE_HOURS.format(places='stations')}) f
-  ON x.station = f.station AND x.timestamp = f.timestamp"""
+{w} {f} {p}"""
 
 
-FEATURE_OUT = ("station:s timestamp:t lat:f lon:f pm25:f pm25_lag1:f pm25_lag24:f pm25_lag72:f "
-               "pm25_rmean24:f pm25_rmax24:f pm25_rmin24:f pm25_rstd24:f pm25_trend6h:f "
-               "aqi_category:i temperature_2m:f relative_humidity_2m:f dew_point_2m:f "
-               f"wind_speed:f wind_u:f wind_v:f {FIRE_OUT} rush_hour:i is_weekday:i "
-               "is_holiday:i hour_sin:f month_cos:f is_winter:i no2:f news_calamity:f "
-               "target_1h:f target_24h:f")
+NO_NEWS = ", ".join(f"0 AS {c}" for c in fixed.NEWS_SIGNALS)
+FEATURE_OUT = "station:s timestamp:t " + " ".join(f"{c}:f" for c in fixed.FEATURES + fixed.TARGETS)
 
 
-@query("m03_features", FEATURE_OUT, views="hourly weather fires stations", sql=features_sql())
+@query("m03_features", FEATURE_OUT, views="hourly weather fires stations",
+       sql=f"SELECT *, {NO_NEWS} FROM ({features_sql()})")
 def build_features(t):
     hours = spatial.fire_hourly(t.stations(), t.fires())
     return features.build_features(t.hourly(), t.stations(), cell_weather(t), hours)
@@ -357,9 +385,52 @@ def build_features(t):
 
 GATED = "(SELECT * FROM hourly WHERE station IN (SELECT station FROM hourly GROUP BY 1 HAVING count(*) >= 200))"
 
+# kinds of events stand for the co-pollutants, but for ozone, which no station measures
+GASES = dict(zip(["pm10", "no2", "so2", "co"], ["click", "purchase", "signup", "view"], strict=True))
+POLLUTED = ("(SELECT station, date_trunc('hour', ts) AS timestamp, " + ", ".join(
+    f"avg(pm25) FILTER (kind = '{k}') AS {c}" for c, k in GASES.items())
+    + ", CAST(NULL AS DOUBLE) AS o3 FROM raw GROUP BY 1, 2)")
+
+
+def gas_hours(t):
+    named = F.coalesce(*[F.when(F.col("kind") == k, c) for c, k in GASES.items()])
+    long = t.raw().select("station", "ts", named.alias("parameter"), F.col("pm25").alias("value"))
+    return aggregate.copollutant_hours(long.filter("parameter is not null"), ts="ts",
+                                       names=fixed.COPOLLUTANTS)
+
+
+# news are known for some cities only; the others follow the calendar
+NEWS_CITY = "CAST(split_part(city, '_', 2) AS INT) % 2 = 0"
+CITY_NEWS = f"""(SELECT city, timestamp, max(temperature_2m) / 50 AS news_calamity,
+    min(relative_humidity_2m) / 100 AS news_dust_storm FROM weather JOIN stations USING (station)
+  WHERE {NEWS_CITY} GROUP BY 1, 2)"""
+
+
+def city_news(t):
+    placed = t.weather().join(t.stations(), "station").filter(
+        F.split("city", "_")[1].cast("int") % 2 == 0)
+    return placed.groupBy("city", "timestamp").agg(
+        (F.max("temperature_2m") / 50).alias("news_calamity"),
+        (F.min("relative_humidity_2m") / 100).alias("news_dust_storm"))
+
 
-def repaired_sql(cols):
-    """Interpolated columns of the complete feature rows, by row number."""
+def news_sql(source):
+    """Rows of ``source`` with the news of their city, or with the calendar's."""
+    live = {"news_calamity": "coalesce(n.news_calamity, 0)", "news_dust_storm": "coalesce(n.news_dust_storm, 0)"}
+    chosen = ", ".join(f"CASE WHEN k.city IS NOT NULL THEN {live.get(c, '0')} ELSE c.{c} END AS {c}"
+                       for c in fixed.NEWS_SIGNALS)
+    by_date = calendar_news_sql("station, timestamp", source)
+    return f"""(SELECT f.*, {chosen} FROM {source} f
+  JOIN ({by_date}) c ON f.station = c.station AND f.timestamp = c.timestamp
+  LEFT JOIN (SELECT DISTINCT city FROM {CITY_NEWS}) k ON f.city = k.city
+  LEFT JOIN {CITY_NEWS} n ON f.city = n.city AND f.timestamp = n.timestamp)"""
+
+
+REPAIRED = features.REPAIRABLE
+
+
+def repaired_sql(source, cols=REPAIRED):
+    """Interpolated columns of the rows of ``source``, by row number."""
     over = "OVER (PARTITION BY station ORDER BY pos ROWS BETWEEN "
     back, ahead = over + "UNBOUNDED PRECEDING AND CURRENT ROW)", over + "CURRENT ROW AND UNBOUNDED FOLLOWING)"
     edges = ", ".join(
@@ -371,44 +442,43 @@ def repaired_sql(cols):
         f"coalesce({c}, v0_{c} + (v1_{c} - v0_{c}) * ((pos - p0_{c}) / (p1_{c} - p0_{c})), "
         f"v0_{c}, v1_{c}, 0) AS {c}" for c in cols)
     return f"""SELECT * REPLACE ({fixes}) FROM (SELECT *, {edges} FROM (
-  SELECT *, row_number() OVER (PARTITION BY station ORDER BY timestamp) AS pos
-  FROM ({features_sql(GATED)}) WHERE pm25_lag24 IS NOT NULL AND target_24h IS NOT NULL))"""
+  SELECT *, row_number() OVER (PARTITION BY station ORDER BY timestamp) AS pos FROM {source}))"""
 
 
-REPAIRED = ["pm25_lag72", "temperature_2m", "relative_humidity_2m", "dew_point_2m"]
-STORED_AS_FLOAT = ["pm25", "temperature_2m", "relative_humidity_2m", "dew_point_2m",
-                   "pm25_lag72", "wind_u", "frp_sum", "target_24h"]
-DATASET_OUT = ("station:s timestamp:t pm25:f4 pm25_lag72:f4 temperature_2m:f4 "
-               "relative_humidity_2m:f4 dew_point_2m:f4 wind_u:f4 frp_sum:f4 target_24h:f4")
+STORED = fixed.FEATURES + fixed.TARGETS
+DATASET_OUT = "station:s timestamp:t " + " ".join(f"{c}:f3" for c in STORED)
+COMPLETE_ROWS = f"""(SELECT * FROM ({features_sql(GATED, pollutants=True)})
+  WHERE pm25_lag24 IS NOT NULL AND target_24h IS NOT NULL)"""
 
 
-@query("m04_dataset", DATASET_OUT, views="hourly weather fires stations",
-       sql="SELECT station, timestamp, " + ", ".join(
-           f"CAST({c} AS FLOAT) AS {c}" for c in STORED_AS_FLOAT)
-       + f" FROM ({repaired_sql(REPAIRED)})")
+@query("m04_dataset", DATASET_OUT, views="hourly weather fires stations", sql=f"""
+WITH complete AS MATERIALIZED {COMPLETE_ROWS}, told AS MATERIALIZED {news_sql('complete')}
+SELECT station, timestamp, """ + ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in STORED)
+       + f" FROM ({repaired_sql('told')})")
 def build_dataset(t):
-    out = features.build_dataset(t.hourly(), t.stations(), cell_weather(t), t.fires())
-    return out
-
-
-@query("m05_live_window", "station:s timestamp:t pm25:f temperature_2m:f frp_sum:f "
-       "news_calamity:f news_smog_alert:f", views="hourly weather fires stations", sql=f"""
-SELECT station, timestamp, pm25, coalesce(t0, v0 + (v1 - v0) * ((pos - p0) / (p1 - p0)), v0, v1, 0)
-  AS temperature_2m, frp_sum, coalesce(live, 0) AS news_calamity, 0 AS news_smog_alert
-FROM (SELECT *, temperature_2m AS t0,
-  last_value(CASE WHEN temperature_2m IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS p0,
-  last_value(temperature_2m IGNORE NULLS) OVER a AS v0,
-  first_value(CASE WHEN temperature_2m IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS p1,
-  first_value(temperature_2m IGNORE NULLS) OVER b AS v1
-  FROM (SELECT x.*, w.temperature_2m / 50 AS live, row_number() OVER (PARTITION BY x.station
-      ORDER BY x.timestamp) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY station
-      ORDER BY timestamp DESC) AS rn FROM ({features_sql()})) x
-    LEFT JOIN weather w ON x.station = w.station AND x.timestamp = w.timestamp WHERE rn <= 72)
-  WINDOW a AS (PARTITION BY station ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-    b AS (PARTITION BY station ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
+    return features.build_dataset(t.hourly(), t.stations(), cell_weather(t), t.fires(),
+                                  copollutants=gas_hours(t), news=city_news(t))
+
+
+LIVE_OUT = "station:s timestamp:t " + " ".join(f"{c}:f" for c in fixed.FEATURES)
+
+
+def live_sql(source="hourly", weather=False, fires=False, news=False):
+    """The newest 72 rows of every station, repaired and without nulls."""
+    rows = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station
+      ORDER BY timestamp DESC) AS rn FROM ({features_sql(source, weather, fires)})) WHERE rn <= 72)"""
+    told = news_sql("newest") if news else f"""(SELECT f.*, {", ".join(f"c.{c}" for c in fixed.NEWS_SIGNALS)}
+  FROM newest f JOIN ({calendar_news_sql("station, timestamp", "newest")}) c USING (station, timestamp))"""
+    zeroed = ", ".join(f"coalesce({c}, 0) AS {c}" for c in fixed.FEATURES)
+    return f"""
+WITH newest AS MATERIALIZED {rows}, told AS MATERIALIZED {told}
+SELECT station, timestamp, {zeroed} FROM ({repaired_sql('told')})"""
+
+
+@query("m05_live_window", LIVE_OUT, views="hourly weather fires stations",
+       sql=live_sql("hourly", True, True, True))
 def live(t):
-    return features.live_window(t.hourly(), t.stations(), cell_weather(t), t.fires(),
-                                live_news(t))
+    return features.live_window(t.hourly(), t.stations(), cell_weather(t), t.fires(), city_news(t))
 
 
 ARCHIVE = """(SELECT o_custkey AS location_id, o_orderdate + INTERVAL 1 MINUTE *
@@ -439,14 +509,15 @@ def archive_texts(t):
 
 
 @query("m09_merge_history", "station:s timestamp:t pm25:f", views="hourly raw", sql="""
-SELECT station, timestamp, coalesce(h.pm25, c.pm25) AS pm25 FROM (SELECT * FROM hourly
-  WHERE pm25 > 150) c FULL JOIN (SELECT station, timestamp, max(pm25) AS pm25 FROM (
-  SELECT station, date_trunc('hour', ts) AS timestamp, pm25 FROM raw WHERE kind = 'click')
+SELECT station, timestamp, coalesce(h.pm25, c.pm25) AS pm25 FROM hourly c FULL JOIN (
+  SELECT station, timestamp, max(pm25) AS pm25 FROM (
+    SELECT station, date_trunc('hour', ts) + INTERVAL 12 HOUR AS timestamp, pm25 FROM raw)
   GROUP BY 1, 2) h USING (station, timestamp)""")
 def merge(t):
-    current = t.hourly().filter("pm25 > 150").withColumn("extra", F.lit(1))
-    old = t.raw().filter("kind = 'click'").groupBy(
-        "station", F.date_trunc("hour", "ts").alias("timestamp")).agg(F.max("pm25").alias("pm25"))
+    """The archive runs half a day ahead of the readings, so either has hours that the other lacks."""
+    current = t.hourly().withColumn("extra", F.lit(1))
+    old = t.raw().groupBy("station", (F.date_trunc("hour", "ts") + F.expr("INTERVAL 12 HOURS")).alias("timestamp")).agg(
+        F.max("pm25").alias("pm25"))
     return history.merge_history(current, old)
 
 
@@ -499,8 +570,9 @@ def found_locations(t):
         F.array(sensor(key * 9000, name), sensor(key * 9000 + 5, name)).alias("sensors"))
 
 
-REGISTRY = f"""(SELECT substr(lower(replace(coalesce(CASE WHEN k % 6 <> 0 THEN c_name END,
-    'loc_' || CAST(k AS VARCHAR)) || '_' || CAST(k AS VARCHAR), ' ', '_')), 1, 50) AS station,
+REGISTRY = f"""(SELECT lower(substr(replace(coalesce(CASE WHEN k % 6 <> 0 THEN c_name END,
+    'loc_' || CAST(k AS VARCHAR)), ' ', '_'), 1, 49 - length(CAST(k AS VARCHAR)))
+    || '_' || CAST(k AS VARCHAR)) AS station,
   k AS location_id, k * 9000 + 5 AS sensor_id, lat, lon,
   CASE WHEN k % 3 <> 0 THEN c_mktsegment WHEN k % 5 <> 0
     THEN 'Town ' || CAST(c_nationkey AS VARCHAR) ELSE 'Unknown' END AS city
@@ -542,8 +614,7 @@ SELECT station, arg_min(sensor_id, i) AS sensor_id,
   strftime(arg_min(a, i), '%Y-%m-%dT%H:%M:%SZ') AS data_start,
   strftime(arg_min(b, i), '%Y-%m-%dT%H:%M:%SZ') AS data_end
 FROM (SELECT station, unnest(ids) AS sensor_id, unnest([1, 2, 3]) AS i FROM {SITES})
-JOIN (SELECT sensor_id, min(ts) AS a, max(ts) AS b FROM raw WHERE kind = 'view' AND pm25 > 150
-  GROUP BY 1) USING (sensor_id) GROUP BY station""")
+JOIN (SELECT sensor_id, min(ts) AS a, max(ts) AS b FROM raw GROUP BY 1) USING (sensor_id) GROUP BY station""")
 def screen_registry(t):
-    seen = aggregate.sensor_coverage(t.raw().filter("kind = 'view' AND pm25 > 150"), ts="ts")
+    seen = aggregate.sensor_coverage(t.raw(), ts="ts")
     return registry.screen_stations(sites(t), seen, cities=["SOMEWHERE"])
