@@ -1,7 +1,9 @@
 """Learning set and the forecasters that Spark can fit itself."""
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
@@ -32,29 +34,47 @@ def null_columns(df: DataFrame, cols) -> list[str]:
 
 def prepare(dataset: DataFrame, features=fixed.FEATURES, targets=fixed.TARGETS,
             base=1) -> LearningSet:
-    """Split, ids and scales; scales are fitted on the training rows only."""
+    """Split, ids and scales; scales are fitted on the training rows only.
+
+    Unknown values are filled inside a station's split, so no split learns from a later one.
+    A feature that no training row knows keeps its unit: center 0, scale 1.
+    """
     split = materialise(ranks.chrono_split(dataset))
     train = split.filter(F.col("split") == "train")
     scaler = materialise(scaling.fit_robust(train, features).unionByName(
         scaling.fit_robust_pooled(train, targets)))
-    params = scaling.params_on_driver(scaler)
-    ids = ranks.station_ids(dataset, base)
+    known = scaling.params_on_driver(scaler)
+    params = {c: known.get(c, (0.0, 1.0)) for c in [*features, "target"]}
+    missing = [(c, *params[c]) for c in params if c not in known]
+    if missing:
+        scaler = scaler.unionByName(dataset.sparkSession.createDataFrame(missing, scaler.schema))
+    ids = ranks.station_ids(split, base)
     unknown = null_columns(split, features)
-    filled = fill_forward_back(split, unknown) if unknown else split
+    filled = split
+    if unknown:
+        part = F.concat_ws("|", "split", "station")
+        filled = fill_forward_back(split.withColumn("_split_key", part), unknown, key="_split_key").drop("_split_key")
     scaled = scaling.robust_scale(filled, {c: params[c] for c in features})
     center, scale = params["target"]
     scaled = scaled.withColumns({
         t: (F.col(t).cast("double") - F.lit(center)) / F.lit(scale) for t in targets})
-    return LearningSet(join_station_ids(scaled, ids), ids, scaler)
+    # training, validation and test rows are each read many times
+    return LearningSet(materialise(join_station_ids(scaled, ids)), ids, scaler)
 
 
 def learning_sequences(rows: DataFrame, features=fixed.FEATURES, max_rows=0, gap=1,
                        seed=42) -> DataFrame:
     """Examples as arrays. ``max_rows`` spreads a cap over the stations; 0 means all.
 
-    The cap picks narrow (station, time) rows first, so examples that are not wanted
+    Where rows have a ``split``, no example reaches from one into another. The cap picks
+    narrow (station, time) rows first, so examples that are not wanted
     are never built into arrays.
     """
+    if "split" in rows.columns:
+        own = rows.withColumn("station", F.concat_ws("|", "split", "station")).drop("split")
+        out = learning_sequences(own, features, max_rows, gap, seed)
+        return out.withColumn("split", F.expr("left(station, instr(station, '|') - 1)")).withColumn(
+            "station", F.expr("substr(station, instr(station, '|') + 1)"))
     keep = None
     if max_rows:
         spots = sequences(rows.select("station", "timestamp"), [], [], gap=gap)
@@ -90,32 +110,40 @@ def naive(df: DataFrame, kind="persistence") -> DataFrame:
 
 
 def fit_linear(rows: DataFrame, horizons=range(1, fixed.HORIZONS + 1),
-               features=fixed.FEATURES, max_iter=50) -> dict[int, LinearRegressionModel]:
-    """One robust linear model per horizon, on rows without nulls."""
+               features=fixed.FEATURES, max_iter=50, loss="huber",
+               ridge=0.01, parallelism=4) -> dict[int, LinearRegressionModel]:
+    """One linear model per horizon, on rows without nulls: robust, or by least squares
+    with ``loss="squaredError"``. So many fits run side by side as ``parallelism`` says."""
     targets = [f"target_{h}h" for h in horizons]
     assembler = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")
+    # one test over an array: the optimizer would multiply out 24 tests of computed columns
+    known = rows.filter(~F.exists(F.array(*targets), lambda v: v.isNull()))
     # every iteration of every fit reads this
-    table = materialise(assembler.transform(rows.dropna(subset=targets)).select("x", *targets))
-    models = {}
-    for h in horizons:
-        model = LinearRegression(featuresCol="x", labelCol=f"target_{h}h", loss="huber",
-                                 maxIter=max_iter, regParam=0.01)
-        models[h] = model.fit(table)
-    return models
+    table = materialise(assembler.transform(known).select("x", *targets))
+
+    def fit(h):
+        model = LinearRegression(featuresCol="x", labelCol=f"target_{h}h", loss=loss,
+                                 maxIter=max_iter, regParam=ridge)
+        return h, model.fit(table)
+
+    with ThreadPool(parallelism) as pool:
+        return dict(pool.map(inheritable_thread_target(table.sparkSession)(fit), list(horizons)))
 
 
 def predict_linear(models: dict[int, LinearRegressionModel], rows: DataFrame,
                    features=fixed.FEATURES) -> DataFrame:
-    """Long pairs: all horizons are computed in one pass over the rows."""
-    values = F.array(*[F.col(c).cast("double") for c in features])
-    x = rows.withColumn("_x", values)
-
-    def dot(h):
-        weights = F.array(*[F.lit(float(v)) for v in models[h].coefficients])
-        terms = F.zip_with("_x", weights, lambda a, b: a * b)
-        return F.aggregate(terms, F.lit(float(models[h].intercept)), lambda s, t: s + t)
+    """Long pairs: all horizons are computed in one pass over the rows, as compiled sums."""
+    def value(h):
+        model = models[h]
+        out = F.lit(float(model.intercept))
+        for name, weight in zip(features, model.coefficients, strict=True):
+            # features without influence cost nothing
+            if weight != 0:
+                out = out + F.col(name).cast("double") * F.lit(float(weight))
+        return out
 
     steps = F.array(*[F.struct(F.lit(h).alias("horizon"),
                                F.col(f"target_{h}h").cast("double").alias("y_true"),
-                               dot(h).alias("y_pred")) for h in sorted(models)])
-    return x.select("station", "timestamp", F.inline(steps))
+                               F.col(f"_forecast_{h}").alias("y_pred")) for h in sorted(models)])
+    named = rows.select("*", *[value(h).alias(f"_forecast_{h}") for h in sorted(models)])
+    return named.select("station", "timestamp", F.inline(steps))

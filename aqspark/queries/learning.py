@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
-from aqspark.operators import metrics, ranks, scaling
+from aqspark.operators import metrics, ranks, scaling, spatial
 from aqspark.operators.clean import ensure_columns
 from aqspark.operators.windows import add_targets
-from aqspark.plans import forecast, learning
+from aqspark.plans import features, forecast, learning
 from aqspark.queries.base import query
+from aqspark.queries.joining import cell_weather, features_sql
 from aqspark.queries.scalars import bands_sql
 from aqspark.sources import writers
 from aqspark.storage import new_path
@@ -36,20 +37,23 @@ def persistence_documents(t):
                           ids=ranks.station_ids(t.hourly()))
 
 
-@query("m01_score", "station:s current_aqi:s data_ts:s steps:i value:f2 aqi:s color:s "
+SHOWN = "round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1)"
+
+
+@query("m01_score", "station:s current_pm25:f2 current_aqi:s data_ts:s step:s value:f2 aqi:s color:s change:f2 "
        "confidence:f", views="hourly", sql=f"""
-SELECT station, {bands_sql('pm25', 2, 'Severe')} AS current_aqi,
-  strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS data_ts, 24 AS steps,
-  round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1) AS value,
-  {bands_sql('round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1)', 2, 'Severe')} AS aqi,
-  {bands_sql('round(CAST(CAST(pm25 AS FLOAT) AS DOUBLE), 1)', 4, '[MAROON]')} AS color,
-  0.61 AS confidence FROM {SCORED}""")
+SELECT station, near AS current_pm25, {bands_sql('pm25', 2, 'Severe')} AS current_aqi,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS data_ts, '+' || CAST(h AS VARCHAR) || 'h' AS step,
+  {SHOWN} AS value, {bands_sql(SHOWN, 2, 'Severe')} AS aqi, {bands_sql(SHOWN, 4, '[MAROON]')} AS color,
+  round(near - pm25, 1) AS change,
+  CASE WHEN h = 7 THEN 0.83 ELSE round_even(0.90::DOUBLE - (h - 1) / 24.0::DOUBLE * 0.30::DOUBLE, 2)
+    END AS confidence FROM (SELECT *, unnest(range(1, 25)) AS h FROM {SCORED})""")
 def score(t):
+    """Every step of every document."""
     docs = persistence_documents(t)
-    last = F.col("forecast")["+24h"]
-    return docs.select("station", "current_aqi", "data_ts", F.size("forecast").alias("steps"),
-                       last["pm25"].alias("value"), last["aqi"].alias("aqi"),
-                       last["aqi_color"].alias("color"), last["confidence"].alias("confidence"))
+    return docs.select("station", "current_pm25", "current_aqi", "data_ts", F.explode("forecast").alias("step", "f")).select(
+        "*", F.col("f.pm25").alias("value"), F.col("f.aqi").alias("aqi"), F.col("f.aqi_color").alias("color"),
+        F.col("f.delta").alias("change"), F.col("f.confidence").alias("confidence"))
 
 
 @query("m02_score_all", "station:s forecasts:i lowest:f2 highest:f2", views="hourly", sql=f"""
@@ -94,52 +98,103 @@ def write_forecast(t):
         F.col("forecast")["+5h"]["pm25"].alias("later"))
 
 
-MODEL_FEATURES = ["pm25", "is_monsoon", "news_calamity"]
+def feature_rows(t):
+    """All 59 features and 24 targets of the hours whose last target is known."""
+    hours = spatial.fire_hourly(t.stations(), t.fires())
+    rows = features.build_features(t.hourly(), t.stations(), cell_weather(t), hours)
+    return rows.dropna(subset=fixed.TARGETS)
 
 
 def learning_set(t):
-    dataset = add_targets(rows_with_features(t).select(
-        "station", "timestamp", *MODEL_FEATURES)).dropna(subset=fixed.TARGETS)
-    return learning.prepare(dataset, MODEL_FEATURES)
+    return learning.prepare(feature_rows(t))
 
 
-COMPLETE = f"""(SELECT * FROM (SELECT *, lead(pm25, 24) OVER w AS last FROM hourly {W})
-  WHERE last IS NOT NULL)"""
-SPLIT = f"""(SELECT *, CASE WHEN i < floor(n * 0.70::DOUBLE) THEN 'train'
+SPLIT = f"""SELECT *, CASE WHEN i < floor(n * 0.70::DOUBLE) THEN 'train'
   WHEN i < floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split
-  FROM (SELECT *, row_number() OVER (ORDER BY timestamp, station) - 1 AS i,
-    count(*) OVER () AS n FROM {COMPLETE}))"""
-
-
-@query("m06_learning_set", "station:s timestamp:t split:s station_id:i pm25:f", views="hourly",
-       sql=f"""SELECT station, timestamp, split, station_id, (pm25 - mid) / width AS pm25
-FROM {SPLIT} JOIN (SELECT station, row_number() OVER (ORDER BY station) AS station_id
-  FROM (SELECT DISTINCT station FROM {COMPLETE})) USING (station),
-  (SELECT quantile_cont(pm25, 0.5) AS mid, quantile_cont(pm25, 0.75) - quantile_cont(pm25, 0.25)
-   AS width FROM {SPLIT} WHERE split = 'train')""")
+  FROM (SELECT *, row_number() OVER (ORDER BY timestamp, station) - 1 AS i, count(*) OVER () AS n
+    FROM (SELECT *, {", ".join(f"0 AS {c}" for c in fixed.NEWS_SIGNALS)} FROM ({features_sql()}))
+    WHERE target_24h IS NOT NULL)"""
+
+
+def filled_sql(c):
+    """Last known value of a station's split, else the next, else 0."""
+    order = "OVER (PARTITION BY station, split ORDER BY timestamp ROWS BETWEEN "
+    return (f"coalesce(last_value({c} IGNORE NULLS) {order} UNBOUNDED PRECEDING AND CURRENT ROW), "
+            f"first_value({c} IGNORE NULLS) {order} CURRENT ROW AND UNBOUNDED FOLLOWING), 0)")
+
+
+@query("m06_learning_set", "station:s timestamp:t split:s station_id:i "
+       + " ".join(f"{c}:f6" for c in fixed.FEATURES), views="hourly weather fires stations", sql=f"""
+WITH parts AS MATERIALIZED ({SPLIT}),
+scales AS MATERIALIZED (SELECT {", ".join(
+    f"coalesce(quantile_cont({c}::DOUBLE, 0.5), 0) AS m_{c}, coalesce(nullif(quantile_cont({c}::DOUBLE, 0.75)"
+    f" - quantile_cont({c}::DOUBLE, 0.25), 0), 1) AS w_{c}" for c in fixed.FEATURES)}
+  FROM parts WHERE split = 'train')
+SELECT station, timestamp, split, station_id, {", ".join(
+    f"({filled_sql(c)} - m_{c}) / w_{c} AS {c}" for c in fixed.FEATURES)}
+FROM parts JOIN (SELECT station, row_number() OVER (ORDER BY station) AS station_id
+  FROM (SELECT DISTINCT station FROM parts)) USING (station), scales""")
 def prepared(t):
     return learning_set(t).rows
 
 
-@query("m06_learning_sequences", "station:s n:i shortest:i longest:i", views="hourly", sql=f"""
-SELECT station, least(n - 95, greatest(1, 2000 // (SELECT count(*) FROM (SELECT station
-  FROM {COMPLETE} GROUP BY 1 HAVING count(*) >= 96)))) AS n, 72 AS shortest, 72 AS longest
-FROM (SELECT station, count(*) AS n FROM {COMPLETE} GROUP BY 1) WHERE n >= 96""")
+@query("m06_learning_sequences", "station:s split:s n:i shortest:i longest:i width:i",
+       views="hourly weather fires stations", sql=f"""
+WITH counts AS MATERIALIZED (SELECT station, split, count(*) AS n FROM ({SPLIT}) GROUP BY 1, 2 HAVING count(*) >= 96)
+SELECT station, split, least(n - 95, greatest(1, 2000 // (SELECT count(*) FROM counts))) AS n,
+  72 AS shortest, 72 AS longest, 59 AS width FROM counts""")
 def learning_sequences(t):
-    rows = learning_set(t).rows
-    examples = learning.learning_sequences(rows, MODEL_FEATURES, max_rows=2000)
-    return examples.groupBy("station").agg(
+    """No example reaches over the border of a split."""
+    examples = learning.learning_sequences(learning_set(t).rows, max_rows=2000)
+    return examples.groupBy("station", "split").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("shortest"),
-        F.max(F.size("x")).alias("longest"))
+        F.max(F.size("x")).alias("longest"), F.max(F.size(F.col("x")[0])).alias("width"))
+
+
+def on_test(t, found, features_, **options):
+    """Test rows with the forecasts of models fitted on the training rows, in reading units."""
+    center, scale = scaling.params_on_driver(found.scaler)["target"]
+    models = learning.fit_linear(found.rows.filter("split = 'train'"), features=features_, **options)
+    pairs = learning.predict_linear(models, found.rows.filter("split = 'test'"), features_)
+    return scaling.robust_unscale(pairs, dict.fromkeys(["y_true", "y_pred"], (center, scale)))
 
 
-@query("m06_linear_forecast", "horizon:i n:i mae:f4 rmse:f4 r2:f4")
+HOUR_SPLIT = f"""(SELECT *, CASE WHEN i < floor(n * 0.70::DOUBLE) THEN 'train'
+  WHEN i < floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY timestamp, station) - 1 AS i, count(*) OVER () AS n
+    FROM (SELECT *, {", ".join(f"lead(pm25, {h}) OVER w AS target_{h}h" for h in range(1, 25))} FROM hourly {W})
+    WHERE target_24h IS NOT NULL))"""
+
+
+def straight_line_sql(h):
+    """Errors of the least-squares line from the reading to the one h rows later."""
+    return f"""SELECT {h} AS horizon, count(*) AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
+  1 - avg((y - p) * (y - p)) / var_pop(y) AS r2
+FROM (SELECT target_{h}h AS y, slope * pm25 + start AS p FROM parts, (SELECT regr_slope(target_{h}h, pm25) AS slope,
+  regr_intercept(target_{h}h, pm25) AS start FROM parts WHERE split = 'train') WHERE split = 'test')"""
+
+
+@query("m06_linear_forecast", "horizon:i n:i mae:f4 rmse:f4 r2:f4", views="hourly",
+       sql=f"WITH parts AS MATERIALIZED {HOUR_SPLIT} " + " UNION ALL ".join(
+           straight_line_sql(h) for h in range(1, fixed.HORIZONS + 1)))
 def linear(t):
-    """Error of the fitted models on the test rows, in reading units."""
+    """Least squares on the reading alone, which SQL can fit too."""
+    dataset = add_targets(t.hourly()).dropna(subset=fixed.TARGETS)
+    found = learning.prepare(dataset, ["pm25"])
+    return metrics.horizon_metrics(on_test(t, found, ["pm25"], loss="squaredError", ridge=0.0))
+
+
+@query("m06_robust_forecast", "horizon:i n:i better:i", views="hourly weather fires stations", sql=f"""
+SELECT unnest(range(1, 25)) AS horizon, n, 1 AS better FROM (SELECT count(*) AS n FROM ({SPLIT}) WHERE split = 'test')""")
+def robust(t):
+    """The robust models on all features, against repeating the reading: what SQL can tell is
+    over how many rows, and that the models err less."""
     found = learning_set(t)
-    center, scale = scaling.params_on_driver(found.scaler)["target"]
-    train = found.rows.filter("split = 'train'")
-    models = learning.fit_linear(train, [1, 24], MODEL_FEATURES, max_iter=20)
-    pairs = learning.predict_linear(models, found.rows.filter("split = 'test'"), MODEL_FEATURES)
-    back = scaling.robust_unscale(pairs, dict.fromkeys(["y_true", "y_pred"], (center, scale)))
-    return metrics.horizon_metrics(back)
+    pairs = on_test(t, found, fixed.FEATURES)
+    center, scale = scaling.params_on_driver(found.scaler)["pm25"]
+    now = found.rows.filter("split = 'test'").select(
+        "station", "timestamp", (F.col("pm25") * scale + center).alias("now"))
+    errors = pairs.join(now, ["station", "timestamp"]).groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"),
+        F.avg(F.abs(F.col("y_true") - F.col("now"))).alias("naive"))
+    return errors.withColumn("better", (F.col("mae") < F.col("naive")).cast("int"))

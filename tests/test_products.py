@@ -166,10 +166,38 @@ def test_learning_set_and_models(hours):
     assert found.rows.filter("pm25_lag1 is null").count() == 0
     assert found.scaler.count() == 3
     examples = learning.learning_sequences(found.rows, names, max_rows=20)
-    assert {r.station: r["count"] for r in examples.groupBy("station").count().collect()} == {
-        "a": 10, "b": 10}
+    # the cap is spread over the stations' splits that have examples
+    assert 0 < examples.count() <= 20 and set(examples.columns) >= {"station", "split"}
     full = learning.learning_sequences(found.rows, names)
-    assert full.count() == (276 - 95) + (126 - 95)
+    parts = found.rows.groupBy("station", "split").count().collect()
+    assert full.count() == sum(max(0, r["count"] - 95) for r in parts)
     models = learning.fit_linear(found.rows, [1], names, max_iter=30)
     pairs = learning.predict_linear(models, found.rows, names)
     assert metrics.horizon_metrics(pairs).first().r2 > 0.8
+
+
+def test_nothing_is_filled_from_a_later_split(hours):
+    """A feature known in the last rows only stays unknown, so zero, in the training rows."""
+    df = hours(wave(200))
+    last = df.agg(F.max("timestamp")).first()[0]
+    rows = df.withColumn("no2", F.when(F.unix_timestamp("timestamp") > F.unix_timestamp(F.lit(last)) - 20 * 3600, 5.0))
+    rows = rows.withColumns({t: F.col("pm25") for t in fixed.TARGETS}).withColumn("so2", F.lit(None).cast("double"))
+    found = learning.prepare(rows, ["pm25", "no2", "so2"])
+    got = {r.split: (r.lo, r.hi) for r in found.rows.groupBy("split").agg(
+        F.min("no2").alias("lo"), F.max("no2").alias("hi")).collect()}
+    assert got["train"] == (0.0, 0.0) and got["test"][1] == 5.0
+    assert found.rows.filter("so2 <> 0 or so2 is null").count() == 0
+
+
+def test_news_of_some_cities(hours, sites, spark):
+    """Cities that the news do not know follow the calendar, in live windows and in datasets."""
+    df = hours(wave(200) + wave(200, "b"))
+    places = spark.createDataFrame([("a", 28.0, 77.0, "X"), ("b", 28.0, 77.0, "Y")],
+                                   "station string, lat double, lon double, city string")
+    news = df.filter("station = 'a'").select(F.lit("X").alias("city"), "timestamp", F.lit(0.7).alias("news_calamity"))
+    for out in (features.live_window(df, places, news=news),
+                features.build_dataset(df, places, news=news, min_readings=10, min_rows=10)):
+        got = {r.station: r for r in out.groupBy("station").agg(
+            F.max("news_calamity").alias("told"), F.max("news_industrial_event").alias("calendar")).collect()}
+        assert got["a"].told == pytest.approx(0.7) and got["a"].calendar == 0
+        assert got["b"].told == 0 and got["b"].calendar == pytest.approx(0.05)
