@@ -70,8 +70,10 @@ def chrono_split(df: DataFrame, train=0.70, val=0.15, ts="timestamp",
 # --- sampling ------------------------------------------------------------------------
 
 def _draw(keys, seed):
-    """Repeatable random order: a hash of the row's key and the seed."""
-    return F.xxhash64(*keys, F.lit(seed))
+    """Repeatable random order, the same in any engine: a digest of the row's key and the seed."""
+    texts = [F.date_format(k, "yyyy-MM-dd HH:mm:ss") if k in ("timestamp", "ts") else F.col(k).cast("string")
+             for k in keys]
+    return F.md5(F.concat_ws("|", *texts, F.lit(str(seed))).cast("binary"))
 
 
 def cap_per_key(df: DataFrame, cap: int, seed: int = 42, key="station",
@@ -90,23 +92,28 @@ def cap_for_total(df: DataFrame, total: int, key="station") -> int:
 def _leading(df: DataFrame, n: int, bucket, order) -> DataFrame:
     """The first ``n`` rows in ``order``, which must refine the order of ``bucket``.
 
-    Bucket counts tell which buckets can hold them; all other rows go before any two
-    tasks exchange rows. There have to be few buckets.
+    Bucket counts tell which buckets lie wholly before the ``n``-th row: their rows are kept as they
+    are. Only the bucket that holds the ``n``-th row is ranked; all other rows go before any two
+    tasks exchange rows. There have to be few buckets, and none may be too large to rank.
     """
     marked = df.withColumn("_bucket", bucket)
     counts = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
-    wanted = counts.withColumn("_before", before).filter(F.col("_before") < n)
-    kept = marked.join(F.broadcast(wanted.select("_bucket")), "_bucket", "left_semi")
-    return kept.drop("_bucket").orderBy(*order).limit(n)
+    wanted = counts.withColumn("_rest", F.lit(n) - before).filter(F.col("_rest") > 0)
+    kept = marked.join(F.broadcast(wanted), "_bucket")
+    whole = kept.filter(F.col("_n") <= F.col("_rest"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    part = kept.filter(F.col("_n") > F.col("_rest")).withColumn("_rank", rank)
+    part = part.filter(F.col("_rank") <= F.col("_rest")).drop("_rank")
+    return whole.unionByName(part).drop("_bucket", "_n", "_rest")
 
 
 def sample_rows(df: DataFrame, n: int, keys=("station", "timestamp"),
                 seed: int = 42) -> DataFrame:
-    """``n`` repeatable random rows: those with the smallest hashes."""
+    """``n`` repeatable random rows: those with the smallest digests."""
     draw = _draw(keys, seed)
-    # the upper 16 bits: 65,536 buckets in the order of the hash
-    return _leading(df, n, F.shiftright(draw, 48), [draw, *keys])
+    # the first four of its digits: 65,536 buckets in the order of the digest
+    return _leading(df, n, F.substring(draw, 1, 4), [draw, *keys])
 
 
 def epoch_sample(df: DataFrame, n: int, epoch: int,
@@ -115,9 +122,13 @@ def epoch_sample(df: DataFrame, n: int, epoch: int,
     return sample_rows(df, n, keys, seed=epoch * 1337 + 42)
 
 
-def scaler_sample(df: DataFrame, n: int = 200_000, how="random",
+def scaler_sample(df: DataFrame, n: int, how="random",
                   keys=("station", "timestamp")) -> DataFrame:
-    """Rows to fit scalers on: null-free random rows, or the first rows in time."""
+    """``n`` rows to fit scalers on: null-free random rows, or the first rows in time.
+
+    The first rows know only the first season; scales from them are biased. ``prepare``
+    in ``plans.learning`` uses all training rows instead.
+    """
     if how == "first":
         return _leading(df, n, F.date_trunc("hour", "timestamp"), ["timestamp", "station"])
     return sample_rows(df.dropna("any"), n, keys)

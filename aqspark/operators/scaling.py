@@ -8,14 +8,16 @@ from aqspark.functions.scalars import scaled, unscaled
 
 SKETCH = 10_000          # a sketch quantile is off by at most 1 / SKETCH of the rows
 MARGIN = 3 / SKETCH
+SLOTS = 1024             # a bracket's values are counted in so many slots before any are ranked
 
 
 def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``key`` (few keys, any rows).
 
     A mergeable sketch brackets each quantile. A second pass counts what lies below
-    the brackets and keeps counts per distinct value only inside them, so what is
-    finally ranked is less than a thousandth of the rows per quantile.
+    the brackets and keeps counts per distinct value only inside them. Counts per slot of a bracket
+    then tell which slots hold the quantile, and only their values are ranked in one task: about a
+    millionth of the rows.
     """
     long = long.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     marks = [m for p in probs for m in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
@@ -32,27 +34,40 @@ def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> Dat
         .when(F.col(value) > F.col("_marks")[2 * i + 1], 1).otherwise(0)
         for i in range(len(probs))])
     inside = F.when(F.array_contains("_sides", 0), F.col(value))
-    zones = (placed.select(key, "_n", value, sides.alias("_sides"))
-             .groupBy(key, "_n", "_sides", inside.alias("_v"))
+    zones = (placed.select(key, "_n", "_marks", value, sides.alias("_sides"))
+             .groupBy(key, "_n", "_marks", "_sides", inside.alias("_v"))
              .agg(F.count(F.lit(1)).alias("_c"), F.min(value).alias("_min"),
                   F.max(value).alias("_max")))
-    # few rows from here on
-    each = zones.select(key, "_n", "_v", "_c", "_min", "_max",
+    each = zones.select(key, "_n", "_v", "_c", "_min", "_max", "_marks",
                         F.posexplode("_sides").alias("_i", "side"))
-    counted = (each.groupBy(key, "_n", "_i", "side",
-                            F.when(F.col("side") == 0, F.col("_v")).alias("_v"))
+    # a bracket is cut into slots of equal width; what lies outside is one slot on each side
+    low, high = F.col("_marks")[2 * F.col("_i")], F.col("_marks")[2 * F.col("_i") + 1]
+    place = F.when(high > low, (F.col("_v") - low) / (high - low)).otherwise(0.0)
+    slot = F.when(F.col("side") < 0, -1).when(F.col("side") > 0, SLOTS).otherwise(
+        F.least(F.floor(place * SLOTS), F.lit(SLOTS - 1))).cast("int")
+    counted = (each.withColumn("_slot", slot)
+               .groupBy(key, "_n", "_i", "_slot",
+                        F.when(F.col("side") == 0, F.col("_v")).alias("_v"))
                .agg(F.sum("_c").alias("_c"), F.min("_min").alias("_min"),
                     F.max("_max").alias("_max"))
-               .withColumn("_v", F.when(F.col("side") < 0, F.col("_max"))
+               .withColumn("_v", F.when(F.col("_slot") < 0, F.col("_max"))
                            .otherwise(F.col("_min")))
                .withColumn("p", F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")])
                .withColumn("rank", F.col("p") * (F.col("_n") - 1)))
-    upto = (Window.partitionBy(key, "p").orderBy("side", "_v")
-            .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
+    # at most SLOTS + 2 rows per quantile tell which slots hold its two neighbours in rank
+    upto = Window.partitionBy(key, "p", "rank").orderBy("_slot")
+    slots = (counted.groupBy(key, "p", "rank", "_slot").agg(F.sum("_c").alias("_in"))
+             .withColumn("_start", F.sum("_in").over(upto) - F.col("_in"))
+             .filter((F.col("_start") <= F.ceil("rank"))
+                     & (F.floor("rank") < F.col("_start") + F.col("_in"))))
+    # only the values of these slots are ranked
+    inside = (Window.partitionBy(key, "p", "rank", "_slot").orderBy("_v")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.join(F.broadcast(slots), [key, "p", "rank", "_slot"]).withColumn(
+        "_cum", F.col("_start") + F.sum("_c").over(inside))
 
     def at(rank):
-        return F.min(F.when(F.col("_cum") > rank, F.struct("side", "_v")))["_v"]
+        return F.min(F.when(F.col("_cum") > rank, F.struct("_slot", "_v")))["_v"]
 
     found = ranked.groupBy(key, "p", "rank").agg(
         at(F.floor("rank")).alias("_low"), at(F.ceil("rank")).alias("_high"))

@@ -40,25 +40,30 @@ def first(t):
     return ranks.first_stations(t.places())
 
 
-@query("k05_cap_per_station", "station:s n:i", views="hourly", sql="""
-SELECT station, least(count(*), greatest(1, 4000 // (SELECT count(DISTINCT station) FROM hourly)))
-  AS n FROM hourly GROUP BY 1""")
+def drawn_sql(seed):
+    """The digest that orders random draws of hour rows."""
+    return f"md5(station || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|{seed}')"
+
+
+@query("k05_cap_per_station", "station:s timestamp:t pm25:f", views="hourly", sql=f"""
+SELECT station, timestamp, pm25 FROM (SELECT *, row_number() OVER (PARTITION BY station
+  ORDER BY {drawn_sql(42)}, timestamp) AS rn FROM hourly)
+WHERE rn <= greatest(1, 4000 // (SELECT count(DISTINCT station) FROM hourly))""")
 def capped(t):
-    """Which rows are drawn is a matter of the hash; how many is not."""
     hourly = t.hourly()
-    drawn = ranks.cap_per_key(hourly, ranks.cap_for_total(hourly, 4000))
-    return drawn.groupBy("station").agg(F.count(F.lit(1)).alias("n"))
+    return ranks.cap_per_key(hourly, ranks.cap_for_total(hourly, 4000))
 
 
-@query("k06_epoch_sample", "station:s timestamp:t pm25:f")
+@query("k06_epoch_sample", "station:s timestamp:t pm25:f", views="hourly", sql=f"""
+SELECT * FROM hourly ORDER BY {drawn_sql(3 * 1337 + 42)}, station, timestamp LIMIT 500""")
 def epoch(t):
     return ranks.epoch_sample(t.hourly(), 500, epoch=3)
 
 
-@query("k07_scaler_sample", "n:i", views="hourly",
-       sql="SELECT least(count(*), 5000) AS n FROM hourly")
+@query("k07_scaler_sample", "station:s timestamp:t pm25:f", views="hourly", sql=f"""
+SELECT * FROM hourly ORDER BY {drawn_sql(42)}, station, timestamp LIMIT 5000""")
 def sample(t):
-    return ranks.scaler_sample(t.hourly(), 5000).agg(F.count(F.lit(1)).alias("n"))
+    return ranks.scaler_sample(t.hourly(), 5000)
 
 
 @query("k07_scaler_first_rows", "station:s timestamp:t pm25:f", views="hourly",

@@ -12,12 +12,11 @@ from aqspark.sources import schemas
 def write_dataset(df: DataFrame, path, mode="overwrite", ts="timestamp") -> None:
     """Parquet by day, in station order inside each file.
 
-    Rows are spread by station and day, so a file holds whole station days and no
-    day, however full, has to pass through a single task.
+    Rows are brought together by day; adaptive execution joins small days and splits full ones
+    by size, so files follow the data and no day has to pass through a single task.
     """
-    dated = df.withColumn("date", F.to_date(ts))
+    dated = df.withColumn("date", F.to_date(ts)).hint("rebalance", F.col("date"))
     if "station" in df.columns:
-        dated = dated.repartition("date", F.pmod(F.xxhash64("station"), F.lit(16)))
         dated = dated.sortWithinPartitions("date", "station", ts)
     dated.write.mode(mode).partitionBy("date").parquet(path)
 
