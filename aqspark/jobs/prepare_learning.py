@@ -1,6 +1,6 @@
 """Feature table → learning rows, scales, station ids and, if asked, example arrays.
 
-    spark-submit -m aqspark.jobs.prepare_learning --dataset DIR --out DIR
+    spark-submit --py-files aqspark.zip aqspark/jobs/prepare_learning.py --dataset DIR --out DIR
         [--sequences] [--max-rows N] [--gap 0|1]
 """
 

@@ -1,7 +1,7 @@
 """Feature table and parameters → forecast documents of all (or matching) stations.
 
-    spark-submit -m aqspark.jobs.score_dataset --dataset DIR --params DIR --out DIR
-        [--predictor module:function] [--station TEXT]
+    spark-submit --py-files aqspark.zip aqspark/jobs/score_dataset.py --dataset DIR --params DIR --out DIR
+        [--predictor module:function] [--station TEXT] [--since DAY]
 
 The function loads a predictor; without one the last reading is repeated.
 """
@@ -26,12 +26,12 @@ def run(spark, args):
         load = getattr(import_module(module), name)
     else:
         load = persistence(features.index("pm25"))
-    rows = readers.read_dataset(spark, args.dataset)
+    rows = readers.read_live(spark, args.dataset)
     if args.station:
         rows = rows.filter(F.lower("station").contains(args.station.lower()))
     # persistence works on scaled readings, whose scale is not that of the targets
     target = params["target"] if args.predictor else params["pm25"]
-    documents = score(rows, load, params, target, ids, features)
+    documents = score(rows, load, params, target, ids, features, args.since)
     writers.write_forecast(documents, args.out)
 
 
@@ -39,7 +39,7 @@ def arguments(argv=None):
     p = argparse.ArgumentParser()
     for name in ("--dataset", "--params", "--out"):
         p.add_argument(name, required=True)
-    for name in ("--predictor", "--station"):
+    for name in ("--predictor", "--station", "--since"):
         p.add_argument(name)
     return p.parse_args(argv)
 

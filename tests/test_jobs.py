@@ -1,10 +1,15 @@
 """The three batch jobs in a row, from landed files to forecast documents."""
 
+import gzip
 import json
 import math
 from datetime import datetime, timedelta
 
-from aqspark.jobs import build_dataset, prepare_learning, score_dataset
+import pytest
+from pyspark.sql import functions as F
+
+from aqspark.jobs import (
+    build_dataset, build_history, build_registry, evaluate, prepare_learning, score_dataset, score_live)
 
 START = datetime(2024, 1, 1)
 
@@ -52,3 +57,63 @@ def test_jobs_end_to_end(spark, tmp_path):
     got = spark.read.json(documents).first()
     assert got.station == "delhi_a"
     assert abs(got.forecast["+1h"].pm25 - got.current_pm25) < 0.11
+
+    # the same forecast straight from the readings
+    live = str(tmp_path / "live")
+    score_live.run(spark, score_live.arguments([
+        "--measurements", str(tmp_path / "m"), "--registry", str(tmp_path / "reg.json"),
+        "--params", f"{learn}/params", "--out", live]))
+    fresh = {d.station: d for d in spark.read.json(live).collect()}
+    assert fresh["delhi_a"].current_pm25 == pytest.approx(60 + 40 * math.sin(399 / 6) + 399 % 5, abs=0.06)
+
+    errors = str(tmp_path / "errors")
+    evaluate.run(spark, evaluate.arguments([
+        "--learning", learn, "--out", errors, "--horizons", "2", "--max-iter", "10"]))
+    linear = {r.horizon: r.mae for r in spark.read.json(f"{errors}/linear").collect()}
+    naive = {r.horizon: r.mae for r in spark.read.json(f"{errors}/persistence").collect()}
+    assert set(linear) == set(naive) == {"t+1h", "t+2h"} and linear["t+2h"] < naive["t+2h"]
+
+
+def test_registry_history_and_bounded_dataset(spark, tmp_path):
+    def lines(name, *documents):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(json.dumps(d) for d in documents))
+        return str(tmp_path / name)
+
+    def readings(n, **ids):
+        return {**ids, "results": [{"value": 50.0 + h % 7, "period": {"datetimeFrom": {
+            "utc": (START + timedelta(hours=h)).strftime("%Y-%m-%dT%H:%M:%SZ")}}} for h in range(n)]}
+
+    def place(i, sensor, lat):
+        return {"id": i, "name": "x" * 60, "coordinates": {"latitude": lat, "longitude": 77.2},
+                "sensors": [{"id": sensor, "parameter": {"name": "pm25"}}]}
+
+    measured = lines("m", readings(400, sensor_id=3_000_000), readings(400, sensor_id=3_000_001))
+    reg = str(tmp_path / "reg")
+    build_registry.run(spark, build_registry.arguments([
+        "--locations", lines("l", {"results": [place(1, 3_000_000, 28.6), place(2, 3_000_001, 28.7), place(3, 5, 28.6)]}),
+        "--measurements", measured, "--out", reg]))
+    stations = spark.read.json(f"{reg}/registry").collect()
+    # one long name, but two stations
+    assert len({s.station for s in stations}) == 2 and {s.city for s in stations} == {"Delhi"}
+
+    path = tmp_path / "archive" / "locationid=1" / "year=2023" / "month=12" / "a.csv.gz"
+    path.parent.mkdir(parents=True)
+    path.write_bytes(gzip.compress(b"utc,value\n2023-12-31T05:00:00Z,12\n"))
+    out = str(tmp_path / "history")
+    build_history.run(spark, build_history.arguments([
+        "--archive", str(tmp_path / "archive"), "--registry", f"{reg}/registry", "--out", out]))
+    assert [(r.location_id, r.pm25) for r in spark.read.parquet(out).collect()] == [(1, 12.0)]
+
+    articles = lines("n", {"articles": [{"title": "Dust storm over Delhi", "publishedAt": "2024-01-06T05:10:00Z"}]})
+    gases = lines("g", {**readings(400, location_id=1), "parameter": {"name": "no2"}})
+    data = str(tmp_path / "dataset")
+    build_dataset.run(spark, build_dataset.arguments([
+        "--measurements", measured, "--registry", f"{reg}/registry", "--pollutants", gases, "--articles", articles,
+        "--end", "2024-01-14", "--out", data]))
+    rows = spark.read.parquet(f"{data}/rows")
+    assert rows.agg(F.max("date")).first()[0].isoformat() <= "2024-01-14"
+    by_station = {r.station: r for r in rows.groupBy("station").agg(
+        F.max("no2").alias("no2"), F.max("news_dust_storm").alias("dust"), F.count("*").alias("n")).collect()}
+    assert sorted(r.no2 for r in by_station.values()) == [0.0, 56.0]
+    assert all(r.dust > 0 for r in by_station.values())
