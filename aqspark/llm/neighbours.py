@@ -31,8 +31,8 @@ PART_SIZE, MOST_PARTS = 1024, 256
 DEGREE = 10
 # vectors whose true neighbours are found by brute force to set the number of visited parts
 TESTS = 256
-# vectors and queries that meet in one task
-BLOCK, QUERY_BLOCK = 4096, 1024
+# vectors and queries that meet in one task: small parts share a block, large ones are split
+BLOCK, QUERY_BLOCK = 16384, 1024
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -154,15 +154,14 @@ class Index:
     recall: float
 
 
-def nearest_in_block(queries: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
-    """Of each query the places of its ``k`` nearest vectors, and of all that tie with the last of them."""
-    score = queries @ vectors.T
-    if k >= score.shape[1]:
-        return [np.arange(score.shape[1])] * len(queries)
-    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+def nearest_in_block(queries: np.ndarray, vectors: np.ndarray, visited: np.ndarray, k: int) -> list[np.ndarray]:
+    """Of each query the places of its ``k`` nearest among the vectors it may visit, and of all that tie
+    with the last of them."""
+    score = np.where(visited, queries @ vectors.T, -np.inf)
     # products of blocks may differ in their last digits
-    slack = 1e-12 * np.abs(score).max(1)
-    return [np.flatnonzero(row >= bound) for row, bound in zip(score, least - slack, strict=True)]
+    slack = 1e-12 * np.abs(np.where(visited, score, 0)).max(1)
+    least = np.partition(score, max(score.shape[1] - k, 0), axis=1)[:, max(score.shape[1] - k, 0)]
+    return [np.flatnonzero((row >= bound) & (row > -np.inf)) for row, bound in zip(score, least - slack, strict=True)]
 
 
 def _ranked(own_id, query, places, vectors, ids, k) -> list[tuple[int, float]]:
@@ -297,6 +296,13 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, id_col: str = "
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     asked = valid_vectors(queries, id_col, vector_col).distinct()
     router, sizes, probes = spark.sparkContext.broadcast(index.router), index.sizes, index.probes
+    # small parts next to each other share a pack of one block
+    pack, filled = np.zeros(len(sizes), "int64"), 0
+    for part in range(1, len(sizes)):
+        filled += sizes[part - 1]
+        fits = filled + sizes[part] <= BLOCK
+        pack[part] = pack[part - 1] + (not fits)
+        filled = filled if fits else 0
 
     def route(batches):
         for batch in batches:
@@ -307,40 +313,50 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, id_col: str = "
             # go on until enough candidates are met
             met = np.cumsum(sizes[visit], axis=1)
             n = np.maximum(probes, np.minimum((met < 2 * (k + 1)).sum(1) + 1, len(sizes)))
-            rows = np.repeat(np.arange(len(vectors)), n)
-            part = visit[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)]
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *taken.columns], ["part", "id", "vector"])
-
-    routed = written(asked.mapInArrow(route, "part int, id bigint, vector array<double>"), "routed")
-    asked_sizes = routed.groupBy("part").agg(F.count("*").alias("n")).collect()
-    # large parts are split: every block of vectors meets every block of the queries routed there
-    plan = spark.createDataFrame(
-        [(r["part"], int(-(-sizes[r["part"]] // BLOCK)) or 1, -(-r["n"] // QUERY_BLOCK)) for r in asked_sizes],
-        "part int, blocks int, query_blocks int")
-    plan = F.broadcast(plan)
+            packs, rows, parts = [], [], []
+            for row, (own, count) in enumerate(zip(visit, n, strict=True)):
+                own = np.sort(own[:count])
+                for name in np.unique(pack[own]):
+                    packs.append(name)
+                    rows.append(row)
+                    parts.append(own[pack[own] == name].astype("int32"))
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(packs, pa.int32()), *taken.columns, pa.array(parts, pa.list_(pa.int32()))],
+                ["pack", "id", "vector", "parts"])
+
+    routed = written(asked.mapInArrow(route, "pack int, id bigint, vector array<double>, parts array<int>"), "routed")
+    asked_sizes = {r["pack"]: r["n"] for r in routed.groupBy("pack").agg(F.count("*").alias("n")).collect()}
+    # at most as many rows as parts: the blocks of a pack, and of the queries routed there
+    plan = F.broadcast(spark.createDataFrame(
+        [(int(part), int(name), int(-(-sizes[pack == name].sum() // BLOCK)) or 1, -(-asked_sizes[name] // QUERY_BLOCK))
+         for part, name in enumerate(pack) if name in asked_sizes],
+        "part int, pack int, blocks int, query_blocks int"))
     base = index.vectors.join(plan, "part").select(
-        "part", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "ids", "vector")
-    asking = routed.join(plan, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int").alias("query_block"), "id", "vector")
+        "pack", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "part", "ids", "vector")
+    asking = routed.join(plan.drop("part").distinct(), "pack").select(
+        "pack", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int").alias("query_block"), "id", "vector", "parts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            vectors, ids = matrix(left["vector"]), left["ids"].to_pylist()
-            asked_ids, points = right["id"].to_pylist(), matrix(right["vector"])
-            for start in range(0, len(points), 256):
-                step = points[start:start + 256]
-                for i, places in enumerate(nearest_in_block(step, vectors, k + 1)):
+            vectors, ids, part = matrix(left["vector"]), left["ids"].to_pylist(), left["part"].to_numpy()
+            asked_ids, points, parts = right["id"].to_pylist(), matrix(right["vector"]), right["parts"].to_pylist()
+            for start in range(0, len(points), 128):
+                step = points[start:start + 128]
+                allowed = np.zeros((len(step), len(sizes)), bool)
+                for i, names in enumerate(parts[start:start + 128]):
+                    allowed[i, names] = True
+                for i, places in enumerate(nearest_in_block(step, vectors, allowed[:, part], k + 1)):
                     own = asked_ids[start + i]
                     out += [(own, *found) for found in _ranked(own, step[i], places, vectors, ids, k)]
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),
                          "score": pa.array(columns[2], pa.float64())})
 
-    keys = ["part", "block", "query_block"]
+    keys = ["pack", "block", "query_block"]
     met = base.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
