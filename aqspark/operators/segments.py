@@ -17,15 +17,18 @@ SEGMENT_ROWS = 20_000
 HELPERS = ["_month", "_seg", "_own", "_first", "_total"]
 
 
-def segment_table(df: DataFrame, key: str, ts: str, before: int, after: int,
-                  rows: int) -> DataFrame:
+def month_counts(df: DataFrame, key: str = "station", ts: str = "timestamp") -> DataFrame:
+    """Rows per key and month: all that is needed to cut segments."""
+    return df.groupBy(key, F.date_trunc("month", ts).alias("_month")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def segment_table(months: DataFrame, key: str, before: int, after: int, rows: int) -> DataFrame:
     """One row per month and segment that needs it; as small as months × stations."""
     station = Window.partitionBy(key)
     in_order = station.orderBy("_month")
     segment = Window.partitionBy(key, "_seg")
     months = (
-        df.groupBy(key, F.date_trunc("month", ts).alias("_month"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        months
         .withColumn("_end", F.sum("_n").over(in_order))
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(station))
@@ -48,18 +51,18 @@ def segment_table(df: DataFrame, key: str, ts: str, before: int, after: int,
 
 def split_segments(df: DataFrame, before: int = 0, after: int = 0, key: str = "station",
                    ts: str = "timestamp", rows: int = SEGMENT_ROWS,
-                   count_from: DataFrame | None = None) -> DataFrame:
+                   months: DataFrame | None = None) -> DataFrame:
     """Add ``_seg``, ``_own`` (not a copy), ``_first`` (position of the segment's first
     row in its station) and ``_total`` (rows of the station).
 
     The result is spread by station and segment, which the window needs anyway. Said
-    here, Spark cannot take a spread by station alone as good enough. ``count_from`` has
-    the same stations and times as ``df`` but is cheaper to count.
+    here, Spark cannot take a spread by station alone as good enough. ``months`` are the
+    ``month_counts`` of ``df``, where they are known already.
     """
-    table = segment_table(df if count_from is None else count_from, key, ts, before, after,
-                          rows)
-    months = df.withColumn("_month", F.date_trunc("month", ts))
-    return months.join(table, [key, "_month"]).repartition(key, "_seg")
+    table = segment_table(month_counts(df, key, ts) if months is None else months, key, before,
+                          after, rows)
+    dated = df.withColumn("_month", F.date_trunc("month", ts))
+    return dated.join(table, [key, "_month"]).repartition(key, "_seg")
 
 
 def segment_window(key: str = "station", ts: str = "timestamp") -> WindowSpec:
@@ -75,10 +78,10 @@ def over_segments(df: DataFrame, columns: Callable[[WindowSpec], Sequence[Column
                   before: int = 0, after: int = 0, key: str = "station",
                   ts: str = "timestamp", rows: int = SEGMENT_ROWS,
                   keep: Column | None = None,
-                  count_from: DataFrame | None = None) -> DataFrame:
+                  months: DataFrame | None = None) -> DataFrame:
     """Append row-window columns whose frames reach ``before`` rows back and ``after``
     rows ahead. ``keep`` filters on the new columns and the segment helpers."""
-    parts = split_segments(df, before, after, key, ts, rows, count_from)
+    parts = split_segments(df, before, after, key, ts, rows, months)
     out = parts.select("*", *columns(segment_window(key, ts))).filter("_own")
     if keep is not None:
         out = out.filter(keep)

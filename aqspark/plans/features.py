@@ -11,7 +11,7 @@ from aqspark.operators.clean import (
     zero_fill)
 from aqspark.operators.joins import (
     join_copollutants, join_fires, join_news, join_stations, join_weather)
-from aqspark.operators.segments import over_segments
+from aqspark.operators.segments import month_counts, over_segments
 from aqspark.operators.spatial import fire_hourly
 from aqspark.operators.windows import (
     interpolate, lag_columns, last_n, rolling_columns, target_columns, trend_column)
@@ -45,14 +45,17 @@ def add_calendar_features(df: DataFrame) -> DataFrame:
 
 
 def build_features(readings: DataFrame, stations: DataFrame, weather: DataFrame | None = None,
-                   fires: DataFrame | None = None) -> DataFrame:
+                   fires: DataFrame | None = None, months: DataFrame | None = None) -> DataFrame:
     """All features and targets for hourly ``readings`` (station, timestamp, pm25, and
     co-pollutants if known). ``weather`` has one row per cell and hour, ``fires`` one per
     station and hour.
 
     The joins come first, while rows are narrow; the windows then add their many columns
-    where the rows already lie, and nothing wide is shuffled again.
+    where the rows already lie, and nothing wide is shuffled again. ``months`` are the month
+    counts of the readings, where they are known already.
     """
+    if months is None:
+        months = month_counts(readings.join(stations.select("station"), "station", "left_semi"))
     df = join_stations(readings, stations)
     if weather is not None:
         df = join_weather(df, weather)
@@ -61,8 +64,7 @@ def build_features(readings: DataFrame, stations: DataFrame, weather: DataFrame
     df = over_segments(
         df,
         lambda w: lag_columns(w) + rolling_columns(w) + [trend_column(w)] + target_columns(w),
-        before=max(fixed.LAGS), after=fixed.HORIZONS,
-        count_from=readings.join(stations.select("station"), "station", "left_semi"))
+        before=max(fixed.LAGS), after=fixed.HORIZONS, months=months)
     df = ensure_columns(add_weather_features(df), dict.fromkeys(fixed.FIRE_MEASURES, 0.0))
     df = add_calendar_features(df).withColumn("aqi_category", aqi_category("pm25"))
     df = ensure_columns(df, dict.fromkeys(fixed.FEATURES, 0.0))
@@ -89,11 +91,15 @@ def build_dataset(readings: DataFrame, stations: DataFrame, weather: DataFrame |
     if cities:
         stations = filter_cities(stations, cities)
     known = readings.join(stations.select("station"), "station", "left_semi")
-    enough = min_records(known, min_readings)
+    # one narrow table tells which stations have enough, and where their segments are cut
+    months = materialise(month_counts(known))
+    enough = months.groupBy("station").agg(F.sum("_n").alias("_rows")).filter(F.col("_rows") >= min_readings)
+    months = months.join(enough.select("station"), "station", "left_semi")
+    enough = known.join(enough.select("station"), "station", "left_semi")
     if copollutants is not None:
         enough = join_copollutants(enough, copollutants)
     hours = None if fires is None else fire_hourly(stations, fires)
-    features = build_features(enough, stations, weather, hours)
+    features = build_features(enough, stations, weather, hours, months)
     if news is not None:
         features = project_features(with_news(features, stations, news))
     # a station without a position has no use; all else is computed, filled or repaired
