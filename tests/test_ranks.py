@@ -80,3 +80,26 @@ def test_robust_params(spark):
     assert sorted(r.a for r in back.collect()) == [0.0, 0.0, 0.0, 0.0, 10.0]
     rough = scaling.params_on_driver(scaling.fit_robust(df, ["a"], approx=True))
     assert rough == {"a": (0.0, 1.0)}
+
+
+def test_few_values_are_ranked_in_one_task(spark):
+    """However many values a bracket holds, only those of a slot or two are ranked."""
+    long = spark.range(2_000_000).select(F.lit("f").alias("feature"), (F.rand(5) * 1000).alias("value"))
+    probs = [0.25, 0.5, 0.75]
+    out = scaling.exact_quantiles(long, probs)
+    got = {r.p: r.quantile for r in out.collect()}
+    want = long.agg(F.percentile("value", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    np.testing.assert_allclose([got[p] for p in probs], want, rtol=1e-12)
+    inside = long.join(spark.createDataFrame([(p, got[p]) for p in probs], "p double, q double")).filter(
+        F.abs(F.col("value") - F.col("q")) < 1000 * scaling.MARGIN / scaling.SLOTS).groupBy("p").count()
+    assert max(r["count"] for r in inside.collect()) < 100
+
+
+def test_samples_keep_whole_buckets_and_part_of_one(spark, hours):
+    df = hours([(f"s{i}", h, float(i)) for i in range(20) for h in range(50)])
+    for n in (1, 37, 999, 1000, 5000):
+        drawn = ranks.sample_rows(df, n)
+        assert drawn.count() == min(n, 1000) and drawn.distinct().count() == min(n, 1000)
+    first = ranks.scaler_sample(df, 30, how="first")
+    assert sorted((r.timestamp.hour, r.station) for r in first.collect()) == sorted(
+        (h, f"s{i}") for h in range(2) for i in range(20))[:20] + sorted((1, f"s{i}") for i in range(20))[:10]
