@@ -2,15 +2,15 @@
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aqspark.storage import new_path
 
 # bytes of text that one numpy step works on; a longer text makes a step of its own
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -42,19 +42,27 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# bytes of one Arrow batch: a Python worker holds it as Arrow, as strings and as numbers at once
+BATCH = "8m"
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in small batches, so that the memory of the workers stays bounded by them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def text_steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES
                ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch that hold about ``step_bytes`` of text, with the texts (null: empty)."""
-    at = batch.schema.get_field_index(column)
-    sizes = np.array(batch.column(at).to_pandas().str.len().fillna(0), dtype="int64") \
-        if batch.num_rows else np.empty(0, "int64")
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
-    for row, size in enumerate(sizes):
+    for row, size in enumerate(sizes.tolist()):
         if row > start and total + size > step_bytes:
-            part = batch.slice(start, row - start)
-            yield part, [t or "" for t in part.column(at).to_pylist()]
+            yield batch.slice(start, row - start), [t or "" for t in texts.slice(start, row - start).to_pylist()]
             start, total = row, 0
         total += size
     if start < batch.num_rows:
-        part = batch.slice(start)
-        yield part, [t or "" for t in part.column(at).to_pylist()]
+        yield batch.slice(start), [t or "" for t in texts.slice(start).to_pylist()]
+    pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import text_steps
+from aqspark.llm.batches import map_arrow, text_steps
 
 # pre-tokens whose ids a worker remembers; a full memory is emptied, which changes no result
 MEMORY = 1 << 17
@@ -139,7 +139,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(own.encode(texts), pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return map_arrow(source, run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -154,7 +154,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(decoded, pa.binary())], [id_col, "bytes"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    return map_arrow(source, run, f"`{id_col}` {kind}, bytes binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
@@ -183,6 +183,5 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                                             pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(source, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
         + ", ids array<int>" * with_ids)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import text_steps
+from aqspark.llm.batches import map_arrow, text_steps
 
 UNKNOWN = "und"
 # bytes of one piece of a text
@@ -201,4 +201,4 @@ def identify(docs: DataFrame, automata: Automata, id_col: str = "doc_id", text_c
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

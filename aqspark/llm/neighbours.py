@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import written
+from aqspark.llm.batches import map_arrow, written
 
 # vectors of the sample that the parts are learned from
 SAMPLE = 8192
@@ -220,7 +220,7 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 part = shared.value.scores(matrix(batch.column(1))).argmax(1)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], ["part", "ids", "vector"])
 
-    index = written(distinct.select("ids", "vector").mapInArrow(assign, "part int, ids array<bigint>, vector array<double>"), "index")
+    index = written(map_arrow(distinct.select("ids", "vector"), assign, "part int, ids array<bigint>, vector array<double>"), "index")
     sizes = np.zeros(parts, "int64")
     for row in index.groupBy("part").agg(F.count("*").alias("n")).collect():
         sizes[row["part"]] = row["n"]
@@ -270,8 +270,8 @@ def _set_probes(index: Index, tests: np.ndarray, k: int, wanted: float) -> None:
                 [pa.array(test), pa.array(part[keep.ravel()]), pa.array(first[keep.ravel()]),
                  pa.array(score[test, keep.ravel()])], ["test", "part", "first", "score"])
 
-    near = index.vectors.select("part", "vector", F.col("ids")[0].alias("first")).mapInArrow(
-        run, "test bigint, part int, first bigint, score double")
+    near = map_arrow(index.vectors.select("part", "vector", F.col("ids")[0].alias("first")),
+                     run, "test bigint, part int, first bigint, score double")
     order = Window.partitionBy("test").orderBy(F.desc("score"), "first")
     # the nearest is the test vector itself
     near = near.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1)).collect()
@@ -325,7 +325,7 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, id_col: str = "
                 [pa.array(packs, pa.int32()), *taken.columns, pa.array(parts, pa.list_(pa.int32()))],
                 ["pack", "id", "vector", "parts"])
 
-    routed = written(asked.mapInArrow(route, "pack int, id bigint, vector array<double>, parts array<int>"), "routed")
+    routed = written(map_arrow(asked, route, "pack int, id bigint, vector array<double>, parts array<int>"), "routed")
     asked_sizes = {r["pack"]: r["n"] for r in routed.groupBy("pack").agg(F.count("*").alias("n")).collect()}
     # at most as many rows as parts: the blocks of a pack, and of the queries routed there
     plan = F.broadcast(spark.createDataFrame(

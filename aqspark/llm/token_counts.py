@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import text_steps
+from aqspark.llm.batches import map_arrow, text_steps
 from aqspark.llm.byte_codec import byte_characters
 
 # pre-tokens whose counts a worker remembers; a full memory is emptied, which changes no result
@@ -189,4 +189,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
                      pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                     [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_arrow(source, run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import text_steps
+from aqspark.llm.batches import map_arrow, text_steps
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?。！？\n]+")
 FEATURES = 1 << 18
@@ -240,5 +240,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, senten
                      pa.array((scores >= threshold).astype("int32")), pa.array(spans, span)],
                     [id_col, "score", "predicted", "offending"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, "
+    return map_arrow(source, run, f"`{id_col}` {kind}, score double, predicted int, "
                              "offending array<struct<start:int,stop:int,score:double>>")

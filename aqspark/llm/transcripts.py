@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import written
+from aqspark.llm.batches import map_arrow, written
 
 # fixed values: words that name a speaker
 SPEAKERS = ("user human customer question q prompt instruction input me assistant ai bot model agent answer a response "
@@ -161,8 +161,8 @@ def learn_transcripts(records: DataFrame, id_col: str = "conv_id", order_col: st
             pa.array([None] * n + [b[1] for b in borders], conv_type)], ["kind", "a", "b", "n", "chunk", "conv"])
 
     conv_type = pa.int64() if kind in ("bigint", "int") else pa.string()
-    found = written(_in_order(lines).mapInArrow(
-        run, f"kind string, a string, b string, n bigint, chunk bigint, conv {'bigint' if conv_type == pa.int64() else 'string'}"), "counts")
+    found = written(map_arrow(
+        _in_order(lines), run, f"kind string, a string, b string, n bigint, chunk bigint, conv {'bigint' if conv_type == pa.int64() else 'string'}"), "counts")
     sums = found.where("kind <> 'border'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     # runs in order: the first starts a transcript, the others go on from the run before
     before = F.lag("b").over(Window.partitionBy("conv").orderBy("chunk"))
@@ -238,8 +238,8 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
             yield give(*last[:3])
 
     conv_kind = conv if conv in types else "string"
-    runs = written(_in_order(lines).mapInArrow(
-        reduce_runs, f"conv {conv}, chunk bigint, matrix array<double>, start array<double>"), "runs")
+    runs = written(map_arrow(
+        _in_order(lines), reduce_runs, f"conv {conv}, chunk bigint, matrix array<double>, start array<double>"), "runs")
 
     def borders(table: pa.Table) -> pa.Table:
         """States before and at the end of every run of one transcript that crosses chunks."""
@@ -295,8 +295,8 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
 
     # at most two rows per chunk
     dealt = lines.drop("role").join(F.broadcast(fixed), ["conv", "chunk"], "left")
-    turns = written(_in_order(dealt).mapInArrow(
-        decode, f"conv {conv}, chunk bigint, seq bigint, record {record}, line int, role string, text string, "
+    turns = written(map_arrow(
+        _in_order(dealt), decode, f"conv {conv}, chunk bigint, seq bigint, record {record}, line int, role string, text string, "
         "n_lines int, goes_on boolean"), "turns")
 
     # a turn that crosses chunks: its parts are joined. Only turns at the borders of chunks are concerned.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aqspark.llm.batches import text_steps, written
+from aqspark.llm.batches import map_arrow, text_steps, written
 
 # fixed values: elements and the names that mark regions --------------------------------------------------
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -415,7 +415,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                     yield give(list(own)[:1000])
         yield give(list(own))
 
-    parts = rows.mapInArrow(run, "host string, wrapper string")
+    parts = map_arrow(rows, run, "host string, wrapper string")
     # wrappers of one host come from many tasks: they meet in 32 groups first
     parts = parts.withColumn("turn", F.pmod(F.xxhash64("wrapper"), F.lit(32)).cast("int"))
     parts = parts.groupBy("host", "turn").applyInArrow(_merge_rows(["host", "turn"]), "host string, turn int, wrapper string")
@@ -456,4 +456,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],
                     [id_col, "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, url string, text string, n_chars bigint")
+    return map_arrow(rows, run, f"`{id_col}` {kind}, url string, text string, n_chars bigint")
