@@ -176,4 +176,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
     key, = fresh(docs, "text_key")
     _, hits = text_hits(docs, items, text_col, item_id, item_text)
     marked = docs.withColumn(key, _key(F.col(text_col)))
-    return marked.join(hits.select(F.col("text_key").alias(key)), key, "left_anti").drop(key).select(docs.columns)
+    # contaminated texts are few as a rule: then the documents stay where they are
+    bad = _few(written(hits.select(F.col("text_key").alias(key)), "contaminated"))
+    return marked.join(bad, key, "left_anti").select(docs.columns)
