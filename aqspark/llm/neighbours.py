@@ -31,6 +31,8 @@ PART_SIZE, MOST_PARTS = 1024, 256
 DEGREE = 10
 # vectors whose true neighbours are found by brute force to set the number of visited parts
 TESTS = 256
+# of a small sample a sixteenth, but so many
+LEAST_TESTS = 32
 # vectors and queries that meet in one task: small parts share a block, large ones are split
 BLOCK, QUERY_BLOCK = 16384, 1024
 
@@ -201,8 +203,8 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     points = np.array([r["vector"] for r in picked])
     parts = int(np.clip(total // PART_SIZE, 1, min(MOST_PARTS, max(len(points) // 32, 1))))
     # the last of the sample test the index, and are not learned from
-    tests = max(len(points) - max(SAMPLE, len(points) * 15 // 16), 0) if len(points) <= SAMPLE else len(points) - SAMPLE
-    learn = points[:len(points) - tests] if len(points) - tests > 0 else points
+    tests = min(TESTS, max(len(points) // 16, LEAST_TESTS)) if parts > 1 else 0
+    learn = points[:len(points) - tests]
     if parts == 1:
         router = Router([np.zeros((points.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
     else:
@@ -226,7 +228,7 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         sizes[row["part"]] = row["n"]
     out = Index(index, router, sizes, parts, 1.0)
     if parts > 1:
-        _set_probes(out, points[len(points) - max(tests, 1):], k, recall)
+        _set_probes(out, points[len(points) - tests:], k, recall)
     return out
 
 

@@ -87,3 +87,29 @@ def test_few_rows_and_empty_tables(spark):
     assert {q: len(v) for q, v in found_by(spark, rows, "vec_id = 0", 20).items()} == {0: 2}
     assert found_by(spark, rows[:1], "vec_id = 0", 20) == {}
     assert found_by(spark, [], "vec_id = 0", 20) == {}
+
+
+@pytest.mark.parametrize("size", [2100, 4000, 8192, 8200])
+def test_visited_parts_are_fitted_on_unseen_vectors_at_every_size(spark, size, monkeypatch):
+    seen, learned = [], []
+    set_probes, learn = V._set_probes, V.Router.learn
+    monkeypatch.setattr(V, "_set_probes", lambda index, tests, *rest: (seen.append(tests), set_probes(index, tests, *rest)))
+    monkeypatch.setattr(V.Router, "learn", staticmethod(lambda points, shares: (learned.append(points), learn(points, shares))[1]))
+    points = np.random.default_rng(size).normal(size=(size, 8)).astype("float32")
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    table = spark.createDataFrame(rows_of(points), SCHEMA)
+    index = V.build_index(table)
+    (tests,), (known,) = seen, learned
+    assert len(tests) == min(V.TESTS, size // 16)
+    assert not {tuple(p) for p in tests} & {tuple(p) for p in known}
+    assert index.recall >= 0.95
+    asked = [i for i in range(size) if i % 20 == 0]
+    rows = V.search(index, table.where("vec_id % 20 = 0")).collect()
+    found = {i: set() for i in asked}
+    for r in rows:
+        found[r["query_id"]].add(r["vec_id"])
+    score = points[asked].astype(float) @ points.T.astype(float)
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    hits = sum(len(found[i] & set(near)) for i, near in zip(asked, best.tolist(), strict=True))
+    assert hits >= 0.9 * 20 * len(asked)
