@@ -122,11 +122,24 @@ class StationStore:
                 remove(self.spark, f"{self.path}/bucket={bucket}/version={old}")
 
 
+def _hour_means(sums: DataFrame) -> DataFrame:
+    """Hour sums → station, timestamp, pm25, without impossible hours."""
+    return valid_range(sums.select("station", "timestamp", (F.col("total") / F.col("n")).alias("pm25")))
+
+
+def _newest_valid(sums: DataFrame, keep: int) -> DataFrame:
+    """Every station's hour sums back to its ``keep``-th newest valid hour; all of them if it has fewer."""
+    last = last_n(_hour_means(sums), keep).groupBy("station").agg(F.min("timestamp").alias("_since"))
+    since = sums.join(last, "station", "left")
+    return since.filter(F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))).drop("_since")
+
+
 def _merge_sums(store: StationStore, batch: DataFrame, batch_id: int, keep: int) -> tuple[DataFrame, list[int]]:
     """Add a batch to the stored hour sums; returns the sums of its buckets and these buckets.
 
-    Every station keeps its own newest ``keep`` hours, whatever the clocks of others say; hours
-    older than these cannot reach a live window any more.
+    Every station keeps its hours back to its own ``keep``-th newest valid one, whatever the clocks of
+    others say; hours older than these cannot reach a live window any more. Impossible hours among them
+    stay, as late readings may still correct their mean, but do not count.
     """
     sums = (batch.filter(F.col("pm25").isNotNull())
             .groupBy("station", F.date_trunc("hour", "ts").alias("timestamp"))
@@ -137,7 +150,7 @@ def _merge_sums(store: StationStore, batch: DataFrame, batch_id: int, keep: int)
         return sums, []
     merged = (store.latest(batch_id, touched).unionByName(sums).groupBy("station", "timestamp")
               .agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-    store.replace(last_n(merged, keep, require=False), touched, batch_id)
+    store.replace(_newest_valid(merged, keep), touched, batch_id)
     # only the stations of the batch have news
     current = store.latest(batch_id + 1, touched)
     return current.join(sums.select("station").distinct(), "station", "left_semi"), touched
@@ -156,8 +169,7 @@ def feature_batches(store: str, stations: DataFrame, sink: Callable[[DataFrame,
         with scratch(spark):
             sums, touched = _merge_sums(StationStore(spark, store, HOUR_SUMS), batch, batch_id, history_rows)
             if touched:
-                hours = valid_range(sums.select("station", "timestamp", (F.col("total") / F.col("n")).alias("pm25")))
-                sink(live_window(hours, stations, weather, fires, news), batch_id)
+                sink(live_window(_hour_means(sums), stations, weather, fires, news), batch_id)
     return handle
 
 

@@ -138,3 +138,22 @@ def test_many_batches_leave_as_many_folders_as_two(spark, feed, sites):
                        for p in (store, out)] + [len([f for f in folders(spark, shared_dir(spark)) if f.startswith("table-")])])
     assert counts[1] == counts[2] == counts[3]
     assert counts[3][:2] == [2, 2] and counts[0][2] == counts[3][2]
+
+
+def test_impossible_hours_do_not_push_valid_ones_out(spark, feed, sites, hours):
+    """A sensor fails for 100 hours (s1) or for one (s2); windows and lags reach back over these hours."""
+    store = new_path(spark, "store")
+    rows = [("s1", h, -999.0 if 200 <= h < 300 else float(h)) for h in range(320)]
+    rows += [("s2", h, 5000.0 if h == 100 else float(h + 1)) for h in range(150)]
+    for first, end in ((0, 200), (200, 300), (300, 320)):
+        feed.add([(s, h * 60, v) for s, h, v in rows if first <= h < end])
+    streams.stream_features(feed.stream(), store, feed.out, feed.state, sites).awaitTermination()
+    schema = spark.read.parquet(feed.out).drop("bucket", "version").schema
+    got = streams.latest_rows(spark, feed.out, schema).toPandas().sort_values(["station", "timestamp"])
+    twin = features.live_window(streams.valid_range(hours(rows)), sites).toPandas().sort_values(["station", "timestamp"])
+    assert got.groupby("station").size().to_dict() == {"s1": 72, "s2": 72}
+    assert got.timestamp.tolist() == twin.timestamp.tolist()
+    for c in fixed.FEATURES:
+        assert got[c].astype(float).tolist() == pytest.approx(twin[c].astype(float).tolist()), c
+    kept = streams.latest_rows(spark, store, streams.HOUR_SUMS).groupBy("station").count().collect()
+    assert {r["station"]: r["count"] for r in kept} == {"s1": 244, "s2": 145}
