@@ -234,31 +234,49 @@ def shape(group: Group) -> Group:
 
 def pairing(left: list[Group], right: list[Group]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence of names."""
-    a, b = [p.name for p in left], [p.name for p in right]
+    return common_places([p.name for p in left], [p.name for p in right])
+
+
+def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; of several, the one with the first places of ``b``.
+
+    A row of the table of lengths is one number, whose bit i from the end of ``a`` is 0 where the length grows by
+    a[i]. Every so many rows one is kept, from which those between are computed again, so lists of any length fit.
+    """
     if a == b:
         return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > 250_000:
-        # long lists: each name goes to its next place, in order
-        out, at = [], 0
-        places: dict[str, list[int]] = {}
-        for j, name in enumerate(b):
-            places.setdefault(name, []).append(j)
-        for i, name in enumerate(a):
-            later = [j for j in places.get(name, ()) if j >= at][:1]
-            if later:
-                out.append((i, later[0]))
-                at = later[0] + 1
-        return out
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    n, m = len(a), len(b)
+    full = (1 << n) - 1
+    places: dict[str, int] = {}
+    for i, name in enumerate(a):
+        places[name] = places.get(name, 0) | 1 << (n - 1 - i)
+
+    def following(row, name):
+        both = row & places.get(name, 0)
+        return ((row + both) | (row - both)) & full
+
+    step = max(int(m ** 0.5), 1)
+    # row r belongs to the last r names of b
+    kept, row = {0: full}, full
+    for r in range(1, m + 1):
+        row = following(row, b[m - r])
+        if r % step == 0:
+            kept[r] = row
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    rows, first = [], m + 1
+    while i < n and j < m:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            continue
+        r = m - j
+        if r < first:
+            first = r // step * step
+            rows = [kept[first]]
+            while first + len(rows) <= r:
+                rows.append(following(rows[-1], b[m - first - len(rows)]))
+        # without a[i] as long as with it
+        if rows[r - first] >> (n - 1 - i) & 1:
             i += 1
         else:
             j += 1
@@ -332,8 +350,8 @@ def main_text(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set[
     """Main text of a page of the wrapper's host. A page without the part that the host marks is read by itself."""
     if bodies and not _holds(page, bodies):
         wrapper = shape(page)
-        chosen, _ = main_slots(wrapper)
-    return "\n\n".join(page_texts(page, wrapper, chosen))
+        chosen, bodies = main_slots(wrapper)
+    return "\n\n".join(page_texts(page, wrapper, chosen, bodies))
 
 
 def _chars(group: Group) -> int:
@@ -346,32 +364,74 @@ def _template(slot: Group) -> bool:
     return same or 2 * slot.linked > slot.chars
 
 
-def page_texts(page: Group, wrapper: Group, chosen: dict[int, bool]) -> list[str]:
-    """Texts of a page, in order, that fall into the chosen slots of its wrapper."""
+def turns(parts: list[Group]) -> list[list[Group]]:
+    """The parts that stand as one when they are ``folded``."""
+    runs = [[p] for p in parts]
+    for period in (1, 2, 3):
+        out, i = [], 0
+        while i < len(runs):
+            names = [r[0].name for r in runs[i:i + period]]
+            times = 1
+            while len(names) == period and [r[0].name for r in runs[i + times * period:i + (times + 1) * period]] == names:
+                times += 1
+            if times > 1 and (period == 1 or len(set(names)) > 1):
+                out += [sum(runs[i + k:i + times * period:period], []) for k in range(period)]
+                i += period * times
+            else:
+                out.append(runs[i])
+                i += 1
+        runs = out
+    return runs
+
+
+def page_texts(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set[str]) -> list[str]:
+    """Texts of a page, in order, that fall into the chosen slots of its wrapper.
+
+    Parts are paired with the wrapper as in its inference. A part without a place is judged by the page alone: its texts
+    count inside the marked part, or where no part is marked, unless they are mostly links.
+    """
     out: list[str] = []
 
-    def walk(group, form):
-        # a repeated part takes all its turns, so the page's parts are aligned name by name
-        forms = form.parts
+    def alone(part, inside):
+        if part.name == TEXT:
+            if inside and (bodies or not _template(part)):
+                out.append(part.text)
+        elif not _unwanted(part.name):
+            outer = not bodies and any(w in OUTER_MARKS for w in part.name.split("."))
+            for own in part.parts:
+                alone(own, (inside or part.name in bodies) and not outer)
+
+    def walk(group, form, inside):
+        forms, runs = form.parts, turns(group.parts)
+        paired = dict(common_places([r[0].name for r in runs], [f.name for f in forms]))
         names: dict[str, list[int]] = {}
         for k, part in enumerate(forms):
             names.setdefault(part.name, []).append(k)
+        place: dict[int, Group] = {}
         at = 0
+        for i, run in enumerate(runs):
+            here = paired.get(i)
+            if here is None:
+                # what the wrapper holds as a turn of a repeated part, or in another order
+                own = names.get(run[0].name)
+                if not own:
+                    continue
+                here = next((k for k in own if k >= at), own[-1])
+            else:
+                at = here
+            place.update((id(part), forms[here]) for part in run)
         for part in group.parts:
-            places = names.get(part.name)
-            if not places:
-                continue
-            later = next((k for k in places if k >= at), None)
-            here = places[-1] if later is None else later
-            if later is not None:
-                at = later if forms[here].repeated else later + 1
-            if part.name == TEXT:
-                if chosen[id(forms[here])]:
+            slot = place.get(id(part))
+            if slot is None:
+                alone(part, inside)
+            elif part.name == TEXT:
+                if chosen[id(slot)]:
                     out.append(part.text)
-            else:
-                walk(part, forms[here])
+            elif not _unwanted(part.name):
+                outer = not bodies and any(w in OUTER_MARKS for w in part.name.split("."))
+                walk(part, slot, (inside or part.name in bodies) and not outer)
 
-    walk(page, wrapper)
+    walk(page, wrapper, not bodies)
     return out
 
 

@@ -1,6 +1,7 @@
 """Wrapper inference and text extraction on hand-made and given pages."""
 
 import html
+import random
 import re
 
 import pytest
@@ -89,3 +90,53 @@ def test_given_pages(spark):
         blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|blockquote|table|tr|td)[^>]*>", article)
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in blocks]
         assert found[row["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+def read_by_one_wrapper(sources):
+    wrapper = None
+    for source in sources:
+        page = W.shape(W.read_page(source))
+        wrapper = page if wrapper is None else W.aligned(wrapper, page)
+    slots = W.main_slots(wrapper)
+    return [W.main_text(W.read_page(source), wrapper, *slots) for source in sources]
+
+
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_parts_in_the_wrong_one_of_two_forms_keep_their_texts(outer):
+    quote, table = "<blockquote><ul><li>{}</li></ul></blockquote>", "<blockquote><table><tr><td>{}</td></tr></table></blockquote>"
+    inner = [f"<h2>a</h2><ol><li>b</li></ol>{quote.format('c')}<p>d</p>", f"{quote.format('e')}<p>f</p>",
+             f"{table.format('g')}<h2>h</h2><ol><li>i</li></ol><p>j</p>"]
+    found = read_by_one_wrapper([f"<{outer}>{x}</{outer}>" for x in inner])
+    assert found == ["a\n\nb\n\nc\n\nd", "e\n\nf", "g\n\nh\n\ni\n\nj"]
+
+
+def test_every_text_of_a_marked_part_is_given():
+    draw = random.Random(5)
+
+    def content(depth):
+        out = ""
+        for _ in range(draw.randint(1, 4)):
+            name = draw.choice(["div", "figure", "blockquote", "section", "h2", "p"])
+            inside = content(depth - 1) if depth and name not in ("h2", "p") else f"t{draw.randint(0, 10 ** 9)}"
+            out += f"<{name}>{inside}</{name}>"
+        return out
+
+    sources = [f"<nav>n</nav><div><article>{content(3)}</article></div><footer>f</footer>" for _ in range(40)]
+    for source, text in zip(sources, read_by_one_wrapper(sources), strict=True):
+        assert text.split("\n\n") == re.findall(r"t\d+", source)
+
+
+def test_common_places_are_a_longest_subsequence_however_long():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = (draw.choices("abcd", k=draw.randint(0, 12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        found = W.common_places(a, b)
+        assert len(found) == best[0][0] and all(a[i] == b[j] for i, j in found)
+        assert all(x < y and v < w for (x, v), (y, w) in zip(found, found[1:], strict=False))
+    # going to the next place of "z" first would leave nothing for the rest
+    a, b = ["z", *map(str, range(1000))], [*map(str, range(1000)), "z"]
+    assert len(W.common_places(a, b)) == 1000
