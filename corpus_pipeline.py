@@ -23,8 +23,12 @@ def language_stage(spark, docs, sf_dir):
 
 
 def line_stage(spark, docs, sf_dir):
-    """Take boilerplate lines of their source out of the texts; the number of characters follows."""
-    out = drop_boilerplate(docs, F.col("source"))
+    """Take boilerplate lines of their source out of the texts; the number of characters follows.
+
+    The share of a source's pages decides, for small sources too: three pages make a line repeated, since two may be
+    near copies of each other.
+    """
+    out = drop_boilerplate(docs, F.col("source"), least_pages=3)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long"))
 
 

@@ -53,6 +53,20 @@ def test_odd_documents(spark):
     assert empty.count() == 0
 
 
+def test_lines_of_small_sources_are_judged_by_their_share(spark):
+    def page(source, n, *lines):
+        return n, "\n".join([f"own words {n} of {source}", *lines]), "en", source, None
+
+    rows = [page("five", n, "common footer") for n in range(5)]
+    rows += [page("nine", 10 + n, "common footer", *["twice"] * (n < 2)) for n in range(9)]
+    rows += [page("fifty", 20 + n, *["six of fifty"] * (n < 6), *["five of fifty"] * (n < 5)) for n in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, FOLDER).collect()}
+    assert all(texts[n] == f"own words {n} of five" for n in range(5))
+    assert texts[10] == "own words 10 of nine\ntwice" and texts[18] == "own words 18 of nine"
+    assert texts[20] == "own words 20 of fifty\nfive of fifty"
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):
     _, verdict = compare(spark, connect(FOLDER), name, FOLDER)
