@@ -10,6 +10,7 @@ from aqspark.llm.contamination import contamination
 from aqspark.llm.language import identify, learn_languages
 from aqspark.llm.near_copies import near_classes
 from aqspark.llm.neighbours import build_index, search
+from aqspark.llm.shards import shard_documents
 from aqspark.llm.site_lines import drop_boilerplate
 from aqspark.llm.token_counts import count_tokens
 from aqspark.llm.toxicity import learn_toxicity, score_toxicity
@@ -91,9 +92,15 @@ def op10_near_copies(spark, sf_dir):
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_contiguous_shards(spark, sf_dir):
+    placed = shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_learned_partitions, op2_language, op3_transcripts, op4_site_lines, op5_toxicity, op6_contamination, op7_wrappers, op8_token_counts, op9_byte_bpe,
-    op10_near_copies)}
+    op10_near_copies, op13_contiguous_shards)}
 
 ORACLES = {
     "op4_site_lines": """
