@@ -59,23 +59,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _path(spark: SparkSession, path: str):
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), location
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage, whatever file system holds it."""
-    system, location = _path(spark, path)
-    system.delete(location, True)
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names inside a folder; none if it does not exist."""
-    system, location = _path(spark, path)
-    if not system.exists(location):
-        return []
-    return sorted(s.getPath().getName() for s in system.listStatus(location))
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(location, True)
 
 
 @contextlib.contextmanager

@@ -2,18 +2,19 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
 from aqspark.functions.text import news_score
 from aqspark.operators.clean import valid_range
 from aqspark.operators.spatial import radius_join
-from aqspark.operators.windows import last_n
 from aqspark.plans.features import live_window
 from aqspark.plans.forecast import score
 from aqspark.plans.news import matched_articles
-from aqspark.storage import folders, materialise, remove, scratch
+from aqspark.storage import materialise, scratch
+from aqspark.streaming.changes import add_changes
+from aqspark.streaming.station_state import newest_hours, rocks_state
 
 LATENESS = "2 hours"
 # a live window has 72 rows, and the longest lag looks back 72 rows from the first of them
@@ -68,145 +69,65 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode="append")
     query.awaitTermination()
 
 
-# --- features and forecasts of the stations a batch touches --------------------------------
-
-HOUR_SUMS = "station string, timestamp timestamp, total double, n bigint"
-
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what has arrived in update mode, then stop: rows that changed are added to a log, of which
+    ``changes.latest_rows`` shows the current state by key."""
+    def add(rows, batch_id):
+        add_changes(rows, path, batch_id)
+    query = (stream.writeStream.foreachBatch(add).outputMode("update")
+             .option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
 
-class StationStore:
-    """Rows per station that each batch replaces for the stations it touches.
 
-    Stations are dealt into a fixed number of buckets by a hash. A batch rewrites the buckets it
-    touches as one version; the older versions of these are deleted but for the last, so a
-    batch that runs again starts from what it started from before and replaces its own result. However
-    many batches run, a bucket has at most two versions.
-    """
+# --- features and forecasts of the stations a batch touches --------------------------------
 
-    def __init__(self, spark: SparkSession, path: str, schema, buckets=64, fmt="parquet"):
-        self.spark, self.path, self.buckets, self.fmt = spark, path.rstrip("/"), buckets, fmt
-        self.schema = schema
-
-    def bucket(self, station="station"):
-        return F.pmod(F.xxhash64(station), F.lit(self.buckets)).cast("int")
-
-    def _versions(self) -> dict[int, list[int]]:
-        """Bucket → its versions, ascending."""
-        out = {}
-        for name in folders(self.spark, self.path):
-            if name.startswith("bucket="):
-                numbers = [int(v.split("=")[1]) for v in folders(self.spark, f"{self.path}/{name}")
-                           if v.startswith("version=")]
-                out[int(name.split("=")[1])] = sorted(numbers)
-        return out
-
-    def latest(self, before: int | None = None, touched: list[int] | None = None) -> DataFrame:
-        """The newest rows of every station, or those of the buckets ``touched``, as they were
-        ahead of the batch ``before``."""
-        paths = []
-        for bucket, versions in self._versions().items():
-            valid = [v for v in versions if before is None or v < before]
-            if valid and (touched is None or bucket in touched):
-                paths.append(f"{self.path}/bucket={bucket}/version={valid[-1]}")
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).format(self.fmt).load(paths)
-
-    def replace(self, rows: DataFrame, touched: list[int], batch_id: int) -> None:
-        """Write the buckets ``touched`` as version ``batch_id``; ``rows`` hold all their stations."""
-        marked = rows.withColumn("bucket", self.bucket()).withColumn("version", F.lit(batch_id))
-        (marked.repartition("bucket").write.mode("overwrite").format(self.fmt)
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").save(self.path))
-        versions = self._versions()
-        for bucket in touched:
-            for old in [v for v in versions.get(bucket, []) if v < batch_id][:-1]:
-                remove(self.spark, f"{self.path}/bucket={bucket}/version={old}")
-
-
-def _hour_means(sums: DataFrame) -> DataFrame:
-    """Hour sums → station, timestamp, pm25, without impossible hours."""
-    return valid_range(sums.select("station", "timestamp", (F.col("total") / F.col("n")).alias("pm25")))
-
-
-def _newest_valid(sums: DataFrame, keep: int) -> DataFrame:
-    """Every station's hour sums back to its ``keep``-th newest valid hour; all of them if it has fewer."""
-    last = last_n(_hour_means(sums), keep).groupBy("station").agg(F.min("timestamp").alias("_since"))
-    since = sums.join(last, "station", "left")
-    return since.filter(F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since"))).drop("_since")
-
-
-def _merge_sums(store: StationStore, batch: DataFrame, batch_id: int, keep: int) -> tuple[DataFrame, list[int]]:
-    """Add a batch to the stored hour sums; returns the sums of its buckets and these buckets.
-
-    Every station keeps its hours back to its own ``keep``-th newest valid one, whatever the clocks of
-    others say; hours older than these cannot reach a live window any more. Impossible hours among them
-    stay, as late readings may still correct their mean, but do not count.
-    """
-    sums = (batch.filter(F.col("pm25").isNotNull())
-            .groupBy("station", F.date_trunc("hour", "ts").alias("timestamp"))
-            .agg(F.sum("pm25").alias("total"), F.count("pm25").alias("n")))
-    sums = materialise(sums)
-    touched = [r[0] for r in sums.select(store.bucket()).distinct().collect()]
-    if not touched:
-        return sums, []
-    merged = (store.latest(batch_id, touched).unionByName(sums).groupBy("station", "timestamp")
-              .agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-    store.replace(_newest_valid(merged, keep), touched, batch_id)
-    # only the stations of the batch have news
-    current = store.latest(batch_id + 1, touched)
-    return current.join(sums.select("station").distinct(), "station", "left_semi"), touched
-
-
-def feature_batches(store: str, stations: DataFrame, sink: Callable[[DataFrame, int], None],
-                    weather: DataFrame | None = None, fires: DataFrame | None = None,
-                    news: DataFrame | None = None, history_rows=HISTORY_ROWS):
-    """``foreachBatch`` handler: live windows of the touched stations go to ``sink``.
+def window_batches(sink: Callable[[DataFrame, int], None], stations: DataFrame, weather: DataFrame | None = None,
+                   fires: DataFrame | None = None, news: DataFrame | None = None):
+    """``foreachBatch`` handler of a stream of newest hours: live windows of its stations go to ``sink``.
 
     A batch without readings is passed over. Tables that a batch writes on its way are
     deleted when the sink is done.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with scratch(spark):
-            sums, touched = _merge_sums(StationStore(spark, store, HOUR_SUMS), batch, batch_id, history_rows)
-            if touched:
-                sink(live_window(_hour_means(sums), stations, weather, fires, news), batch_id)
+    def handle(hours: DataFrame, batch_id: int) -> None:
+        with scratch(hours.sparkSession):
+            # the state moves on once per batch, so its rows are written before they are used more than once
+            hours = materialise(hours)
+            if not hours.isEmpty():
+                sink(live_window(hours, stations, weather, fires, news), batch_id)
     return handle
 
 
-def _into(out: str, fmt: str, batch_id: int, rows: DataFrame) -> None:
-    """Replace the rows of the stations in ``rows``; other stations keep theirs."""
-    spark = rows.sparkSession
-    # computed once: the stations, the buckets and the rows themselves are all asked for
-    rows = materialise(rows)
-    store = StationStore(spark, out, rows.schema, fmt=fmt)
-    touched = [r[0] for r in rows.select(store.bucket()).distinct().collect()]
-    others = store.latest(batch_id, touched).join(rows.select("station").distinct(), "station", "left_anti")
-    if touched:
-        store.replace(others.unionByName(rows), touched, batch_id)
+def start_windows(readings: DataFrame, checkpoint: str, handler, history_rows=HISTORY_ROWS, silence_ms=None,
+                  history: DataFrame | None = None, trigger=None):
+    """Start a stream whose state is the newest hours of every station; what changes goes to ``handler``.
 
+    To forget silent stations the stream has to go on, so ``silence_ms`` needs a ``processingTime`` trigger.
+    """
+    if silence_ms is not None and not (trigger or {}).get("processingTime"):
+        raise ValueError("stations fall silent only in a stream that goes on: give a processingTime trigger")
+    hours = newest_hours(readings, history_rows, silence_ms, history)
+    with rocks_state(readings.sparkSession):
+        return (hours.writeStream.outputMode("update").foreachBatch(handler)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
 
-def latest_rows(spark: SparkSession, out: str, schema, fmt="parquet") -> DataFrame:
-    """What ``stream_features`` or ``stream_score`` (``fmt="json"``) last wrote for every station."""
-    return StationStore(spark, out, schema, fmt=fmt).latest()
 
+def stream_features(readings: DataFrame, out: str, checkpoint: str, stations: DataFrame,
+                    weather=None, fires=None, news=None, **state):
+    """Keep the newest feature rows of every station in ``out``; read them by ``latest_rows``.
 
-def stream_features(readings: DataFrame, store: str, out: str, checkpoint: str,
-                    stations: DataFrame, **sources):
-    """Keep the newest feature rows of every station in ``out``; read them by ``latest_rows``."""
+    ``state`` are the options of ``start_windows``: hours to keep, how long a silent station is remembered, hours
+    to begin with, and the trigger (default: process what has arrived, then stop).
+    """
     def sink(window, batch_id):
-        _into(out, "parquet", batch_id, window)
-    handler = feature_batches(store, stations, sink, **sources)
-    return (readings.writeStream.foreachBatch(handler)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        add_changes(window, out, batch_id)
+    return start_windows(readings, checkpoint, window_batches(sink, stations, weather, fires, news), **state)
 
 
-def stream_score(readings: DataFrame, store: str, out: str, checkpoint: str,
-                 stations: DataFrame, load, params, target, ids=None, **sources):
-    """Keep the newest forecast document of every station in ``out``; read them by ``latest_rows``."""
+def stream_score(readings: DataFrame, out: str, checkpoint: str, stations: DataFrame, load, params, target, ids=None,
+                 features=fixed.FEATURES, weather=None, fires=None, news=None, **state):
+    """Keep the newest forecast document of every station in ``out``; read them by ``latest_rows`` as JSON."""
     def sink(window, batch_id):
-        _into(out, "json", batch_id, score(window, load, params, target, ids))
-    handler = feature_batches(store, stations, sink, **sources)
-    return (readings.writeStream.foreachBatch(handler)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        add_changes(score(window, load, params, target, ids, features), out, batch_id, "json")
+    return start_windows(readings, checkpoint, window_batches(sink, stations, weather, fires, news), **state)

@@ -1,5 +1,6 @@
 """Streams against their batch twins, with late rows, repeats and replays."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,8 +9,8 @@ from aqspark.functions import fixed
 from aqspark.plans import features, forecast
 from aqspark.sources import schemas
 from aqspark.sources.readers import stream_readings
-from aqspark.storage import folders, new_path, shared_dir
-from aqspark.streaming import streams
+from aqspark.storage import new_path
+from aqspark.streaming import changes, station_state, streams
 
 START = datetime(2024, 1, 1)
 
@@ -59,101 +60,136 @@ def sites(spark):
                                  "station string, lat double, lon double, city string")
 
 
-def test_features_follow_late_readings(spark, feed, sites, hours):
-    store = new_path(spark, "store")
+def features_of(spark, feed):
+    return changes.latest_rows(spark, feed.out).toPandas().sort_values(["station", "timestamp"])
+
+
+def assert_same_features(got, twin):
+    twin = twin.toPandas().sort_values(["station", "timestamp"])
+    assert got.timestamp.tolist() == twin.timestamp.tolist()
+    for c in fixed.FEATURES:
+        assert got[c].astype(float).tolist() == pytest.approx(twin[c].astype(float).tolist()), c
 
+
+def test_features_follow_late_readings(spark, feed, sites, hours):
+    """The state outlives the stream: each run starts from the checkpoint of the one before."""
     def run():
-        streams.stream_features(feed.stream(), store, feed.out, feed.state,
-                                sites).awaitTermination()
-    first = [("s1", h * 60, float(h)) for h in range(100)]
-    feed.add(first + [("s2", h * 60, 1.0) for h in range(80)])
+        streams.stream_features(feed.stream(), feed.out, feed.state, sites).awaitTermination()
+    feed.add([("s1", h * 60, float(h)) for h in range(100)] + [("s2", h * 60, 1.0) for h in range(80)])
     run()
     # a second reading of an old hour changes its mean, and a new hour arrives
     feed.add([("s1", 95 * 60 + 5, 200.0), ("s1", 100 * 60, 7.0)])
     run()
-    schema = spark.read.parquet(feed.out).drop("bucket", "version").schema
-    latest = streams.latest_rows(spark, feed.out, schema).toPandas().sort_values("timestamp")
-    # a station that a batch does not touch keeps its rows
-    assert (latest.station == "s2").sum() == 72
-    latest = latest[latest.station == "s1"]
-    assert len(latest) == 72
     rows = [("s1", h, 147.5 if h == 95 else float(h)) for h in range(100)] + [("s1", 100, 7.0)]
-    twin = features.live_window(hours(rows), sites).toPandas().sort_values("timestamp")
-    for c in ("pm25", "pm25_lag24", "pm25_rmean24", "hour_sin"):
-        assert latest[c].tolist() == pytest.approx(twin[c].tolist())
-
-
-def test_a_batch_that_runs_again_replaces_itself(spark, feed, sites):
-    store, seen = new_path(spark, "store"), []
-    handle = streams.feature_batches(store, sites, lambda w, i: seen.append(
-        {(r.timestamp, r.pm25) for r in w.collect()}))
-    feed.add([("s1", h * 60, float(h)) for h in range(80)])
-    batch = spark.read.schema(schemas.READINGS).parquet(feed.path)
-    handle(batch, 0)
-    handle(batch, 0)
-    assert seen[0] == seen[1] and len(seen[0]) == 72
-    handle(batch.limit(0), 1)
-    assert len(seen) == 2
+    # a station that a batch does not touch keeps its rows
+    rows += [("s2", h, 1.0) for h in range(80)]
+    assert_same_features(features_of(spark, feed), features.live_window(hours(rows), sites))
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, feed):
+    rows = spark.createDataFrame([("s1", 1.0), ("s1", 2.0), ("s2", 3.0)], "station string, pm25 double")
+    assert changes.latest_rows(spark, feed.out, rows.schema).count() == 0
+    for _ in range(2):
+        changes.add_changes(rows, feed.out, 0)
+    changes.add_changes(rows.limit(0), feed.out, 1)
+    changes.add_changes(rows.filter("pm25 = 2"), feed.out, 2)
+    assert sorted(map(tuple, changes.latest_rows(spark, feed.out, rows.schema).collect())) == [("s1", 2.0), ("s2", 3.0)]
+
+
+def test_compaction_keeps_the_latest_rows(spark, feed):
+    def log(rows, batch):
+        changes.add_changes(spark.createDataFrame(rows, "station string, pm25 double"), feed.out, batch)
+
+    def shown():
+        return sorted(map(tuple, changes.latest_rows(spark, feed.out).collect()))
+    log([("s1", 1.0), ("s2", 1.0)], 0)
+    log([("s1", 2.0)], 3)
+    for _ in range(2):
+        changes.compact(spark, feed.out)
+        assert shown() == [("s1", 2.0), ("s2", 1.0)]
+        assert {r[0] for r in changes.changes(spark, feed.out).select("batch").distinct().collect()} == {7}
+    log([("s2", 9.0)], 4)
+    assert shown() == [("s1", 2.0), ("s2", 9.0)]
+
+
+def test_updates_of_open_hours(feed, spark):
+    """In update mode an hour shows at once, and again with every reading that is not too late for it."""
+    def shown():
+        streams.run_updates(streams.stream_hourly_mean(feed.stream()), feed.out, feed.state)
+        rows = changes.latest_rows(spark, feed.out, keys=["station", "timestamp"]).collect()
+        return sorted((r.timestamp.hour, r.pm25) for r in rows)
+    feed.add([("s1", 10, 10.0), ("s1", 170, 5.0)])
+    assert shown() == [(0, 10.0), (2, 5.0)]
+    feed.add([("s1", 55, 60.0), ("s1", 400, 1.0)])
+    assert shown() == [(0, 35.0), (2, 5.0), (6, 1.0)]
+    feed.add([("s1", 20, 999.0), ("s1", 399, 3.0)])
+    assert shown() == [(0, 35.0), (2, 5.0), (6, 2.0)]
 
 
 def test_scores_of_touched_stations(spark, feed, sites):
     feed.add([("s1", h * 60, float(h)) for h in range(90)] + [("s2", 0, 3.0)])
     load = forecast.persistence(fixed.FEATURES.index("pm25"))
-    streams.stream_score(feed.stream(), new_path(spark, "store"), feed.out, feed.state, sites,
-                         load, {}, (0.0, 1.0)).awaitTermination()
-    got = streams.latest_rows(spark, feed.out, "station string, current_pm25 double, "
+    streams.stream_score(feed.stream(), feed.out, feed.state, sites, load, {}, (0.0, 1.0)).awaitTermination()
+    got = changes.latest_rows(spark, feed.out, "station string, current_pm25 double, "
                               "forecast map<string, struct<pm25: double>>", "json").collect()
-    assert [(r.station, r.current_pm25, r.forecast["+3h"].pm25) for r in got] == [
-        ("s1", 89.0, 89.0)]
+    assert [(r.station, r.current_pm25, r.forecast["+3h"].pm25) for r in got] == [("s1", 89.0, 89.0)]
 
 
 def test_a_fast_clock_does_not_silence_other_stations(spark, feed, sites, hours):
     """One station runs two months ahead; every station keeps its own newest rows."""
-    store = new_path(spark, "store")
     feed.add([("s1", h * 60, float(h)) for h in range(100)])
     feed.add([("s2", (60 * 24 + h) * 60, 1.0) for h in range(80)] + [("s1", 100 * 60, 7.0)])
     feed.add([("s1", 101 * 60, 8.0)])
-    streams.stream_features(feed.stream(), store, feed.out, feed.state, sites).awaitTermination()
-    schema = spark.read.parquet(feed.out).drop("bucket", "version").schema
-    got = streams.latest_rows(spark, feed.out, schema).toPandas()
-    assert got.groupby("station").size().to_dict() == {"s1": 72, "s2": 72}
-    twin = features.live_window(
-        hours([("s1", h, float(h)) for h in range(100)] + [("s1", 100, 7.0), ("s1", 101, 8.0)]), sites).toPandas()
-    mine = got[got.station == "s1"].sort_values("timestamp")
-    twin = twin.sort_values("timestamp")
-    for c in fixed.FEATURES:
-        assert mine[c].astype(float).tolist() == pytest.approx(twin[c].astype(float).tolist()), c
-
-
-def test_many_batches_leave_as_many_folders_as_two(spark, feed, sites):
-    """Stores keep two versions of a bucket, and tables written on the way are deleted."""
-    store, out = new_path(spark, "store"), new_path(spark, "out")
-    handle = streams.feature_batches(store, sites, lambda w, i: streams._into(out, "parquet", i, w))
-    feed.add([("s1", h * 60, float(h)) for h in range(80)])
-    batch = spark.read.schema(schemas.READINGS).parquet(feed.path)
-    counts = []
-    for i in range(4):
-        handle(batch, i)
-        counts.append([sum(len(folders(spark, f"{p}/{b}")) for b in folders(spark, p) if b.startswith("bucket="))
-                       for p in (store, out)] + [len([f for f in folders(spark, shared_dir(spark)) if f.startswith("table-")])])
-    assert counts[1] == counts[2] == counts[3]
-    assert counts[3][:2] == [2, 2] and counts[0][2] == counts[3][2]
+    streams.stream_features(feed.stream(), feed.out, feed.state, sites).awaitTermination()
+    rows = [("s1", h, float(h)) for h in range(100)] + [("s1", 100, 7.0), ("s1", 101, 8.0)]
+    rows += [("s2", 60 * 24 + h, 1.0) for h in range(80)]
+    assert_same_features(features_of(spark, feed), features.live_window(hours(rows), sites))
 
 
 def test_impossible_hours_do_not_push_valid_ones_out(spark, feed, sites, hours):
     """A sensor fails for 100 hours (s1) or for one (s2); windows and lags reach back over these hours."""
-    store = new_path(spark, "store")
     rows = [("s1", h, -999.0 if 200 <= h < 300 else float(h)) for h in range(320)]
     rows += [("s2", h, 5000.0 if h == 100 else float(h + 1)) for h in range(150)]
     for first, end in ((0, 200), (200, 300), (300, 320)):
         feed.add([(s, h * 60, v) for s, h, v in rows if first <= h < end])
-    streams.stream_features(feed.stream(), store, feed.out, feed.state, sites).awaitTermination()
-    schema = spark.read.parquet(feed.out).drop("bucket", "version").schema
-    got = streams.latest_rows(spark, feed.out, schema).toPandas().sort_values(["station", "timestamp"])
-    twin = features.live_window(streams.valid_range(hours(rows)), sites).toPandas().sort_values(["station", "timestamp"])
-    assert got.groupby("station").size().to_dict() == {"s1": 72, "s2": 72}
-    assert got.timestamp.tolist() == twin.timestamp.tolist()
-    for c in fixed.FEATURES:
-        assert got[c].astype(float).tolist() == pytest.approx(twin[c].astype(float).tolist()), c
-    kept = streams.latest_rows(spark, store, streams.HOUR_SUMS).groupBy("station").count().collect()
+    streams.stream_features(feed.stream(), feed.out, feed.state, sites).awaitTermination()
+    assert_same_features(features_of(spark, feed), features.live_window(streams.valid_range(hours(rows)), sites))
+    kept = station_state.stored_hours(spark, feed.state).groupBy("station").count().collect()
     assert {r["station"]: r["count"] for r in kept} == {"s1": 244, "s2": 145}
+    means = station_state.stored_means(spark, feed.state).groupBy("station").count().collect()
+    assert {r["station"]: r["count"] for r in means} == {"s1": 144, "s2": 144}
+
+
+def test_history_to_begin_with(spark, feed, sites, hours):
+    """A stream that starts with stored hours scores from its first reading on."""
+    past = [("s1", h, float(h)) for h in range(99)]
+    feed.add([("s1", 98 * 60 + 30, 0.0), ("s1", 99 * 60, 5.0)])
+    streams.stream_features(feed.stream(), feed.out, feed.state, sites, history=hours(past)).awaitTermination()
+    rows = past[:98] + [("s1", 98, 49.0), ("s1", 99, 5.0)]
+    assert_same_features(features_of(spark, feed), features.live_window(hours(rows), sites))
+
+
+def test_silent_stations_are_forgotten(spark, feed):
+    """By processing time, in a stream that goes on."""
+    feed.add([("s1", 60, 1.0), ("s2", 60, 1.0)])
+    with pytest.raises(ValueError):
+        streams.start_windows(feed.stream(), feed.state, print, silence_ms=1)
+    sizes = []
+    query = streams.start_windows(feed.stream(), feed.state, lambda rows, i: sizes.append(rows.count()), silence_ms=1,
+                                  trigger={"processingTime": "200 milliseconds"})
+    try:
+        deadline = time.time() + 60
+        while len(sizes) < 4 and time.time() < deadline:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert sizes[0] == 2 and set(sizes[1:]) == {0}
+    assert station_state.stored_hours(spark, feed.state).count() == 0
+
+
+def test_readings_are_added_up_before_they_travel(spark, feed):
+    """Many readings of one station leave each batch as one row per hour; nulls do not count."""
+    feed.add([("s1", m, 2.0) for m in range(0, 120)] + [("s1", 5, None)])
+    batch = spark.read.schema(schemas.READINGS).parquet(feed.path)
+    rows = station_state.hour_sums(batch).collect()
+    assert sorted((r.hour - 473352, r.total, r.n) for r in rows) == [(0, 120.0, 60), (1, 120.0, 60)]
