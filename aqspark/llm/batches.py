@@ -1,5 +1,7 @@
 """Helpers shared by the operators: column names, batches of text, tables read twice."""
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,10 +48,29 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 BATCH = "8m"
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` in small batches, so that the memory of the workers stays bounded by them."""
+def map_arrow(df: DataFrame, run, schema: str, trim: bool = False) -> DataFrame:
+    """``mapInArrow`` in small batches, so that the memory of the workers stays bounded by them.
+
+    With ``trim`` a worker gives back what it no longer needs when its task ends: workers live on between
+    stages, beside a JVM that needs the room.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return df.mapInArrow(trimmed if trim else run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES

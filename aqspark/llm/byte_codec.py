@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from aqspark.llm.batches import map_arrow, text_steps
 
 # pre-tokens whose ids a worker remembers; a full memory is emptied, which changes no result
-MEMORY = 1 << 17
+MEMORY = 1 << 16
 
 
 def _varint(n: int) -> bytes:
@@ -184,4 +184,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_arrow(source, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-        + ", ids array<int>" * with_ids)
+        + ", ids array<int>" * with_ids, trim=True)

@@ -201,4 +201,4 @@ def identify(docs: DataFrame, automata: Automata, id_col: str = "doc_id", text_c
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return map_arrow(source, run, schema)
+    return map_arrow(source, run, schema, trim=True)

@@ -69,7 +69,7 @@ def shingle_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], ["bucket", "n"])
 
-    rows = map_arrow(docs.select(_lowered(F.col(text_col)).alias("__low")), run, "bucket bigint, n bigint")
+    rows = map_arrow(docs.select(_lowered(F.col(text_col)).alias("__low")), run, "bucket bigint, n bigint", trim=True)
     counts = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = max(int(counts.loc[counts["bucket"] < 0, "n"].sum()), 2)
     out = np.zeros(BUCKETS)
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, weights, text_col: str = "text") -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))],
                     ["text_key", "total", "bands"])
 
-    found = map_arrow(source, run, "text_key binary, total double, bands array<bigint>")
+    found = map_arrow(source, run, "text_key binary, total double, bands array<bigint>", trim=True)
     found = found.groupBy("text_key").agg(F.first("total").alias("total"), F.first("bands").alias("bands"))
     return written(found.select(F.monotonically_increasing_id().alias("node"), "text_key", "total", "bands"), "sketches")
 
@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                     [pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(same, pa.float64())],
                     ["a", "b", "similarity"])
 
-    return written(map_arrow(rows, run, "a bigint, b bigint, similarity double"), "verified")
+    return written(map_arrow(rows, run, "a bigint, b bigint, similarity double", trim=True), "verified")
 
 
 def block_links(left: list, right: list, weights: np.ndarray, least: float) -> pa.RecordBatch:
@@ -255,7 +255,7 @@ class _Search:
                 (right if row["side"] else left).append((row["node"], row["label"], row["low"].encode()))
             yield block_links(left, right, weights.value, least)
 
-        found = written(map_arrow(rows, run, "a bigint, b bigint, similarity double"), "block-links")
+        found = written(map_arrow(rows, run, "a bigint, b bigint, similarity double", trim=True), "block-links")
         self.tested.append(found.distinct())
         self.labels = written(connected_components(self.links()), "labels")
 
