@@ -2,7 +2,7 @@
 
     spark-submit --py-files aqspark.zip aqspark/jobs/evaluate.py --learning DIR --out DIR [--horizons N] [--max-iter N]
 
-``--learning`` is what the learning job wrote. Writes ``linear`` and ``persistence``.
+``--learning`` is what the learning job wrote. Writes ``linear``, ``persistence`` and the fitted ``models``, which the scoring jobs take.
 """
 
 import argparse
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from aqspark.functions import fixed
 from aqspark.operators.metrics import horizon_metrics, target_pairs
 from aqspark.operators.scaling import params_on_driver, robust_unscale
-from aqspark.plans.learning import fit_linear, predict_linear
+from aqspark.plans.linear import fit_linear, predict_linear, write_linear
 from aqspark.sources import writers
 from aqspark.storage import configure, scratch
 
@@ -25,6 +25,7 @@ def run(spark, args):
         rows = spark.read.parquet(f"{args.learning}/rows")
         test = rows.filter("split = 'test'")
         models = fit_linear(rows.filter("split = 'train'"), range(1, args.horizons + 1), features, args.max_iter)
+        write_linear(spark, models, f"{args.out}/models", features)
         back = dict.fromkeys(["y_true", "y_pred"], params["target"])
         linear = robust_unscale(predict_linear(models, test, features), back)
         writers.write_metrics(horizon_metrics(linear, round_digits=True), f"{args.out}/linear")

@@ -1,7 +1,7 @@
 """Latest readings → forecast documents, without a stored feature table.
 
     spark-submit --py-files aqspark.zip aqspark/jobs/score_live.py --measurements DIR --registry FILE --params DIR
-        --out DIR [--weather DIR] [--fires DIR] [--articles DIR] [--predictor module:function]
+        --out DIR [--weather DIR] [--fires DIR] [--articles DIR] [--models DIR | --predictor module:function]
 
 The readings should reach back twice 72 hours: a window and its longest lag.
 """
@@ -16,6 +16,7 @@ from aqspark.operators.aggregate import hourly_mean
 from aqspark.operators.scaling import params_on_driver
 from aqspark.plans.features import live_window
 from aqspark.plans.forecast import persistence, score
+from aqspark.plans.linear import linear_predictor, read_linear
 from aqspark.sources import readers, writers
 from aqspark.storage import configure, materialise, scratch
 
@@ -31,7 +32,9 @@ def run(spark, args):
         fires = readers.read_fires(spark, args.fires) if args.fires else None
         news = city_news(spark, args.articles, hours) if args.articles else None
         window = live_window(hours, stations, weather, fires, news)
-        if args.predictor:
+        if args.models:
+            load, target = linear_predictor(read_linear(spark, args.models, features)), params["target"]
+        elif args.predictor:
             module, name = args.predictor.split(":")
             load, target = getattr(import_module(module), name), params["target"]
         else:
@@ -45,7 +48,7 @@ def arguments(argv=None):
     for name in ("--measurements", "--params", "--out"):
         p.add_argument(name, required=True)
     p.add_argument("--registry", nargs="+", required=True)
-    for name in ("--weather", "--fires", "--articles", "--predictor"):
+    for name in ("--weather", "--fires", "--articles", "--models", "--predictor"):
         p.add_argument(name)
     return p.parse_args(argv)
 

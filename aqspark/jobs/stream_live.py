@@ -1,7 +1,7 @@
 """Landed readings → newest feature rows or forecast documents of every station, as a stream that goes on.
 
     spark-submit --py-files aqspark.zip aqspark/jobs/stream_live.py --landing DIR --registry FILE --out DIR --checkpoint DIR
-        [--params DIR [--predictor module:function]] [--weather DIR] [--fires DIR] [--history DIR]
+        [--params DIR [--models DIR | --predictor module:function]] [--weather DIR] [--fires DIR] [--history DIR]
         [--every "1 minute"] [--forget-days N] [--compact]
 
 Without --params the feature rows are kept, with it documents. Without --every what has arrived is processed, then the
@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from aqspark.operators.scaling import params_on_driver
 from aqspark.plans.forecast import persistence
+from aqspark.plans.linear import linear_predictor, read_linear
 from aqspark.sources import readers, writers
 from aqspark.storage import configure
 from aqspark.streaming import streams
@@ -42,7 +43,9 @@ def run(spark, args):
         compact(spark, args.out, DOCUMENTS, "json")
     scaler, ids, features = writers.read_params(spark, args.params)
     params = params_on_driver(scaler)
-    if args.predictor:
+    if args.models:
+        load, target = linear_predictor(read_linear(spark, args.models, features)), params["target"]
+    elif args.predictor:
         module, name = args.predictor.split(":")
         load, target = getattr(import_module(module), name), params["target"]
     else:
@@ -55,7 +58,7 @@ def arguments(argv=None):
     for name in ("--landing", "--out", "--checkpoint"):
         p.add_argument(name, required=True)
     p.add_argument("--registry", nargs="+", required=True)
-    for name in ("--params", "--predictor", "--weather", "--fires", "--history", "--every"):
+    for name in ("--params", "--models", "--predictor", "--weather", "--fires", "--history", "--every"):
         p.add_argument(name)
     p.add_argument("--forget-days", type=int)
     p.add_argument("--compact", action="store_true")

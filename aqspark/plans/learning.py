@@ -1,11 +1,7 @@
-"""Learning set and the forecasters that Spark can fit itself."""
+"""Learning set, its examples, and reference forecasts."""
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,43 +103,3 @@ def naive(df: DataFrame, kind="persistence") -> DataFrame:
                          before=24, after=fixed.HORIZONS)
     pick = (lambda h: F.col(f"_y{h}")) if kind == "yesterday" else (lambda h: F.col("pm25"))
     return target_pairs(wide, pick)
-
-
-def fit_linear(rows: DataFrame, horizons=range(1, fixed.HORIZONS + 1),
-               features=fixed.FEATURES, max_iter=50, loss="huber",
-               ridge=0.01, parallelism=4) -> dict[int, LinearRegressionModel]:
-    """One linear model per horizon, on rows without nulls: robust, or by least squares
-    with ``loss="squaredError"``. So many fits run side by side as ``parallelism`` says."""
-    targets = [f"target_{h}h" for h in horizons]
-    assembler = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip")
-    # one test over an array: the optimizer would multiply out 24 tests of computed columns
-    known = rows.filter(~F.exists(F.array(*targets), lambda v: v.isNull()))
-    # every iteration of every fit reads this
-    table = materialise(assembler.transform(known).select("x", *targets))
-
-    def fit(h):
-        model = LinearRegression(featuresCol="x", labelCol=f"target_{h}h", loss=loss,
-                                 maxIter=max_iter, regParam=ridge)
-        return h, model.fit(table)
-
-    with ThreadPool(parallelism) as pool:
-        return dict(pool.map(inheritable_thread_target(table.sparkSession)(fit), list(horizons)))
-
-
-def predict_linear(models: dict[int, LinearRegressionModel], rows: DataFrame,
-                   features=fixed.FEATURES) -> DataFrame:
-    """Long pairs: all horizons are computed in one pass over the rows, as compiled sums."""
-    def value(h):
-        model = models[h]
-        out = F.lit(float(model.intercept))
-        for name, weight in zip(features, model.coefficients, strict=True):
-            # features without influence cost nothing
-            if weight != 0:
-                out = out + F.col(name).cast("double") * F.lit(float(weight))
-        return out
-
-    steps = F.array(*[F.struct(F.lit(h).alias("horizon"),
-                               F.col(f"target_{h}h").cast("double").alias("y_true"),
-                               F.col(f"_forecast_{h}").alias("y_pred")) for h in sorted(models)])
-    named = rows.select("*", *[value(h).alias(f"_forecast_{h}") for h in sorted(models)])
-    return named.select("station", "timestamp", F.inline(steps))

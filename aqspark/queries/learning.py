@@ -6,7 +6,7 @@ from aqspark.functions import fixed
 from aqspark.operators import metrics, ranks, scaling, spatial
 from aqspark.operators.clean import ensure_columns
 from aqspark.operators.windows import add_targets
-from aqspark.plans import features, forecast, learning
+from aqspark.plans import features, forecast, learning, linear
 from aqspark.queries.base import query
 from aqspark.queries.joining import cell_weather, features_sql
 from aqspark.queries.scalars import bands_sql
@@ -154,8 +154,8 @@ def learning_sequences(t):
 def on_test(t, found, features_, **options):
     """Test rows with the forecasts of models fitted on the training rows, in reading units."""
     center, scale = scaling.params_on_driver(found.scaler)["target"]
-    models = learning.fit_linear(found.rows.filter("split = 'train'"), features=features_, **options)
-    pairs = learning.predict_linear(models, found.rows.filter("split = 'test'"), features_)
+    models = linear.fit_linear(found.rows.filter("split = 'train'"), features=features_, **options)
+    pairs = linear.predict_linear(models, found.rows.filter("split = 'test'"), features_)
     return scaling.robust_unscale(pairs, dict.fromkeys(["y_true", "y_pred"], (center, scale)))
 
 
@@ -177,13 +177,62 @@ FROM (SELECT target_{h}h AS y, slope * pm25 + start AS p FROM parts, (SELECT reg
 @query("m06_linear_forecast", "horizon:i n:i mae:f4 rmse:f4 r2:f4", views="hourly",
        sql=f"WITH parts AS MATERIALIZED {HOUR_SPLIT} " + " UNION ALL ".join(
            straight_line_sql(h) for h in range(1, fixed.HORIZONS + 1)))
-def linear(t):
+def least_squares(t):
     """Least squares on the reading alone, which SQL can fit too."""
     dataset = add_targets(t.hourly()).dropna(subset=fixed.TARGETS)
     found = learning.prepare(dataset, ["pm25"])
     return metrics.horizon_metrics(on_test(t, found, ["pm25"], loss="squaredError", ridge=0.0))
 
 
+# Huber's loss with its own scale, by reweighting: every round sums over the training rows by horizon
+ROBUST_LINES = f"""train AS MATERIALIZED (SELECT pm25::DOUBLE AS x, unnest([{", ".join(f"target_{h}h" for h in range(1, 25))}])::DOUBLE AS y,
+    unnest(range(1, 25)) AS horizon FROM parts WHERE split = 'train'),
+rounds AS (
+  SELECT 0 AS round, horizon, start, slope, sqrt(mse) AS scale FROM (
+    SELECT horizon, any_value(start) AS start, any_value(slope) AS slope, avg((y - start - slope * x) ** 2) AS mse
+    FROM train JOIN (SELECT horizon, regr_slope(y, x) AS slope, regr_intercept(y, x) AS start FROM train GROUP BY horizon) USING (horizon)
+    GROUP BY horizon)
+  UNION ALL
+  SELECT round + 1, horizon, (sy - slope * sx) / sw, slope, scale FROM (
+    SELECT round, horizon, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy,
+      (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2) AS slope,
+      sqrt(sum(CASE WHEN r <= 1.35 * scale THEN r * r ELSE 0 END) / (count(*) - 1.35 ** 2 * count(*) FILTER (r > 1.35 * scale))) AS scale
+    FROM (SELECT *, CASE WHEN r <= 1.35 * scale THEN 1 ELSE 1.35 * scale / r END AS w
+          FROM (SELECT *, abs(y - start - slope * x) AS r FROM rounds JOIN train USING (horizon) WHERE round < 30))
+    GROUP BY round, horizon)),
+lines AS MATERIALIZED (SELECT horizon, start, slope FROM rounds WHERE round = 30)"""
+
+
+@query("m06_robust_line", "station:s timestamp:t horizon:i y_true:f y_pred:f3", views="hourly", sql=f"""
+WITH RECURSIVE parts AS MATERIALIZED {HOUR_SPLIT}, {ROBUST_LINES}
+SELECT station, timestamp, horizon, y AS y_true, start + slope * pm25 AS y_pred
+FROM (SELECT station, timestamp, pm25, unnest(range(1, 25)) AS horizon, unnest([{", ".join(f"target_{h}h" for h in range(1, 25))}]) AS y
+  FROM parts WHERE split = 'test') JOIN lines USING (horizon)""")
+def robust_line(t):
+    """Every forecast of the robust fit on the reading alone, which SQL can repeat round by round."""
+    dataset = add_targets(t.hourly()).dropna(subset=fixed.TARGETS)
+    found = learning.prepare(dataset, ["pm25"])
+    return on_test(t, found, ["pm25"], ridge=0.0, max_iter=30, tolerance=0.0)
+
+
+@query("m06_kept_models", "station:s horizon:i y_pred:f4", views="hourly", sql=f"""
+WITH parts AS MATERIALIZED {HOUR_SPLIT}, newest AS (SELECT * FROM (SELECT station, pm25, row_number() OVER (PARTITION BY station
+    ORDER BY timestamp DESC) AS rn, count(*) OVER (PARTITION BY station) AS n FROM parts) WHERE rn = 1 AND n >= 72)
+{" UNION ALL ".join(f"""SELECT station, {h} AS horizon, least(greatest(slope * pm25 + start, 0), 1500) AS y_pred FROM newest,
+  (SELECT regr_slope(target_{h}h, pm25) AS slope, regr_intercept(target_{h}h, pm25) AS start FROM parts WHERE split = 'train')""" for h in range(1, 25))}""")
+def kept_models(t):
+    """Fitted, written, read again and used as the predictor of the newest rows."""
+    found = learning.prepare(add_targets(t.hourly()).dropna(subset=fixed.TARGETS), ["pm25"])
+    path = new_path(t.spark, "models")
+    linear.write_linear(t.spark, linear.fit_linear(found.rows.filter("split = 'train'"), features=["pm25"], loss="squaredError", ridge=0.0),
+                        path, ["pm25"])
+    params = scaling.params_on_driver(found.scaler)
+    raw = scaling.robust_unscale(found.rows.select("station", "timestamp", "pm25"), {"pm25": params["pm25"]})
+    values = forecast.forecast_values(raw, linear.linear_predictor(linear.read_linear(t.spark, path, ["pm25"])),
+                                      {"pm25": params["pm25"]}, params["target"], ["pm25"])
+    return values.select("station", F.posexplode("forecast").alias("at", "y_pred")).withColumn("horizon", F.col("at") + 1)
+
+
 @query("m06_robust_forecast", "horizon:i n:i better:i", views="hourly weather fires stations", sql=f"""
 SELECT unnest(range(1, 25)) AS horizon, n, 1 AS better FROM (SELECT count(*) AS n FROM ({SPLIT}) WHERE split = 'test')""")
 def robust(t):

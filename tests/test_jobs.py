@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from aqspark.jobs import (
-    build_dataset, build_history, build_registry, evaluate, prepare_learning, score_dataset, score_live)
+    build_dataset, build_history, build_registry, evaluate, prepare_learning, score_dataset, score_live, stream_live)
+from aqspark.plans.linear import read_linear
+from aqspark.sources import schemas
+from aqspark.streaming.changes import latest_rows
 
 START = datetime(2024, 1, 1)
 
@@ -73,6 +76,23 @@ def test_jobs_end_to_end(spark, tmp_path):
     naive = {r.horizon: r.mae for r in spark.read.json(f"{errors}/persistence").collect()}
     assert set(linear) == set(naive) == {"t+1h", "t+2h"} and linear["t+2h"] < naive["t+2h"]
 
+    # the models are kept, and score both the table and a stream of landed readings
+    models = ["--models", f"{errors}/models", "--params", f"{learn}/params"]
+    score_dataset.run(spark, score_dataset.arguments(["--dataset", f"{out}/rows", "--out", documents, *models]))
+    kept = spark.read.json(documents).first()
+    fitted = read_linear(spark, f"{errors}/models")
+    assert sorted(fitted) == [1, 2] and kept.forecast["+1h"].pm25 != kept.forecast["+2h"].pm25 == kept.forecast["+9h"].pm25
+    landing = str(tmp_path / "landing")
+    spark.createDataFrame([(1, "delhi_a", START + timedelta(hours=h), 60 + 40 * math.sin(h / 6) + h % 5) for h in range(400)],
+                          schemas.READINGS).write.parquet(landing)
+    streamed = str(tmp_path / "streamed")
+    stream_live.run(spark, stream_live.arguments([
+        "--landing", landing, "--registry", str(tmp_path / "reg.json"), "--out", streamed, "--checkpoint", str(tmp_path / "state"),
+        "--compact", *models])).awaitTermination()
+    latest = latest_rows(spark, streamed, stream_live.DOCUMENTS, "json").first()
+    assert latest.station == "delhi_a" and latest.current_pm25 == fresh["delhi_a"].current_pm25
+    assert latest.forecast["+1h"].pm25 != latest.forecast["+2h"].pm25
+
 
 def test_registry_history_and_bounded_dataset(spark, tmp_path):
     def lines(name, *documents):

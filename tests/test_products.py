@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aqspark.functions import fixed
 from aqspark.operators import aggregate, metrics
 from aqspark.operators.joins import join_news, news_for_station
-from aqspark.plans import features, forecast, history, learning, registry
+from aqspark.plans import features, forecast, history, learning, linear, registry
 from aqspark.sources import dims
 
 SITES = "station string, lat double, lon double, city string"
@@ -171,8 +171,8 @@ def test_learning_set_and_models(hours):
     full = learning.learning_sequences(found.rows, names)
     parts = found.rows.groupBy("station", "split").count().collect()
     assert full.count() == sum(max(0, r["count"] - 95) for r in parts)
-    models = learning.fit_linear(found.rows, [1], names, max_iter=30)
-    pairs = learning.predict_linear(models, found.rows, names)
+    models = linear.fit_linear(found.rows, [1], names, max_iter=30)
+    pairs = linear.predict_linear(models, found.rows, names)
     assert metrics.horizon_metrics(pairs).first().r2 > 0.8
 
 
