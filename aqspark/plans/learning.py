@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aqspark.functions import fixed
 from aqspark.operators import ranks, scaling
 from aqspark.operators.aggregate import null_audit
+from aqspark.operators.blocks import sequence_blocks
 from aqspark.operators.joins import join_station_ids
 from aqspark.operators.metrics import target_pairs
 from aqspark.operators.segments import over_segments
@@ -83,6 +84,16 @@ def learning_sequences(rows: DataFrame, features=fixed.FEATURES, max_rows=0, gap
     return sequences(rows, features, gap=gap, keep=keep)
 
 
+def learning_blocks(rows: DataFrame, features=fixed.FEATURES, kind="float") -> DataFrame:
+    """All examples as blocks, in which each row is stored once. Where rows have a ``split``, no example
+    reaches from one into another."""
+    if "split" not in rows.columns:
+        return sequence_blocks(rows, features, kind=kind)
+    own = rows.withColumn("_part", F.struct("split", "station"))
+    blocks = sequence_blocks(own, features, key="_part", kind=kind)
+    return blocks.select("_part.station", "_part.split", *[c for c in blocks.columns if c != "_part"])
+
+
 # --- forecasters -------------------------------------------------------------------------
 
 def naive(df: DataFrame, kind="persistence") -> DataFrame:

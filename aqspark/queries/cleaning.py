@@ -41,14 +41,14 @@ def in_inner_box(t):
 PRODUCTIVE = ("coalesce(" + " OR ".join(
     f"id BETWEEN {lo} AND {hi}" for lo, hi in fixed.SENSOR_RANGES)
     + f" OR id IN ({', '.join(map(str, fixed.SENSOR_EXCEPTIONS))}), false)")
-SENSORS = """(SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 1201 % 18000000 END
+SENSORS = """(SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 12007 % 18000000 END
   AS id FROM orders)"""
 
 
 def order_sensors(t):
     key = F.col("o_orderkey")
     return t.table("orders").select(
-        "o_orderkey", F.when(key % 10 != 0, key * 1201 % 18_000_000).alias("id"))
+        "o_orderkey", F.when(key % 10 != 0, key * 12007 % 18_000_000).alias("id"))
 
 
 @query("p03_productive_sensor", "o_orderkey:i id:i",
@@ -144,9 +144,9 @@ def resolved(t):
 
 @query("p11_min_records", "station:s timestamp:t pm25:f", views="hourly", sql="""
 SELECT * FROM hourly WHERE station IN (SELECT station FROM hourly GROUP BY station
-  HAVING count(*) >= 375)""")
+  HAVING count(*) >= 360)""")
 def enough(t):
-    return clean.min_records(t.hourly(), 375)
+    return clean.min_records(t.hourly(), 360)
 
 
 LEADS = ", ".join(f"lead(pm25, {h}) OVER w AS target_{h}h" for h in range(1, 25))

@@ -306,10 +306,10 @@ def distinct_ids(t):
 
 
 @query("u04_not_yet_done", "station:s timestamp:t pm25:f", views="hourly", sql="""
-SELECT * FROM hourly WHERE station NOT IN (SELECT station FROM hourly WHERE pm25 > 250)""")
+SELECT * FROM hourly WHERE station NOT IN (SELECT station FROM hourly WHERE pm25 > 300)""")
 def not_done(t):
     hourly = t.hourly()
-    return joins.not_yet_done(hourly, hourly.filter("pm25 > 250"))
+    return joins.not_yet_done(hourly, hourly.filter("pm25 > 300"))
 
 
 # --- products ------------------------------------------------------------------------------

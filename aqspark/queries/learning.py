@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from aqspark.functions import fixed
 from aqspark.operators import metrics, ranks, scaling, spatial
 from aqspark.operators.clean import ensure_columns
+from aqspark.operators.blocks import block_examples
 from aqspark.operators.windows import add_targets
 from aqspark.plans import features, forecast, learning, linear
 from aqspark.queries.base import query
@@ -138,17 +139,33 @@ def prepared(t):
     return learning_set(t).rows
 
 
-@query("m06_learning_sequences", "station:s split:s n:i shortest:i longest:i width:i",
-       views="hourly weather fires stations", sql=f"""
-WITH counts AS MATERIALIZED (SELECT station, split, count(*) AS n FROM ({SPLIT}) GROUP BY 1, 2 HAVING count(*) >= 96)
-SELECT station, split, least(n - 95, greatest(1, 2000 // (SELECT count(*) FROM counts))) AS n,
-  72 AS shortest, 72 AS longest, 59 AS width FROM counts""")
+SCALES = f"""scales AS MATERIALIZED (SELECT {", ".join(
+    f"coalesce(quantile_cont({c}::DOUBLE, 0.5), 0) AS m_{c}, coalesce(nullif(quantile_cont({c}::DOUBLE, 0.75)"
+    f" - quantile_cont({c}::DOUBLE, 0.25), 0), 1) AS w_{c}" for c in fixed.FEATURES)}
+  FROM parts WHERE split = 'train')"""
+
+
+@query("m06_learning_sequences", "station:s split:s timestamp:t row:i x_sum:f4 y_sum:f4", views="hourly weather fires stations", sql=f"""
+WITH parts AS MATERIALIZED ({SPLIT}), {SCALES},
+digests AS MATERIALIZED (SELECT station, split, timestamp,
+    {" + ".join(f"{j + 1} / 59.0::DOUBLE * (({filled_sql(c)} - m_{c}) / w_{c})" for j, c in enumerate(fixed.FEATURES))} AS d,
+    {" + ".join(f"{h} * target_{h}h" for h in range(1, 25))} AS y_sum FROM parts, scales)
+SELECT station, split, timestamp, row, list_sum(list_transform(x, lambda v, k: v * k / 72.0::DOUBLE)) AS x_sum, y_sum
+FROM (SELECT *, row_number() OVER w - 1 AS row, list(d) OVER (w ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING) AS x,
+    count(*) OVER (PARTITION BY station, split) AS n FROM digests WINDOW w AS (PARTITION BY station, split ORDER BY timestamp))
+WHERE row >= 72 AND row <= n - 24""")
 def learning_sequences(t):
-    """No example reaches over the border of a split."""
-    examples = learning.learning_sequences(learning_set(t).rows, max_rows=2000)
-    return examples.groupBy("station", "split").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("shortest"),
-        F.max(F.size("x")).alias("longest"), F.max(F.size(F.col("x")[0])).alias("width"))
+    """Every example, each with sums in which every value has a weight of its own by its place."""
+    found = learning_set(t)
+    path = new_path(t.spark, "blocks")
+    learning.learning_blocks(found.rows, kind="double").write.parquet(path)
+    blocks = t.spark.read.parquet(path).withColumn("station", F.struct("station", "split"))
+    center, scale = scaling.params_on_driver(found.scaler)["target"]
+    weighed = lambda values, n: F.aggregate(F.transform(values, lambda v, i: v * (i + 1) / n), F.lit(0.0), lambda a, v: a + v)
+    return block_examples(blocks).select(
+        "station.station", "station.split", "timestamp", "row",
+        weighed(F.transform("x", lambda row: weighed(row, 59.0)), 72.0).alias("x_sum"),
+        weighed(F.transform("y", lambda v: v * scale + center), 1.0).alias("y_sum"))
 
 
 def on_test(t, found, features_, **options):

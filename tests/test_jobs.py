@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aqspark.jobs import (
     build_dataset, build_history, build_registry, evaluate, prepare_learning, score_dataset, score_live, stream_live)
+from aqspark.operators.blocks import block_examples
 from aqspark.plans.linear import read_linear
 from aqspark.sources import schemas
 from aqspark.streaming.changes import latest_rows
@@ -47,7 +48,8 @@ def test_jobs_end_to_end(spark, tmp_path):
 
     learn = str(tmp_path / "learn")
     prepare_learning.run(spark, prepare_learning.arguments([
-        "--dataset", f"{out}/rows", "--out", learn, "--sequences", "--max-rows", "50"]))
+        "--dataset", f"{out}/rows", "--out", learn, "--blocks", "--sequences", "--max-rows", "50"]))
+    assert block_examples(spark.read.parquet(f"{learn}/blocks").filter("split = 'train'")).count() == int((400 - 48) * 0.7) - 95
     examples = spark.read.parquet(f"{learn}/sequences/train")
     assert examples.count() == 50
     first = examples.first()

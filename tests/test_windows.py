@@ -2,14 +2,16 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aqspark.operators import windows
+from aqspark.operators import blocks, windows
 from aqspark.operators.segments import split_segments
+from aqspark.storage import new_path
 
 ROWS = 40      # segments far smaller than the frames reach
 
@@ -106,6 +108,33 @@ def test_sequences(hours, gap):
         assert list(r.y) == [r.row]
 
 
+@pytest.mark.parametrize("gap", [0, 1])
+def test_blocks_hold_the_same_examples(hours, gap):
+    """Blocks end anywhere, at a station's last row too; every example is cut out of one block."""
+    sizes = {"a": 95, "b": 96, "c": 180, "d": 200, "e": 270, "f": 431}
+    df = hours([(s, h, float(h)) for s, n in sizes.items() for h in range(n)]).withColumn("other", -F.col("pm25"))
+    found = blocks.sequence_blocks(df, ["pm25", "other"], ["pm25"], block_rows=90)
+    got = blocks.block_examples(found, gap=gap)
+    want = windows.sequences(df, ["pm25", "other"], ["pm25"], gap=gap)
+    rows = [sorted(map(tuple, x.select("station", "timestamp", "row", "x", "y").collect())) for x in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) == sum(max(0, n - 95) for n in sizes.values())
+    assert found.selectExpr("max(size(times))").first()[0] <= 90 + 72
+    with pytest.raises(ValueError):
+        blocks.sequence_blocks(df, ["pm25"], ["pm25"], block_rows=50)
+
+
+def test_blocks_store_rows_once(spark, hours):
+    """Stored bytes are those of the rows, not of the windows."""
+    df = hours([(s, h, float((h * 7919) % 1000) + h / 7) for s in "ab" for h in range(6000)])
+    names = [f"x{i}" for i in range(20)]
+    df = df.withColumns({n: F.col("pm25") * (i + 1) for i, n in enumerate(names)}).withColumns({n: F.col(n).cast("float") for n in names})
+    plain, packed = new_path(spark, "plain"), new_path(spark, "packed")
+    df.select("station", "timestamp", *names, F.col("pm25").cast("float")).coalesce(1).write.parquet(plain)
+    blocks.sequence_blocks(df, names, ["pm25"]).coalesce(1).write.parquet(packed)
+    size = [sum(f.stat().st_size for f in Path(p).rglob("*.parquet")) for p in (plain, packed)]
+    assert size[1] <= 1.2 * size[0]
+
+
 def test_last_rows_and_current_value(hours):
     df = hours([("a", h, float(h)) for h in range(80)] + [("b", h, 1.0) for h in range(71)])
     newest = windows.last_n(df, 72)
