@@ -141,7 +141,7 @@ ORACLES = {
         counts AS (SELECT source, line, count(*) AS n
                    FROM (SELECT source, unnest(keys) AS line FROM pages) GROUP BY source, line),
         often AS (SELECT source, list(line) AS lines FROM counts JOIN totals USING (source)
-                  WHERE n >= 10 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY source),
+                  WHERE n >= 3 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY source),
         kept AS (SELECT cut.*, CASE WHEN lines IS NULL THEN parts ELSE list_filter(
                    parts, lambda l: NOT list_contains(lines, trim(l, ' '))) END AS rest
                  FROM cut LEFT JOIN often USING (source))

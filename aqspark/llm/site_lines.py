@@ -2,7 +2,8 @@
 
 For every host the pages that hold a line are divided by all pages of the host; lines above a ratio
 are dropped from that host's pages. Pages with the same text count as one, so that mere copies do not
-make their lines boilerplate; a host needs ``least_pages`` pages with the line.
+make their lines boilerplate. The ratio decides, for small hosts too; ``least_pages`` pages make a line repeated at
+all, as two may be near copies of each other.
 
 Lines are compared without the spaces around them; blank lines stay. Null texts stay null, and pages without
 a host are left as they are, being of no one site. A page of nothing but boilerplate ends with an
@@ -44,7 +45,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, leas
     return written(often.groupBy("host").agg(F.collect_set("line").alias("lines")), "site-boilerplate")
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, ratio: float = 0.1, least_pages: int = 10,
+def drop_boilerplate(pages: DataFrame, host: Column, ratio: float = 0.1, least_pages: int = 3,
                      text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
     """All rows and columns, with the boilerplate lines of their host taken out of the text.
 

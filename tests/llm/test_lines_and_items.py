@@ -47,6 +47,14 @@ def test_boilerplate_lines(spark):
     assert (counted[70]["n"], counted[70]["gone"]) == (0, 0)
 
 
+def test_small_hosts_are_cleaned(spark):
+    """By default a host of five pages loses the footer of all of them; two pages alike prove nothing."""
+    rows = [(i, f"own {i}\nfooter", "five") for i in range(5)] + [(i, f"own {i}\nfooter", "two") for i in (10, 11)]
+    found = drop_boilerplate(spark.createDataFrame(rows, DOCS), F.col("source"))
+    assert sorted(map(tuple, found.collect()), key=repr) == plain_lines(rows, 0.1, 3)
+    assert {r["text"] for r in found.where("source = 'five'").collect()} == {f"own {i}" for i in range(5)}
+
+
 def test_clashing_columns_and_empty_table(spark):
     rows = [(i, "same\nx%d" % i, "a", 1, 2, 3) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, host string, site int, site_lines int, kept_lines int")
