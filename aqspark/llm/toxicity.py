@@ -77,13 +77,14 @@ def _spread(numbers, feature, begin):
     return feature[begin[numbers][which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], which
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 400, evidence: float = 20.0,
-        rate: float = 0.1, shrink: float = 5e-5) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 400, evidence: float = 12.0,
+        rate: float = 0.1, shrink: float = 5e-5, emphasis: float = 3.0) -> Model:
     """Full-batch fit of the noisy-or likelihood.
 
     Only features take part whose documents are toxic more often than chance explains (``evidence`` is a
     likelihood ratio), so that no document is learned by heart; ``shrink`` pulls to exact zeros those
-    that others make needless.
+    that others make needless. Toxic documents, being few, count ``emphasis`` times. Both numbers were chosen by leaving out
+    thirds of the teaching rows: the most found with fewer than 1 % of clean documents flagged.
     """
     weights = np.zeros(FEATURES)
     label = np.asarray(labels, "int64")
@@ -134,7 +135,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, evidence: float
         clean = np.bincount(doc_of, softplus(z), minlength=len(texts))
         toxic = np.clip(-np.expm1(-clean), 1e-12, 1)
         # slope of the loss by every sentence's z
-        slope = np.where(label[doc_of] > 0, -p * np.exp(-clean[doc_of]) / toxic[doc_of], p) / len(texts)
+        slope = np.where(label[doc_of] > 0, -emphasis * p * np.exp(-clean[doc_of]) / toxic[doc_of], p) / len(texts)
         grad = np.append(np.bincount(found, slope[where], minlength=len(kept)), slope.sum())
         grad[:-1] += shrink * np.sign(theta[:-1])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
