@@ -2,16 +2,18 @@
 
 A page is read as a stream of block tags and texts, kept as nested groups. Streams of one host are aligned
 again and again with the wrapper found so far: where tags differ, the odd part becomes optional; where a group
-follows itself it becomes repeated; where texts differ they become a slot. A wrapper remembers for each slot how many
-texts it took, and how much of them was inside links. Wrappers of parts of a host are aligned with each other in the same way,
-so every page counts and no task sees a whole host.
+follows itself it becomes repeated; where texts differ they become a slot. A wrapper remembers for each slot on how many pages
+it took its commonest texts, and how much of all of them was inside links. Wrappers of parts of a host are aligned with each other
+in the same way, so every page counts and no task sees a whole host.
 
 The wrapper, not the single page, decides which slots are main text: those of the article or main part, if the
-host has one, else what neither repeats the same words on every page nor consists of links; never
-those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. Each page is then
-aligned with its host's wrapper and gives the texts of these slots.
+host has one, else those that do not consist of links; never
+those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. Where no part is marked,
+a text that its slot takes on more than half of the host's pages belongs to the template too, also among the texts of
+a repeated slot; the largest group of copies of a page counts as one page here. Each page is then aligned with
+its host's wrapper and gives the other texts of these slots.
 
-Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line. Null
+Elements may be nested as deep as they like. Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line. Null
 and empty html give an empty text. Pages without a readable host share no wrapper: each is its own. Repeated
 rows give repeated results. Very long pages are read whole. Only the id, the url and the html are read, so
 other columns cannot clash.
@@ -58,11 +60,23 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
-# a slot remembers so many different texts, and how often
-FEW = 5
+# texts that a slot remembers. The count of each is short by at most a 64th of the texts that the slot took, so with up to
+# 30 texts a page none is missed that stands on nearly every page
+KINDS = 64
 TEXT = "#"
 
 
+def merged_kinds(left: dict[int, int], right: dict[int, int], same_page: bool = False) -> dict[int, int]:
+    """Pages per text; of many texts the commonest, each less by what the first one left out has (Misra and Gries)."""
+    out = dict(left)
+    for text, n in right.items():
+        out[text] = max(out.get(text, 0), n) if same_page else out.get(text, 0) + n
+    if len(out) > 2 * KINDS and not same_page:
+        less = sorted(out.values(), reverse=True)[KINDS]
+        out = {text: n - less for text, n in out.items() if n > less}
+    return out
+
+
 class Group:
     """A node of a page or wrapper: an element with its parts in order, or a text slot."""
 
@@ -71,18 +85,40 @@ class Group:
     def __init__(self, name, parts=None, pages=1):
         self.name, self.parts, self.pages = name, [] if parts is None else parts, pages
         self.repeated = self.optional = False
-        # of a text slot: hashes of its first texts, characters, those in links; of a page: the text
-        self.kinds, self.chars, self.linked, self.text = [], 0, 0, ""
+        # of a text slot: pages by hash of its texts, characters, those in links; of a page: the text
+        # of a whole page: itself by the hash of its source
+        self.kinds, self.chars, self.linked, self.text = {}, 0, 0, ""
+
+    def inner(self) -> list["Group"]:
+        """The group and all groups in it, each before its parts. Pages may be nested as deep as they like."""
+        out, work = [], [self]
+        while work:
+            group = work.pop()
+            out.append(group)
+            work += reversed(group.parts)
+        return out
 
     def packed(self):
-        return [self.name, int(self.repeated) + 2 * int(self.optional), self.pages, self.kinds, self.chars, self.linked,
-                [p.packed() for p in self.parts]]
+        """One row per group, each before its parts, whose number comes last."""
+        return [[g.name, int(g.repeated) + 2 * int(g.optional), g.pages, sorted(g.kinds.items()), g.chars, g.linked, len(g.parts)]
+                for g in self.inner()]
 
     @staticmethod
-    def unpacked(data):
-        out = Group(data[0], [Group.unpacked(p) for p in data[6]], data[2])
-        out.repeated, out.optional = bool(data[1] & 1), bool(data[1] & 2)
-        out.kinds, out.chars, out.linked = data[3], data[4], data[5]
+    def unpacked(rows):
+        open_: list[list] = []
+        out = None
+        for name, flags, pages, kinds, chars, linked, n in rows:
+            group = Group(name, pages=pages)
+            group.repeated, group.optional = bool(flags & 1), bool(flags & 2)
+            group.kinds, group.chars, group.linked = dict(kinds), chars, linked
+            while open_ and not open_[-1][1]:
+                open_.pop()
+            if open_:
+                open_[-1][0].parts.append(group)
+                open_[-1][1] -= 1
+            else:
+                out = group
+            open_.append([group, n])
         return out
 
 
@@ -112,7 +148,9 @@ def _unwanted(name: str) -> bool:
 def read_page(source: str) -> Group:
     """Groups and texts of a page."""
     root = Group("html")
+    root.kinds = {zlib.crc32(source.encode("utf-8", "surrogatepass")): 1}
     stack, names = [root], ["html"]
+    opened: dict[str, int] = {}
     run: list[str] = []
     state = {"links": 0, "linked": 0}
 
@@ -123,12 +161,14 @@ def read_page(source: str) -> Group:
             slot = Group(TEXT)
             slot.text, slot.chars = text, len(text)
             slot.linked = min(state["linked"], len(text))
-            slot.kinds = [zlib.crc32(text.encode())]
+            slot.kinds = {zlib.crc32(text.encode("utf-8", "surrogatepass")): 1}
             stack[-1].parts.append(slot)
         state["linked"] = 0
 
     def close(depth):
         flush()
+        for ended in names[depth:]:
+            opened[ended] -= 1
         del stack[depth:], names[depth:]
 
     def add(text):
@@ -157,8 +197,11 @@ def read_page(source: str) -> Group:
         if not name:
             continue
         if tag[1]:
-            if name in names[1:]:
-                close(len(names) - 1 - names[::-1].index(name))
+            if opened.get(name):
+                depth = len(names) - 1
+                while names[depth] != name:
+                    depth -= 1
+                close(depth)
             elif name == "a":
                 state["links"] = max(0, state["links"] - 1)
             elif name in BLOCKS:
@@ -196,6 +239,7 @@ def read_page(source: str) -> Group:
         stack[-1].parts.append(group)
         stack.append(group)
         names.append(name)
+        opened[name] = opened.get(name, 0) + 1
         state["links"] = 0
     flush()
     return root
@@ -227,8 +271,12 @@ def folded(parts: list[Group]) -> list[Group]:
 
 def shape(group: Group) -> Group:
     """A page as the first guess of a wrapper."""
-    out = Group(group.name, folded([shape(p) for p in group.parts]))
-    out.kinds, out.chars, out.linked = list(group.kinds), group.chars, group.linked
+    made: dict[int, Group] = {}
+    # parts before their groups
+    for own in reversed(group.inner()):
+        out = Group(own.name, folded([made.pop(id(p)) for p in own.parts]))
+        out.kinds, out.chars, out.linked = dict(own.kinds), own.chars, own.linked
+        made[id(own)] = out
     return out
 
 
@@ -285,37 +333,59 @@ def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def aligned(left: Group, right: Group, same_page: bool = False) -> Group:
     """The wrapper of two groups of one name."""
-    out = Group(left.name, pages=left.pages if same_page else left.pages + right.pages)
-    out.repeated, out.optional = left.repeated or right.repeated, left.optional or right.optional
-    out.kinds = (left.kinds + [k for k in right.kinds if k not in left.kinds])[:FEW]
-    out.chars, out.linked = left.chars + right.chars, left.linked + right.linked
-    i = j = 0
-    for a, b in [*pairing(left.parts, right.parts), (len(left.parts), len(right.parts))]:
-        for odd in (*left.parts[i:a], *right.parts[j:b]):
-            odd.optional = True
-            out.parts.append(odd)
-        if a < len(left.parts):
-            out.parts.append(aligned(left.parts[a], right.parts[b], same_page))
-        i, j = a + 1, b + 1
-    # two odd parts of one name may now follow each other
-    names = [p.name for p in out.parts]
-    if any(x == y for x, y in zip(names, names[1:], strict=False)):
-        out.parts = folded(out.parts)
-    return out
 
+    def joined(left, right):
+        out = Group(left.name, pages=left.pages if same_page else left.pages + right.pages)
+        out.repeated, out.optional = left.repeated or right.repeated, left.optional or right.optional
+        out.kinds = merged_kinds(left.kinds, right.kinds, same_page)
+        out.chars, out.linked = left.chars + right.chars, left.linked + right.linked
+        return out
 
-def main_slots(wrapper: Group) -> tuple[dict[int, bool], set[str]]:
-    """Which text slots of a wrapper (by ``id``) are main text, and the names of the parts marked as such."""
+    top = joined(left, right)
+    work, made = [(left, right, top)], []
+    while work:
+        left, right, out = work.pop()
+        made.append(out)
+        i = j = 0
+        for a, b in [*pairing(left.parts, right.parts), (len(left.parts), len(right.parts))]:
+            for odd in (*left.parts[i:a], *right.parts[j:b]):
+                odd.optional = True
+                out.parts.append(odd)
+            if a < len(left.parts):
+                both = joined(left.parts[a], right.parts[b])
+                out.parts.append(both)
+                work.append((left.parts[a], right.parts[b], both))
+            i, j = a + 1, b + 1
+    for out in reversed(made):
+        # two odd parts of one name may now follow each other
+        names = [p.name for p in out.parts]
+        if any(x == y for x, y in zip(names, names[1:], strict=False)):
+            out.parts = folded(out.parts)
+    return top
+
+
+def common_texts(wrapper: Group, slot: Group) -> set[int]:
+    """Hashes of the texts that a slot takes on more than half of the pages; copies of one page count once."""
+    copies = max(wrapper.kinds.values(), default=1) - 1
+    pages = wrapper.pages - copies
+    return {text for text, n in slot.kinds.items() if 2 * (n - copies) > pages} if pages > 1 else set()
+
+
+def main_slots(wrapper: Group) -> tuple[dict[int, set[int]], set[str]]:
+    """The text slots of a wrapper (by ``id``) that are main text, each with the hashes of its texts that are not, and the
+    names of the parts marked as main."""
     bodies: list[Group] = []
 
     def look(group, test):
-        for part in group.parts:
+        work = list(group.parts)
+        while work:
+            part = work.pop()
             if part.name == TEXT or _unwanted(part.name):
                 continue
             if test(part.name):
                 bodies.append(part)
             else:
-                look(part, test)
+                work += part.parts
 
     tests = (lambda n: n.split(".")[0] == "main" or "role:main" in n.split("."),
              lambda n: n.split(".")[0] == "article",
@@ -328,25 +398,32 @@ def main_slots(wrapper: Group) -> tuple[dict[int, bool], set[str]]:
         if any(_chars(b) for b in bodies):
             marked = True
             break
-    chosen: dict[int, bool] = {}
-
-    def decide(group, inside):
+    chosen: dict[int, set[int]] = {}
+    found = {id(b) for b in bodies}
+    work = [(wrapper, not marked)]
+    while work:
+        group, inside = work.pop()
         for part in group.parts:
             if part.name == TEXT:
-                chosen[id(part)] = inside and (marked or not _template(part))
+                if inside and (marked or not _links(part)):
+                    chosen[id(part)] = set() if marked else common_texts(wrapper, part)
             else:
                 outer = not marked and any(w in OUTER_MARKS for w in part.name.split("."))
-                decide(part, (inside or part in bodies) and not outer and not _unwanted(part.name))
-
-    decide(wrapper, not marked)
+                work.append((part, (inside or id(part) in found) and not outer and not _unwanted(part.name)))
     return chosen, {b.name for b in bodies} if marked else set()
 
 
 def _holds(group: Group, names: set[str]) -> bool:
-    return any(p.name in names or _holds(p, names) for p in group.parts)
+    work = list(group.parts)
+    while work:
+        part = work.pop()
+        if part.name in names:
+            return True
+        work += part.parts
+    return False
 
 
-def main_text(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set[str]) -> str:
+def main_text(page: Group, wrapper: Group, chosen: dict[int, set[int]], bodies: set[str]) -> str:
     """Main text of a page of the wrapper's host. A page without the part that the host marks is read by itself."""
     if bodies and not _holds(page, bodies):
         wrapper = shape(page)
@@ -355,13 +432,17 @@ def main_text(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set[
 
 
 def _chars(group: Group) -> int:
-    return group.chars if group.name == TEXT else sum(_chars(p) for p in group.parts if not _unwanted(p.name))
+    total, work = 0, [group]
+    while work:
+        own = work.pop()
+        total += own.chars if own.name == TEXT else 0
+        work += [p for p in own.parts if not _unwanted(p.name)]
+    return total
 
 
-def _template(slot: Group) -> bool:
-    """The same words on every one of several pages, or mostly links."""
-    same = len(slot.kinds) == 1 and slot.pages >= FEW
-    return same or 2 * slot.linked > slot.chars
+def _links(slot: Group) -> bool:
+    """Mostly links."""
+    return 2 * slot.linked > slot.chars
 
 
 def turns(parts: list[Group]) -> list[list[Group]]:
@@ -384,7 +465,7 @@ def turns(parts: list[Group]) -> list[list[Group]]:
     return runs
 
 
-def page_texts(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set[str]) -> list[str]:
+def page_texts(page: Group, wrapper: Group, chosen: dict[int, set[int]], bodies: set[str]) -> list[str]:
     """Texts of a page, in order, that fall into the chosen slots of its wrapper.
 
     Parts are paired with the wrapper as in its inference. A part without a place is judged by the page alone: its texts
@@ -392,16 +473,8 @@ def page_texts(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set
     """
     out: list[str] = []
 
-    def alone(part, inside):
-        if part.name == TEXT:
-            if inside and (bodies or not _template(part)):
-                out.append(part.text)
-        elif not _unwanted(part.name):
-            outer = not bodies and any(w in OUTER_MARKS for w in part.name.split("."))
-            for own in part.parts:
-                alone(own, (inside or part.name in bodies) and not outer)
-
-    def walk(group, form, inside):
+    def places(group, form):
+        """The part of the wrapper that each part of a group falls into, by ``id``."""
         forms, runs = form.parts, turns(group.parts)
         paired = dict(common_places([r[0].name for r in runs], [f.name for f in forms]))
         names: dict[str, list[int]] = {}
@@ -420,18 +493,24 @@ def page_texts(page: Group, wrapper: Group, chosen: dict[int, bool], bodies: set
             else:
                 at = here
             place.update((id(part), forms[here]) for part in run)
-        for part in group.parts:
-            slot = place.get(id(part))
-            if slot is None:
-                alone(part, inside)
-            elif part.name == TEXT:
-                if chosen[id(slot)]:
-                    out.append(part.text)
-            elif not _unwanted(part.name):
-                outer = not bodies and any(w in OUTER_MARKS for w in part.name.split("."))
-                walk(part, slot, (inside or part.name in bodies) and not outer)
-
-    walk(page, wrapper, not bodies)
+        return place
+
+    # (part, its place in the wrapper or None, inside a chosen part), the next one last
+    work = [(page, wrapper, not bodies)]
+    while work:
+        part, form, inside = work.pop()
+        if part.name == TEXT:
+            if form is None:
+                own = inside and (bodies or not _links(part))
+            else:
+                own = id(form) in chosen and not part.kinds.keys() & chosen[id(form)]
+            if own:
+                out.append(part.text)
+        elif not _unwanted(part.name):
+            outer = not bodies and any(w in OUTER_MARKS for w in part.name.split("."))
+            inside = (inside or part.name in bodies) and not outer
+            place = places(part, form) if form is not None else {}
+            work += [(own, place.get(id(own)), inside) for own in reversed(part.parts)]
     return out
 
 
@@ -441,12 +520,24 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def _merge_rows(keys):
+def settled(wrapper: Group) -> Group:
+    """A wrapper of all pages of its host, whose slots remember only the texts that belong to the template."""
+    for slot in wrapper.inner():
+        if slot.name == TEXT:
+            common = common_texts(wrapper, slot)
+            slot.kinds = {text: n for text, n in slot.kinds.items() if text in common}
+    copies = max(wrapper.kinds, key=wrapper.kinds.get, default=None)
+    wrapper.kinds = {} if copies is None else {copies: wrapper.kinds[copies]}
+    return wrapper
+
+
+def _merge_rows(keys, whole=False):
     def run(table: pa.Table) -> pa.Table:
         wrapper = None
         for blob in table["wrapper"].to_pylist():
             other = Group.unpacked(json.loads(blob))
             wrapper = other if wrapper is None else aligned(wrapper, other)
+        wrapper = settled(wrapper) if whole else wrapper
         return pa.table({k: pa.array([table[k][0].as_py()], table.schema.field(k).type) for k in keys}
                         | {"wrapper": pa.array([json.dumps(wrapper.packed())])})
     return run
@@ -479,7 +570,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     # wrappers of one host come from many tasks: they meet in 32 groups first
     parts = parts.withColumn("turn", F.pmod(F.xxhash64("wrapper"), F.lit(32)).cast("int"))
     parts = parts.groupBy("host", "turn").applyInArrow(_merge_rows(["host", "turn"]), "host string, turn int, wrapper string")
-    return written(parts.groupBy("host").applyInArrow(_merge_rows(["host"]), "host string, wrapper string"), "wrappers")
+    return written(parts.groupBy("host").applyInArrow(_merge_rows(["host"], whole=True), "host string, wrapper string"), "wrappers")
 
 
 # characters of all wrappers that may be broadcast

@@ -140,3 +140,46 @@ def test_common_places_are_a_longest_subsequence_however_long():
     # going to the next place of "z" first would leave nothing for the rest
     a, b = ["z", *map(str, range(1000))], [*map(str, range(1000)), "z"]
     assert len(W.common_places(a, b)) == 1000
+
+
+def test_texts_of_most_pages_are_template_also_in_a_repeated_slot():
+    sources = [f"<div><p>same words</p><p>own text {i}</p></div>" for i in range(6)]
+    assert read_by_one_wrapper(sources) == [f"own text {i}" for i in range(6)]
+    # the wrapper is what tells: a page alone does not
+    assert own_text(sources[0]) == "same words\n\nown text 0"
+    # two pages are enough to see it, and many copies of a page are one page
+    assert read_by_one_wrapper(sources[:2]) == ["own text 0", "own text 1"]
+    assert read_by_one_wrapper(sources[:1] * 9) == ["same words\n\nown text 0"] * 9
+    assert read_by_one_wrapper(sources[:1] * 9 + sources[1:3]) == ["own text 0"] * 9 + ["own text 1", "own text 2"]
+
+
+def test_common_texts_are_found_among_many_and_in_wrappers_of_parts():
+    draw = random.Random(7)
+    pages = []
+    for i in range(120):
+        own = [f"w{i} {draw.random()}" for _ in range(draw.randint(1, 25))]
+        pages.append((own, "<div>" + "".join(f"<p>{x}</p>" for x in ["at the top", *own, "at the end"]) + "</div>"))
+    parts = []
+    for start in range(0, 120, 30):
+        wrapper = None
+        for _, source in pages[start:start + 30]:
+            page = W.shape(W.read_page(source))
+            wrapper = page if wrapper is None else W.aligned(wrapper, page)
+        parts.append(W.Group.unpacked(wrapper.packed()))
+    whole = parts[0]
+    for other in parts[1:]:
+        whole = W.aligned(whole, other)
+    for wrapper in (W.Group.unpacked(whole.packed()), W.settled(whole)):
+        assert wrapper.pages == 120
+        slots = W.main_slots(wrapper)
+        for own, source in pages:
+            assert W.main_text(W.read_page(source), wrapper, *slots) == "\n\n".join(own)
+
+
+def test_pages_nested_very_deeply(spark):
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    rows = [(1, "https://a.example.org/", deep), (2, "https://a.example.org/", "<div>flat</div>"), (3, None, deep),
+            (4, "https://b.example.org/", "<article>" + "<div>" * 1500 + "<p>x</p>" + "</div>" * 1500 + "</article>"),
+            (5, "https://b.example.org/", "<article>" + "<div>" * 1500 + "<p>y</p>")]
+    texts = {r["page_id"]: r["text"] for r in W.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert texts == {1: "deep", 2: "flat", 3: "deep", 4: "x", 5: "y"}
