@@ -10,8 +10,8 @@ range holds of a transcript. Where a transcript crosses ranges, each run is firs
 between every entering and leaving state; these few matrices fix the states at the borders, and the runs are then decoded on their
 own, with the same result as in one piece.
 
-Records without a transcript id are left out. A null record number comes first; records of one number are ordered by their text;
-records repeated wholly count once. A null or empty text is one empty line. Unknown markers are read as text. Without a labelled line the result is empty. Only the named
+No record is lost: those without a transcript id form one transcript, whose id is null; repeated records stand as often as they
+come, next to each other. A null record number comes first; records of one number are ordered by their text. A null or empty text is one empty line. Unknown markers are read as text. Without a labelled line the result is empty. Only the named
 columns are read, so other columns cannot clash.
 """
 
@@ -90,12 +90,14 @@ def run_matrix(emission: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 
 def ordered_lines(records: DataFrame, id_col: str, order_col: str, text_col: str, role_col: str | None = None) -> DataFrame:
-    """(conv, record, line, text, role, seq, chunk): lines in order of ``seq``; ``chunk`` is the range that holds them."""
+    """(conv, record, line, text, role, seq, chunk): lines in order of ``seq``; ``chunk`` is the range that holds them.
+
+    ``conv`` is the id as a string after a sign, and empty for a null id, so that it can be joined.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = records.select(
-        F.col(id_col).alias("conv"), F.col(order_col).alias("record"), text.alias("text"),
+        F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("conv"), F.col(order_col).alias("record"), text.alias("text"),
         (F.lower(F.col(role_col)) if role_col else F.lit(None).cast("string")).alias("role"))
-    rows = rows.where("conv IS NOT NULL").distinct()
     rows = rows.withColumn("tie", F.xxhash64("text"))
     order = ["conv", "record", "tie", "text", "role"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -128,7 +130,6 @@ def learn_transcripts(records: DataFrame, id_col: str = "conv_id", order_col: st
                       role_col: str = "role", smooth: float = 0.1) -> Model:
     """Count states, moves and features over all labelled records; a record without a role teaches nothing."""
     lines = ordered_lines(records.where(F.col(role_col).isNotNull()), id_col, order_col, text_col, role_col)
-    kind = lines.schema["conv"].dataType.simpleString()
 
     def run(batches):
         counts: dict[tuple, int] = {}
@@ -158,11 +159,10 @@ def learn_transcripts(records: DataFrame, id_col: str = "conv_id", order_col: st
             pa.array([k[2] for k in counts] + [b[3] for b in borders], pa.string()),
             pa.array([*counts.values(), *[1] * len(borders)], pa.int64()),
             pa.array([None] * n + [b[0] for b in borders], pa.int64()),
-            pa.array([None] * n + [b[1] for b in borders], conv_type)], ["kind", "a", "b", "n", "chunk", "conv"])
+            pa.array([None] * n + [b[1] for b in borders], pa.string())], ["kind", "a", "b", "n", "chunk", "conv"])
 
-    conv_type = pa.int64() if kind in ("bigint", "int") else pa.string()
     found = written(map_arrow(
-        _in_order(lines), run, f"kind string, a string, b string, n bigint, chunk bigint, conv {'bigint' if conv_type == pa.int64() else 'string'}"), "counts")
+        _in_order(lines), run, "kind string, a string, b string, n bigint, chunk bigint, conv string"), "counts")
     sums = found.where("kind <> 'border'").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     # runs in order: the first starts a transcript, the others go on from the run before
     before = F.lag("b").over(Window.partitionBy("conv").orderBy("chunk"))
@@ -210,7 +210,7 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
     if not model.roles:
         lines = lines.where("false")
     shared = records.sparkSession.sparkContext.broadcast(model)
-    conv, record = (lines.schema[c].dataType.simpleString() for c in ("conv", "record"))
+    kind, record = records.schema[id_col].dataType.simpleString(), lines.schema["record"].dataType.simpleString()
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
     def reduce_runs(batches):
@@ -220,7 +220,7 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
         def give(chunk, conv, rows):
             emission = own.emission([r["text"] for r in rows], [r["line"] == 0 for r in rows])
             return pa.RecordBatch.from_arrays(
-                [pa.array([conv], types[conv_kind]), pa.array([chunk], pa.int64()),
+                [pa.array([conv], pa.string()), pa.array([chunk], pa.int64()),
                  pa.array([run_matrix(emission, own.move).ravel()], pa.list_(pa.float64())),
                  pa.array([(own.first + emission[0]).tolist() if len(rows) == 1 else _from_start(own, emission)], pa.list_(pa.float64()))],
                 ["conv", "chunk", "matrix", "start"])
@@ -237,9 +237,8 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
         if last is not None and not last[3]:
             yield give(*last[:3])
 
-    conv_kind = conv if conv in types else "string"
     runs = written(map_arrow(
-        _in_order(lines), reduce_runs, f"conv {conv}, chunk bigint, matrix array<double>, start array<double>"), "runs")
+        _in_order(lines), reduce_runs, "conv string, chunk bigint, matrix array<double>, start array<double>"), "runs")
 
     def borders(table: pa.Table) -> pa.Table:
         """States before and at the end of every run of one transcript that crosses chunks."""
@@ -259,7 +258,7 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
                          "enter": pa.array([None, *states[:-1]], pa.int32()), "leave": pa.array(states, pa.int32())})
 
     crossing = runs.join(runs.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select("conv"), "conv")
-    fixed = written(crossing.groupBy("conv").applyInArrow(borders, f"conv {conv}, chunk bigint, enter int, leave int"), "borders")
+    fixed = written(crossing.groupBy("conv").applyInArrow(borders, "conv string, chunk bigint, enter int, leave int"), "borders")
 
     def decode(batches):
         own = shared.value
@@ -288,7 +287,7 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
 
     def batch_of(out):
         columns = list(zip(*out, strict=True)) if out else [[]] * 9
-        kinds = [types.get(conv, pa.string()), pa.int64(), pa.int64(), types.get(record, pa.string()), pa.int32(),
+        kinds = [pa.string(), pa.int64(), pa.int64(), types.get(record, pa.string()), pa.int32(),
                  pa.string(), pa.string(), pa.int32(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                           ["conv", "chunk", "seq", "record", "line", "role", "text", "n_lines", "goes_on"])
@@ -296,7 +295,7 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
     # at most two rows per chunk
     dealt = lines.drop("role").join(F.broadcast(fixed), ["conv", "chunk"], "left")
     turns = written(map_arrow(
-        _in_order(dealt), decode, f"conv {conv}, chunk bigint, seq bigint, record {record}, line int, role string, text string, "
+        _in_order(dealt), decode, f"conv string, chunk bigint, seq bigint, record {record}, line int, role string, text string, "
         "n_lines int, goes_on boolean"), "turns")
 
     # a turn that crosses chunks: its parts are joined. Only turns at the borders of chunks are concerned.
@@ -312,7 +311,7 @@ def recover_turns(records: DataFrame, model: Model, id_col: str = "conv_id", ord
     text = F.when(more, F.concat_ws("\n", F.col("text"), F.col("more")["text"])).otherwise(F.col("text"))
     count = F.when(more, F.col("n_lines") + F.aggregate("more", F.lit(0), lambda a, p: a + p["n_lines"])).otherwise(F.col("n_lines"))
     return turns.select(
-        F.col("conv").alias(id_col), F.col("record").alias(order_col), "line", "role", text.alias("text"),
+        F.when(F.col("conv") != "", F.expr("substring(conv, 2)").cast(kind)).alias(id_col), F.col("record").alias(order_col), "line", "role", text.alias("text"),
         F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"),
         count.cast("int").alias("n_lines"))
 

@@ -97,14 +97,26 @@ def test_odd_rows(spark):
     records = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", line string, seq int")
     model = T.learn_transcripts(records)
     found = turns(T.recover_turns(records, model))
-    # every line of every distinct record with a transcript is in one turn
-    want = sum((r[3] or "").count("\n") + 1 for r in set(rows) if r[0] is not None)
+    # every line of every record is in one turn
+    want = sum((r[3] or "").count("\n") + 1 for r in rows)
     assert sum(r[5] for r in found) == want
     empty = spark.createDataFrame([], SCHEMA)
     assert T.recover_turns(empty, T.learn_transcripts(empty)).count() == 0
     assert T.recover_turns(records, T.learn_transcripts(empty)).count() == 0
 
 
+def test_records_without_id_or_number_and_repeated_ones_are_kept(spark):
+    model = T.learn_transcripts(spark.createDataFrame(made_up(), SCHEMA))
+    rows = [(1, None, "ok"), (1, None, "ok"), (1, 2, "User: Why?"), (None, 0, "User: Why?"), (None, 1, "Assistant: So it is."), (None, 0, "User: Why?")]
+    for kind, name in (("bigint", int), ("string", str)):
+        own = [(None if c is None else name(c), t, x) for c, t, x in rows]
+        found = turns(T.recover_turns(spark.createDataFrame(own, f"conv_id {kind}, turn bigint, text string"), model))
+        assert sum(r[5] for r in found) == len(rows)
+        assert {(r[0], r[1], r[4]) for r in found if r[0] is None} == {(None, 0, "Why?"), (None, 1, "So it is.")}
+        assert sum(r[0] is None for r in found) == 3
+        assert {type(r[0]) for r in found} == {name, type(None)}
+
+
 def test_held_out_conversations(spark):
     folder = "/root/testdata/sf0.1"
     found = op3_transcripts(spark, folder).where("line = 0").select("conv_id", "turn", F.col("role").alias("found"))
