@@ -14,6 +14,7 @@ do rows without an id; rows repeated wholly count once. Where there are fewer ca
 table gives an empty result. Only the id and the vector are read, so other columns cannot clash.
 """
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,11 @@ from aqspark.llm.batches import map_arrow, written
 
 # vectors of the sample that the parts are learned from
 SAMPLE = 8192
-# distinct vectors that a part should hold, and the most parts
-PART_SIZE, MOST_PARTS = 1024, 256
+# there are as many parts as vectors in each (the root of their number), as long as the sample shows so many of each part;
+# more if that leaves parts too large
+PART_SIZE, SHOWN = 1024, 32
+# fewer distinct vectors than this are one part
+LEAST_VECTORS = 256
 # edges per vector of the neighbour graph
 DEGREE = 10
 # vectors whose true neighbours are found by brute force to set the number of visited parts
@@ -37,14 +41,15 @@ LEAST_TESTS = 32
 BLOCK, QUERY_BLOCK = 16384, 1024
 
 
-def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector) of the rows that take part."""
+def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, width: int | None = None) -> DataFrame:
+    """(id, vector) of the rows that take part: those of the given or commonest length."""
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where("id IS NOT NULL AND vector IS NOT NULL").where(~bad & F.exists("vector", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"))
-    common = sizes.agg(F.max(F.struct("rows", "n"))["n"].alias("n")).first()["n"]
-    return rows.where(F.size("vector") == (common or 0))
+    if width is None:
+        sizes = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"))
+        width = sizes.agg(F.max(F.struct("rows", "n"))["n"].alias("n")).first()["n"]
+    return rows.where(F.size("vector") == (width or 0))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -154,6 +159,7 @@ class Index:
     sizes: np.ndarray
     probes: int
     recall: float
+    width: int
 
 
 def nearest_in_block(queries: np.ndarray, vectors: np.ndarray, visited: np.ndarray, k: int) -> list[np.ndarray]:
@@ -201,7 +207,7 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         return None
     picked = _sample(distinct, total, SAMPLE + TESTS)
     points = np.array([r["vector"] for r in picked])
-    parts = int(np.clip(total // PART_SIZE, 1, min(MOST_PARTS, max(len(points) // 32, 1))))
+    parts = min(max(math.isqrt(total), total // PART_SIZE), len(points) // SHOWN) if total >= LEAST_VECTORS else 1
     # the last of the sample test the index, and are not learned from
     tests = min(TESTS, max(len(points) // 16, LEAST_TESTS)) if parts > 1 else 0
     learn = points[:len(points) - tests]
@@ -226,9 +232,9 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     sizes = np.zeros(parts, "int64")
     for row in index.groupBy("part").agg(F.count("*").alias("n")).collect():
         sizes[row["part"]] = row["n"]
-    out = Index(index, router, sizes, parts, 1.0)
+    out = Index(index, router, sizes, parts, 1.0, points.shape[1])
     if parts > 1:
-        _set_probes(out, points[len(points) - tests:], k, recall)
+        _set_probes(out, points[len(points) - tests:], [r["ids"][0] for r in picked[len(points) - tests:]], k, recall)
     return out
 
 
@@ -254,10 +260,11 @@ def _graph(spark, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _set_probes(index: Index, tests: np.ndarray, k: int, wanted: float) -> None:
-    """Find the true neighbours of the tests by brute force, and how many parts must be visited for them."""
+def _set_probes(index: Index, tests: np.ndarray, own: list[int], k: int, wanted: float) -> None:
+    """Find the true neighbours of the tests, whose ids are ``own``, by brute force, and how many parts must be visited for them."""
     spark = index.vectors.sparkSession
     shared = spark.sparkContext.broadcast(tests)
+    ids = np.array(own)
 
     def run(batches):
         for batch in batches:
@@ -266,7 +273,9 @@ def _set_probes(index: Index, tests: np.ndarray, k: int, wanted: float) -> None:
             vectors, part = matrix(batch.column(1)), batch.column(0).to_numpy()
             first = batch.column(2).to_numpy()
             score = shared.value @ vectors.T
-            keep = np.argpartition(-score, min(k, len(vectors) - 1), axis=1)[:, :k + 1]
+            # a test does not find itself
+            score[ids[:, None] == first[None, :]] = -np.inf
+            keep = np.argpartition(-score, min(k, len(vectors) - 1), axis=1)[:, :k]
             test = np.repeat(np.arange(len(score)), keep.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(test), pa.array(part[keep.ravel()]), pa.array(first[keep.ravel()]),
@@ -275,8 +284,7 @@ def _set_probes(index: Index, tests: np.ndarray, k: int, wanted: float) -> None:
     near = map_arrow(index.vectors.select("part", "vector", F.col("ids")[0].alias("first")),
                      run, "test bigint, part int, first bigint, score double")
     order = Window.partitionBy("test").orderBy(F.desc("score"), "first")
-    # the nearest is the test vector itself
-    near = near.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1)).collect()
+    near = near.where(F.col("score") > float("-inf")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).collect()
     visit = np.argsort(-index.router.scores(tests), axis=1, kind="stable")
     turn = np.empty_like(visit)
     np.put_along_axis(turn, visit, np.arange(visit.shape[1])[None, :], axis=1)
@@ -296,7 +304,7 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, id_col: str = "
     schema = "query_id bigint, vec_id bigint, score double"
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    asked = valid_vectors(queries, id_col, vector_col).distinct()
+    asked = valid_vectors(queries, id_col, vector_col, index.width).distinct()
     router, sizes, probes = spark.sparkContext.broadcast(index.router), index.sizes, index.probes
     # small parts next to each other share a pack of one block
     pack, filled = np.zeros(len(sizes), "int64"), 0

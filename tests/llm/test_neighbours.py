@@ -113,3 +113,42 @@ def test_visited_parts_are_fitted_on_unseen_vectors_at_every_size(spark, size, m
     best = np.argsort(-score, axis=1)[:, :20]
     hits = sum(len(found[i] & set(near)) for i, near in zip(asked, best.tolist(), strict=True))
     assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_given_vectors_are_searched_by_parts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    index = V.build_index(table)
+    assert index.vectors.select("part").distinct().count() > 8
+    found = {}
+    for r in V.search(index, table.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute([tuple(r) for r in table.select("vec_id", "embedding").collect()], found.keys(), 20)
+    assert sum(len(found[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_clustered_vectors_visit_few_parts(spark):
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(100, 16)) * 4
+    points = np.concatenate([c + random.normal(size=(200, 16)) * 0.3 for c in centres])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    table = spark.createDataFrame(rows_of(points), SCHEMA)
+    index = V.build_index(table)
+    assert len(index.sizes) == 141
+    assert index.probes < len(index.sizes) / 4
+    asked = np.arange(0, len(points), 500)
+    found = {int(i): set() for i in asked}
+    for r in V.search(index, table.where("vec_id % 500 = 0")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    points = points.astype("float32").astype(float)
+    score = points[asked] @ points.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len(found[int(i)] & set(near)) for i, near in zip(asked, best.tolist(), strict=True)) >= 0.9 * 20 * len(asked)
+
+
+def test_queries_of_another_common_length(spark):
+    random = np.random.default_rng(5)
+    table = spark.createDataFrame(rows_of(random.normal(size=(300, 8))), SCHEMA)
+    queries = spark.createDataFrame([*rows_of(random.normal(size=(5, 4)), 1000), *rows_of(random.normal(size=(2, 8)), 2000)], SCHEMA)
+    found = V.search(V.build_index(table), queries).collect()
+    assert {r["query_id"] for r in found} == {2000, 2001}
