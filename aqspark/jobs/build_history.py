@@ -1,7 +1,10 @@
 """Archive files → hour means, alone or merged with the hours at hand.
 
     spark-submit --py-files aqspark.zip aqspark/jobs/build_history.py --archive DIR --registry FILE --out DIR
-        [--current DIR] [--start DAY --end DAY] [--cities NAME ...]
+        [--current DIR] [--start DAY --end DAY] [--cities NAME ...] [--append]
+
+With ``--append`` the hours that the dataset at ``--out`` does not hold yet are added to it, so a run that broke off
+is gone on with, and days at hand keep their files.
 """
 
 import argparse
@@ -10,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from aqspark.plans.history import build_history, merge_history
 from aqspark.sources import readers, writers
-from aqspark.storage import configure
+from aqspark.storage import configure, scratch
 
 
 def run(spark, args):
@@ -19,7 +22,11 @@ def run(spark, args):
     hours = build_history(archive, stations, args.cities)
     if args.current:
         hours = merge_history(spark.read.parquet(args.current), hours)
-    writers.write_dataset(hours, args.out)
+    if args.append:
+        with scratch(spark):
+            writers.append_hours(hours, args.out)
+    else:
+        writers.write_dataset(hours, args.out)
 
 
 def arguments(argv=None):
@@ -30,6 +37,7 @@ def arguments(argv=None):
     for name in ("--current", "--start", "--end"):
         p.add_argument(name)
     p.add_argument("--cities", nargs="+")
+    p.add_argument("--append", action="store_true")
     return p.parse_args(argv)
 
 

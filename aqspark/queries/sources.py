@@ -265,3 +265,14 @@ def append_new(t):
     writers.append_new(hourly.filter("station < 'st_3'"), path)
     writers.append_new(hourly, path)
     return t.spark.read.parquet(path)
+
+
+@query("s16_append_hours", "station:s timestamp:t pm25:f", views="hourly",
+       sql="SELECT station, timestamp, pm25 FROM hourly")
+def append_hours(t):
+    """The first run stores some hours of each station, the second the others."""
+    path = new_path(t.spark, "hours")
+    hourly = t.hourly().select("station", "timestamp", "pm25")
+    writers.append_hours(hourly.filter("hour(timestamp) % 3 = 0 OR station < 'st_3'"), path)
+    writers.append_hours(hourly, path)
+    return t.spark.read.parquet(path).drop("date")

@@ -1,12 +1,16 @@
 """Writers of tables and documents, and the tables that stand for model state."""
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from aqspark.functions import fixed
 from aqspark.operators.joins import not_yet_done
 from aqspark.sources import schemas
+from aqspark.storage import materialise
 
 
 def write_dataset(df: DataFrame, path, mode="overwrite", ts="timestamp") -> None:
@@ -89,3 +93,38 @@ def append_new(df: DataFrame, path, key="station") -> None:
         done = None
     fresh = df if done is None else not_yet_done(df, done, key)
     fresh.write.mode("append").parquet(path)
+
+
+def missing_hours(df: DataFrame, path, keys=("station", "timestamp"), ts="timestamp") -> DataFrame:
+    """The rows whose keys the dataset by day at ``path`` does not hold.
+
+    Of the stored dataset only the keys are read, and only in the folders of the days that occur in ``df``.
+    Repeated rows of one key give the one with the least values; a null key is a key like any other.
+    """
+    spark = df.sparkSession
+    others = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")) if others else df.distinct()
+    rows = materialise(rows.select(*keys, "_row.*") if others else rows).select(*df.columns)
+    # as many as the calendar has
+    days = [r["day"] for r in rows.select(F.to_date(ts).alias("day")).distinct().collect()]
+    schema = StructType([rows.schema[k] for k in keys] + [StructField("date", DateType())])
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return rows
+    wanted = F.col("date").isin([d for d in days if d is not None])
+    stored = stored.where(wanted | F.col("date").isNull() if None in days else wanted)
+    stored = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(stored, same, "left_anti")
+
+
+def append_hours(df: DataFrame, path, keys=("station", "timestamp"), ts="timestamp") -> None:
+    """Add to a dataset by day the rows whose keys it does not hold yet.
+
+    A station stored in part gets its other hours, and a run that broke off is completed by the next one, whatever
+    part of its files came to be seen. No stored file is written again.
+    """
+    write_dataset(missing_hours(df, path, keys, ts), path, mode="append", ts=ts)

@@ -1,5 +1,6 @@
 import gzip
 import json
+import pathlib
 from datetime import datetime
 
 import pytest
@@ -106,6 +107,57 @@ def test_append_new_twice(spark, hours):
         ("a", 2), ("b", 1)]
 
 
+def files_by_day(path):
+    out = {}
+    for file in pathlib.Path(path).glob("date=*/*.parquet"):
+        out.setdefault(file.parent.name[5:], set()).add(file.name)
+    return out
+
+
+def test_a_broken_off_append_is_completed(spark, hours):
+    whole = hours([(s, h, h + 0.5) for s in "abc" for h in range(72)])
+    path, other = new_path(spark, "hours"), new_path(spark, "hours")
+    # what a stopped run may leave: its work folder, and part of its files
+    (pathlib.Path(path) / "_temporary" / "0").mkdir(parents=True)
+    assert writers.missing_hours(whole, path).count() == 216
+    writers.append_hours(whole.filter("station = 'a' AND hour(timestamp) < 7 AND day(timestamp) < 3"), path)
+    assert spark.read.parquet(path).count() == 14
+    writers.append_hours(whole, path)
+    writers.append_hours(whole, other)
+    back, want = (spark.read.parquet(p) for p in (path, other))
+    assert back.count() == want.count() == 216
+    assert back.exceptAll(want).count() == 0
+
+
+def test_append_leaves_stored_files_alone(spark, hours):
+    path = new_path(spark, "hours")
+    writers.append_hours(hours([("a", h, 1.0) for h in range(72)]), path)
+    before = files_by_day(path)
+    # one stored hour with another value, one new hour twice, rows without keys
+    more = hours([("a", 30, 9.0), ("b", 30, 5.0), ("b", 30, 4.0)]).unionByName(
+        spark.sql("SELECT CAST(NULL AS STRING) AS station, CAST(NULL AS TIMESTAMP) AS timestamp, 7D AS pm25"))
+    writers.append_hours(more, path)
+    writers.append_hours(more, path)
+    after = files_by_day(path)
+    assert {day: names for day, names in after.items() if day != "2024-01-02" and day[:2] == "20"} == {
+        day: names for day, names in before.items() if day != "2024-01-02"}
+    assert before["2024-01-02"] < after["2024-01-02"]
+    rows = spark.read.parquet(path)
+    assert rows.count() == 74 and rows.filter("station = 'b'").first().pm25 == 4.0
+    assert rows.filter("station IS NULL AND timestamp IS NULL").count() == 1
+    assert rows.filter("station = 'a' AND pm25 <> 1").count() == 0
+
+
+def test_append_reads_only_the_days_in_question(spark, hours, capsys):
+    path = new_path(spark, "hours")
+    writers.append_hours(hours([("a", h, 1.0) for h in range(24 * 20)]), path)
+    writers.missing_hours(hours([("b", 30, 5.0)]), path).explain("formatted")
+    plan = capsys.readouterr().out
+    scan = plan[plan.index("PartitionFilters"):]
+    assert "2024-01-02" in scan.splitlines()[0] and "2024-01-03" not in scan.splitlines()[0]
+    assert "ReadSchema: struct<station:string,timestamp:timestamp>" in plan
+
+
 def test_dataset_by_day(spark, hours):
     path = new_path(spark, "daily")
     writers.write_dataset(hours([("a", h, 1.0) for h in range(50)]), path)
