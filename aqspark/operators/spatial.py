@@ -14,14 +14,27 @@ def _cells_per_circle(km: float) -> int:
     return int(360 / max(km / 100.0, 0.05))
 
 
+# points of a cell that meet their places in one part
+CROWD = 20_000
+# cells of a grid of which those with many points may be broadcast
+MOST_CELLS = 200_000
+
+
+def crowded_cells(cells: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(_row, _col, _parts): the cells of more than ``crowd`` points, and into how many parts of that size they split."""
+    counts = cells.groupBy("_row", "_col").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd)
+    return counts.select("_row", "_col", F.ceil(F.col("_n") / crowd).cast("int").alias("_parts"))
+
+
 def radius_join(places: DataFrame, points: DataFrame, km: float, strict=False,
                 lat="lat", lon="lon", p_lat="latitude", p_lon="longitude",
-                salts: int = 8) -> DataFrame:
+                salts: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Every (place, point) pair at most ``km`` apart, with ``distance_km``.
 
     A point lies in one cell and a place lists each cell its circle touches once, so
-    no pair comes twice. The points of one cell are spread over ``salts`` tasks; the
-    places, the side that is copied for it, are the smaller table by far.
+    no pair comes twice. Cells are counted first: one with more than ``crowd`` points is split into parts of about
+    that many, and only the places near it are copied for each part. A stream can't be counted, its cells are split into
+    8 parts each; ``salts`` sets another fixed number.
     """
     columns = _cells_per_circle(km)
     size = 360.0 / columns
@@ -41,13 +54,21 @@ def radius_join(places: DataFrame, points: DataFrame, km: float, strict=False,
     near = (places.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
             .withColumn("_width", width)
             .withColumn("_row", F.explode(rows))
-            .withColumn("_col", F.explode(cols))
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+            .withColumn("_col", F.explode(cols)))
     located = (points.filter(F.col(p_lat).isNotNull() & F.col(p_lon).isNotNull())
                .withColumn("_row", cell(F.col(p_lat)))
-               .withColumn("_col", F.pmod(cell(F.col(p_lon)), F.lit(columns)))
-               .withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts))
-                           .cast("int")))
+               .withColumn("_col", F.pmod(cell(F.col(p_lon)), F.lit(columns))))
+    if salts is None and not points.isStreaming:
+        crowded = crowded_cells(located, crowd)
+        # no more rows than the grid has cells
+        if columns * columns // 2 <= MOST_CELLS:
+            crowded = F.broadcast(crowded)
+        near, located = (side.join(crowded, ["_row", "_col"], "left")
+                         .withColumn("_parts", F.coalesce("_parts", F.lit(1))) for side in (near, located))
+    else:
+        near, located = (side.withColumn("_parts", F.lit(salts or 8)) for side in (near, located))
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    located = located.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.col("_parts")).cast("int")).drop("_parts")
     # the box of the circle is cheap to test, and two thirds of the candidates miss it
     apart = F.abs(F.col(p_lon) - F.col(lon))
     in_box = ((F.abs(F.col(p_lat) - F.col(lat)) <= reach)

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from aqspark.operators import spatial
 
@@ -67,3 +68,32 @@ def test_nearest_city_cutoff_and_ties(spark):
     got = {r.station: r.city for r in spatial.nearest_join(points, refs).collect()}
     assert got == {"0.0": "first", "79.0": "first", "80.5": "first", "81.5": "Unknown",
                    "none": None}
+
+
+def test_crowded_cells_are_split_by_their_counts(spark):
+    rng = random.Random(9)
+    # nine points of ten lie in one cell of the grid of 300 km
+    points = [(i, 21.5 + rng.uniform(-.4, .4), 75.5 + rng.uniform(-.4, .4)) for i in range(4500)]
+    points += [(4500 + i, rng.uniform(10, 35), rng.uniform(65, 95)) for i in range(500)]
+    places = [(f"p{i}", rng.uniform(18, 25), rng.uniform(72, 79)) for i in range(12)]
+    near = spark.createDataFrame(places, "station string, lat double, lon double")
+    table = spark.createDataFrame(points, "i int, latitude double, longitude double")
+    cells = table.selectExpr("floor(latitude / 3) AS _row", "floor(longitude / 3) AS _col")
+    parts = {(r["_row"], r["_col"]): r["_parts"] for r in spatial.crowded_cells(cells, 300).collect()}
+    assert len(parts) == 1 and next(iter(parts.values())) >= 15
+    found = {salts: sorted((r.station, r.i) for r in spatial.radius_join(near, table, 300, salts=salts, crowd=crowd).collect())
+             for salts, crowd in ((None, 300), (1, 300), (3, 300))}
+    assert found[None] == found[1] == found[3]
+    assert found[None] == sorted((p[0], q[0]) for p in places for q in points if km(p[1], p[2], q[1], q[2]) <= 300)
+
+
+def test_no_task_of_the_join_holds_a_crowded_cell(spark):
+    """The rows of each part, as the join deals them, before any pair is made."""
+    table = spark.range(50_000).selectExpr("id AS i", "21.5 + id % 7 / 100 AS latitude", "75.5 + id % 11 / 100 AS longitude")
+    cells = table.selectExpr("i", "floor(latitude / 3) AS _row", "floor(longitude / 3) AS _col", "latitude", "longitude")
+    (cell,) = spatial.crowded_cells(cells, 2000).collect()
+    assert cell["_parts"] == 25
+    sizes = [r["count"] for r in table.groupBy(F.pmod(F.xxhash64("i", "latitude", "longitude"), F.lit(cell["_parts"]))).count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 1.2 * 2000
+    one = spark.createDataFrame([("a", 21.5, 75.5)], "station string, lat double, lon double")
+    assert spatial.radius_join(one, table, 300, crowd=2000).count() == 50_000
