@@ -126,6 +126,12 @@ def test_registry_history_and_bounded_dataset(spark, tmp_path):
     build_history.run(spark, build_history.arguments([
         "--archive", str(tmp_path / "archive"), "--registry", f"{reg}/registry", "--out", out]))
     assert [(r.location_id, r.pm25) for r in spark.read.parquet(out).collect()] == [(1, 12.0)]
+    # hours at hand stay as they are, others are added
+    path.write_bytes(gzip.compress(b"utc,value\n2023-12-31T05:00:00Z,99\n2023-12-31T06:00:00Z,14\n"))
+    for _ in range(2):
+        build_history.run(spark, build_history.arguments([
+            "--archive", str(tmp_path / "archive"), "--registry", f"{reg}/registry", "--out", out, "--append"]))
+    assert sorted(r.pm25 for r in spark.read.parquet(out).collect()) == [12.0, 14.0]
 
     articles = lines("n", {"articles": [{"title": "Dust storm over Delhi", "publishedAt": "2024-01-06T05:10:00Z"}]})
     gases = lines("g", {**readings(400, location_id=1), "parameter": {"name": "no2"}})
