@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aqspark.jobs import (
-    build_dataset, build_history, build_registry, evaluate, prepare_learning, score_dataset, score_live, stream_live)
+    build_dataset, build_history, build_news, build_registry, evaluate, prepare_learning, score_dataset, score_live, stream_live)
 from aqspark.operators.blocks import block_examples
 from aqspark.plans.linear import read_linear
 from aqspark.sources import schemas
@@ -145,3 +145,25 @@ def test_registry_history_and_bounded_dataset(spark, tmp_path):
         F.max("no2").alias("no2"), F.max("news_dust_storm").alias("dust"), F.count("*").alias("n")).collect()}
     assert sorted(r.no2 for r in by_station.values()) == [0.0, 56.0]
     assert all(r.dust > 0 for r in by_station.values())
+
+
+def test_news_and_calendar_tables(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.json").write_text(json.dumps({"articles": [
+        {"title": "Dust storm over Delhi", "publishedAt": "2024-01-06T05:10:00Z"}]}))
+    out, plain = str(tmp_path / "news"), str(tmp_path / "calendar")
+    days = ["--start", "2024-01-06", "--end", "2024-01-07"]
+    build_news.run(spark, build_news.arguments([*days, "--articles", str(tmp_path / "n"), "--out", out]))
+    news = spark.read.parquet(out)
+    cities = news.select("city").distinct().count()
+    assert cities > 1 and news.count() == cities * 48
+    (row,) = news.filter("news_dust_storm > 0").collect()
+    assert (row.city, row.timestamp) == ("Delhi", datetime(2024, 1, 6, 5))
+    # one more day, and the same again
+    for _ in range(2):
+        build_news.run(spark, build_news.arguments([
+            "--start", "2024-01-06", "--end", "2024-01-08", "--articles", str(tmp_path / "n"), "--out", out, "--append"]))
+    assert spark.read.parquet(out).count() == cities * 72
+    build_news.run(spark, build_news.arguments([*days, "--out", plain]))
+    table = spark.read.parquet(plain)
+    assert table.count() == cities * 48 and set(news.columns) == set(table.columns)
