@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from aqspark.llm import queries as Q
 from aqspark.llm import toxicity as X
 from aqspark.llm.queries import op5_toxicity
 
@@ -73,3 +74,40 @@ def test_held_out_documents(spark):
     toxic = [r["predicted"] for r in rows if r["toxic"]]
     clean = [r["predicted"] for r in rows if not r["toxic"]]
     assert np.mean(toxic) > 0.95 and np.mean(clean) < 0.01
+
+
+def plain_score(model, text):
+    """Noisy-or over sentences, word by word."""
+    sentences, own, length = [], [], 0
+    for token in X.TOKEN.findall((text or "").lower()):
+        if X.is_end(token):
+            sentences.append(own)
+            own, length = [], 0
+            continue
+        if length == X.LONGEST:
+            sentences.append(own)
+            own, length = [], 0
+        own.append(token)
+        length += 1
+    clean = 1.0
+    for own in [*sentences, own]:
+        if own:
+            z = model.bias + sum(model.weights[f] for token in own for f in X.word_features(token))
+            clean *= 1 / (1 + np.exp(z))
+    return 1 - clean
+
+
+def test_query_equals_plain_noisy_or(spark, monkeypatch):
+    models, learn = [], Q.learn_toxicity
+    monkeypatch.setattr(Q, "learn_toxicity", lambda rows: (models.append(learn(rows)), models[-1])[1])
+    folder = "/root/testdata/sf0.01"
+    found = {r["doc_id"]: r for r in Q.op5_toxicity(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(found) == len(docs)
+    assert np.count_nonzero(models[0].weights)
+    for doc in docs:
+        row, want = found[doc["doc_id"]], plain_score(models[0], doc["text"])
+        assert abs(row["score"] - want) < 1e-9
+        assert row["predicted"] == int(row["score"] >= 0.3)
+        # sentences at fault are told only where the document is
+        assert bool(row["offending"]) <= bool(row["predicted"])
