@@ -9,6 +9,7 @@ from aqspark.functions.scalars import scaled, unscaled
 SKETCH = 10_000          # a sketch quantile is off by at most 1 / SKETCH of the rows
 MARGIN = 3 / SKETCH
 SLOTS = 1024             # a bracket's values are counted in so many slots before any are ranked
+CUTS = 15                # values that divide a bracket into parts of about equal count, where they are known
 
 
 def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> DataFrame:
@@ -24,10 +25,18 @@ def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> Dat
     sketch = long.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx(value, marks, SKETCH).alias("_marks"))
-    bounds = sketch.select(key, "_n", "_marks")
+    return quantiles_within(long, sketch, probs, key, value).drop("sure")
 
+
+def quantiles_within(long: DataFrame, bounds: DataFrame, probs, key="feature", value="value") -> DataFrame:
+    """(key, p, quantile, sure) in one pass over the values, given brackets of the quantiles.
+
+    ``bounds`` holds per key the number of values ``_n`` and the brackets ``_marks`` (low and high per quantile); where it
+    has ``_cuts`` (values that divide each bracket into parts of about equal count), slots follow them. A quantile is
+    ``sure`` if its rank lies in its bracket or next to it and ``_n`` is right; otherwise it may be wrong.
+    """
     # one row per key, and keys are columns of a table: always small
-    placed = long.join(F.broadcast(bounds), key)
+    placed = long.join(F.broadcast(bounds.select(key, "_n", "_marks")), key)
     # per quantile: below (-1), inside (0) or above (1) its bracket
     sides = F.array(*[
         F.when(F.col(value) < F.col("_marks")[2 * i], -1)
@@ -40,11 +49,14 @@ def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> Dat
                   F.max(value).alias("_max")))
     each = zones.select(key, "_n", "_v", "_c", "_min", "_max", "_marks",
                         F.posexplode("_sides").alias("_i", "side"))
-    # a bracket is cut into slots of equal width; what lies outside is one slot on each side
+    # a bracket is cut into slots; what lies outside is one slot on each side
     low, high = F.col("_marks")[2 * F.col("_i")], F.col("_marks")[2 * F.col("_i") + 1]
-    place = F.when(high > low, (F.col("_v") - low) / (high - low)).otherwise(0.0)
-    slot = F.when(F.col("side") < 0, -1).when(F.col("side") > 0, SLOTS).otherwise(
-        F.least(F.floor(place * SLOTS), F.lit(SLOTS - 1))).cast("int")
+    if "_cuts" in bounds.columns:
+        each = each.join(F.broadcast(bounds.select(key, "_cuts")), key)
+        inner = _slot_by_cuts(F.col("_v"), low, F.col("_cuts")[F.col("_i")], high)
+    else:
+        inner = _slot_by_width(F.col("_v"), low, high, SLOTS)
+    slot = F.when(F.col("side") < 0, -1).when(F.col("side") > 0, SLOTS).otherwise(inner).cast("int")
     counted = (each.withColumn("_slot", slot)
                .groupBy(key, "_n", "_i", "_slot",
                         F.when(F.col("side") == 0, F.col("_v")).alias("_v"))
@@ -58,6 +70,7 @@ def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> Dat
     upto = Window.partitionBy(key, "p", "rank").orderBy("_slot")
     slots = (counted.groupBy(key, "p", "rank", "_slot").agg(F.sum("_c").alias("_in"))
              .withColumn("_start", F.sum("_in").over(upto) - F.col("_in"))
+             .withColumn("_all", F.sum("_in").over(Window.partitionBy(key, "p", "rank")))
              .filter((F.col("_start") <= F.ceil("rank"))
                      & (F.floor("rank") < F.col("_start") + F.col("_in"))))
     # only the values of these slots are ranked
@@ -69,14 +82,31 @@ def exact_quantiles(long: DataFrame, probs, key="feature", value="value") -> Dat
     def at(rank):
         return F.min(F.when(F.col("_cum") > rank, F.struct("_slot", "_v")))["_v"]
 
+    # of what lies outside, only the value next to the bracket is known
+    known = (F.when(F.col("_slot") < 0, F.floor("rank") >= F.col("_start") + F.col("_in") - 1)
+             .when(F.col("_slot") == SLOTS, F.ceil("rank") <= F.col("_start")).otherwise(True))
     found = ranked.groupBy(key, "p", "rank").agg(
-        at(F.floor("rank")).alias("_low"), at(F.ceil("rank")).alias("_high"))
+        at(F.floor("rank")).alias("_low"), at(F.ceil("rank")).alias("_high"),
+        F.min(known & (F.col("_all") == F.col("_n"))).alias("sure"))
     share = F.col("rank") - F.floor("rank")
     return found.select(
-        key, "p", (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"))
+        key, "p", (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"), "sure")
+
+
+def _slot_by_width(v, low, high, slots):
+    place = F.when(high > low, (v - low) / (high - low)).otherwise(0.0)
+    return F.least(F.floor(place * slots), F.lit(slots - 1))
+
+
+def _slot_by_cuts(v, low, cuts, high):
+    """Parts between the cuts, each of them cut into slots of equal width."""
+    edges = F.concat(F.array(low), cuts, F.array(high))
+    width = SLOTS // (CUTS + 1)
+    part = F.least(F.size(F.filter(edges, lambda edge: edge <= v)), F.lit(CUTS + 1)) - 1
+    return part * width + _slot_by_width(v, edges[part], edges[part + 1], width)
 
 
-def _center_scale(quantiles: DataFrame) -> DataFrame:
+def center_scale(quantiles: DataFrame) -> DataFrame:
     def q(p):
         return F.max(F.when(F.col("p") == p, F.col("quantile")))
     spread = q(0.75) - q(0.25)
@@ -102,10 +132,10 @@ def fit_robust_pooled(df: DataFrame, targets=fixed.TARGETS, name="target",
 def _quantile_params(long, approx):
     probs = [0.25, 0.5, 0.75]
     if not approx:
-        return _center_scale(exact_quantiles(long, probs))
+        return center_scale(exact_quantiles(long, probs))
     rough = long.filter(F.col("value").isNotNull()).groupBy("feature").agg(
         F.percentile_approx("value", probs, SKETCH).alias("q"))
-    return _center_scale(rough.select("feature", F.explode(F.array(*[
+    return center_scale(rough.select("feature", F.explode(F.array(*[
         F.struct(F.lit(p).alias("p"), F.col("q")[i].alias("quantile"))
         for i, p in enumerate(probs)])).alias("_q")).select("feature", "_q.*"))
 

@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from aqspark.operators import aggregate, metrics, scaling
+from aqspark.operators import aggregate, metrics, scaling, sketches
 from aqspark.operators.spatial import fire_hourly
 from aqspark.operators.windows import add_targets
 from aqspark.plans.learning import naive
 from aqspark.plans.news import article_counts, matched_articles
 from aqspark.queries.base import haversine_sql, query
 from aqspark.queries.scalars import PLACES, TERMS, mention_sql
+from aqspark.sources.writers import write_dataset
+from aqspark.storage import new_path
 
 
 @query("a01_hourly_mean", "station:s timestamp:t pm25:f", views="hourly",
@@ -139,6 +141,29 @@ def robust(t):
     return scaling.fit_robust(t.table("lineitem").withColumn("flat", flat), SCALED + ["flat"])
 
 
+# hours that arrive in a second delivery: the end of each month, and one station's hours of a day stored before
+LATE = "(day(timestamp) > 20 OR (day(timestamp) = 5 AND station = 'st_0'))"
+
+
+@query("a09_stored_scales", "feature:s center:f scale:f days_read:i", views="hourly",
+       sql="SELECT s.*, d.days_read FROM (" + " UNION ALL ".join(
+           params_sql(name, value, "hourly") for name, value in
+           (("pm25", "pm25"), ("hour", "CAST(hour(timestamp) AS DOUBLE)")))
+       + f""") s, (SELECT count(DISTINCT CAST(timestamp AS DATE)) AS days_read FROM hourly
+  WHERE {LATE}) d""")
+def stored_scales(t):
+    """Sketches of a first delivery are stored; after the second, only the days it touches are read for new ones."""
+    path, stored, cols = new_path(t.spark, "days"), new_path(t.spark, "sketches"), ["pm25", "hour"]
+    hourly = t.hourly().withColumn("hour", F.hour("timestamp").cast("double"))
+    write_dataset(hourly.filter(f"NOT {LATE}"), path)
+    sketches.refresh(t.spark.read.parquet(path), stored, cols)
+    write_dataset(hourly.filter(LATE), path, mode="append")
+    rows = t.spark.read.parquet(path)
+    days = sketches.refresh(rows, stored, cols)
+    found = sketches.stored_scales(rows, sketches.read_sketches(t.spark, stored), cols)
+    return found.withColumn("days_read", F.lit(len(days)))
+
+
 @query("a10_pooled_params", "feature:s center:f scale:f", views="hourly",
        sql=params_sql("target", "v", "(SELECT unnest([" + ", ".join(
            f"lead(pm25, {h}) OVER (PARTITION BY station ORDER BY timestamp)"
