@@ -97,3 +97,41 @@ def test_no_task_of_the_join_holds_a_crowded_cell(spark):
     assert len(sizes) == 25 and max(sizes) < 1.2 * 2000
     one = spark.createDataFrame([("a", 21.5, 75.5)], "station string, lat double, lon double")
     assert spatial.radius_join(one, table, 300, crowd=2000).count() == 50_000
+
+
+def fire_table(spark, rows):
+    return spark.createDataFrame(rows, "hour int, latitude double, longitude double, frp double, bright_ti4 double, bright_ti5 double").selectExpr(
+        "timestamp_seconds(hour * 3600 + 60) AS timestamp", "* EXCEPT (hour)")
+
+
+def test_stations_of_one_place_meet_fires_once(spark):
+    """Forty stations of one place are one site; lists of places, repeated rows and null names count as they come."""
+    rows = [(f"s{i}", 21.0, 75.0) for i in range(40)]
+    rows += [("two", 21.0, 75.0), ("two", 30.0, 80.0), ("twice", 21.0, 75.0), ("twice", 21.0, 75.0), (None, 21.0, 75.0), ("lost", None, 75.0)]
+    stations = spark.createDataFrame(rows, "station string, lat double, lon double")
+    sites, members = spatial.shared_sites(stations)
+    assert sites.count() == 4 and members.count() == 43
+    fires = fire_table(spark, [(0, 21.1, 75.0, 2.0, 300.0, None), (0, 21.2, 75.1, 4.0, 310.0, 290.0), (1, 30.0, 80.1, 8.0, 320.0, 280.0),
+                               (1, 50.0, 10.0, 1.0, 300.0, 280.0)])
+    spots = fires.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
+    assert spatial.site_hours(sites, spots, 300).count() == 2 + (2 + 1) + 2
+    got = {(r.station, r.timestamp.hour): r for r in spatial.fire_hourly(stations, fires).collect()}
+    assert set(got) == {(s, 0) for s in [*(f"s{i}" for i in range(40)), "two", "twice", None]} | {("two", 1)}
+    for name, n in (("s7", 2), ("two", 2), ("twice", 4), (None, 2)):
+        row = got[name, 0]
+        assert (row.fire_count, row.frp_sum, row.frp_mean, row.frp_max) == (n, 3.0 * n, 3.0, 4.0)
+        assert (row.bright_ti4_mean, row.bright_ti5_mean) == (305.0, 290.0)
+    assert (got["two", 1].fire_count, got["two", 1].frp_sum) == (1, 8.0)
+
+
+@pytest.mark.parametrize("crowd", [spatial.CROWD, 5])
+def test_pairs_of_a_site_and_hour_meet_in_one_task(spark, crowd):
+    rng = random.Random(3)
+    places = [(f"p{i}", rng.uniform(10, 35), rng.uniform(65, 95)) for i in range(60)]
+    points = [(h, rng.uniform(10, 35), rng.uniform(65, 95), 1.0, None, None) for h in range(10) for _ in range(80)]
+    sites, members = spatial.shared_sites(spark.createDataFrame(places, "station string, lat double, lon double"))
+    spots = fire_table(spark, points)
+    pairs = spatial.site_hours(sites, spots, 300, crowd=crowd).withColumn("task", F.spark_partition_id())
+    assert pairs.count() == sum(km(p[1], p[2], q[1], q[2]) <= 300 for p in places for q in points)
+    if crowd == spatial.CROWD:
+        assert pairs.groupBy("_site", "timestamp").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
