@@ -193,3 +193,26 @@ def test_readings_are_added_up_before_they_travel(spark, feed):
     batch = spark.read.schema(schemas.READINGS).parquet(feed.path)
     rows = station_state.hour_sums(batch).collect()
     assert sorted((r.hour - 473352, r.total, r.n) for r in rows) == [(0, 120.0, 60), (1, 120.0, 60)]
+
+
+def test_fire_hours_of_one_place_are_kept_once(spark):
+    """Late detections count until their hour is closed, and the state holds places, not stations."""
+    path, out, state = (new_path(spark, n) for n in ("in", "out", "state"))
+    stations = spark.createDataFrame([(f"s{i}", 21.0, 75.0) for i in range(30)], "station string, lat double, lon double")
+
+    def add(rows):
+        spark.createDataFrame([(START + timedelta(minutes=m), 21.1, 75.0, v, 300.0, None) for m, v in rows],
+                              schemas.FIRE_EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+    add([(10, 2.0), (70, 1.0)])
+    add([(20, 4.0), (600, 1.0)])
+    add([(30, 8.0), (1200, 1.0)])
+    add([(40, 16.0), (1800, 1.0)])
+    fires = stream_readings(spark, path, schemas.FIRE_EVENTS, files_per_trigger=1)
+    query = (streams.stream_fire_hours(fires, stations).writeStream.format("parquet").option("checkpointLocation", state)
+             .trigger(availableNow=True).start(out))
+    query.awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert len(got) == 120
+    assert {(r.timestamp.hour, r.fire_count, r.frp_sum) for r in got} == {(0, 3, 14.0), (1, 1, 1.0), (10, 1, 1.0), (20, 1, 1.0)}
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 4
