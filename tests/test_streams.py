@@ -2,11 +2,14 @@
 
 import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
 from aqspark.plans import features, forecast
+from aqspark.queries import streams as stream_queries
 from aqspark.sources import schemas
 from aqspark.sources.readers import stream_readings
 from aqspark.storage import new_path
@@ -216,3 +219,26 @@ def test_fire_hours_of_one_place_are_kept_once(spark):
     assert len(got) == 120
     assert {(r.timestamp.hour, r.fire_count, r.frp_sum) for r in got} == {(0, 3, 14.0), (1, 1, 1.0), (10, 1, 1.0), (20, 1, 1.0)}
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 4
+
+
+@pytest.mark.parametrize("bytes_", [64 << 20, 3000])
+def test_a_large_file_lands_in_parts_that_come_together(spark, monkeypatch, bytes_):
+    """Every batch has the rows of its file, all of them and in order, however many parts they lie in; the last file may be small."""
+    monkeypatch.setattr(stream_queries, "LANDED_BYTES", bytes_)
+    # the second quarter of the time has few rows
+    table = spark.range(4000).where("id % 4000 NOT BETWEEN 1000 AND 1995").selectExpr(
+        "id AS sensor_id", "concat('s', id % 7) AS station", "timestamp_seconds(id * 60) AS ts", "rand(1) AS pm25")
+    landed = stream_queries.Delivery("raw", "sensor_id").land(SimpleNamespace(spark=spark), table, schemas.READINGS)
+    seen = {}
+
+    def keep(rows, batch_id):
+        found = rows.select("sensor_id", F.input_file_name().alias("file")).collect()
+        seen[batch_id] = ({r.sensor_id for r in found}, len({r.file for r in found}))
+
+    landed.writeStream.foreachBatch(keep).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    want = {n: set() for n in range(4)}
+    for i in (r.sensor_id for r in table.collect()):
+        want[min(3, i * 60 * 4 // (3999 * 60 + 1) + max(0, i % 10 - 6))].add(i)
+    assert {n: ids for n, (ids, _) in seen.items()} == want
+    files = [n for _, n in seen.values()]
+    assert files == [1] * 4 if bytes_ > 3000 else max(files) > 1
