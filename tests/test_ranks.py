@@ -95,6 +95,25 @@ def test_few_values_are_ranked_in_one_task(spark):
     assert max(r["count"] for r in inside.collect()) < 100
 
 
+def test_quantiles_of_columns(spark):
+    """Only values inside the brackets become rows; unknown ones do not count, NaN is above all, columns of one feature are pooled."""
+    n = 40_000
+    df = spark.range(n, numPartitions=3).select(
+        (F.rand(7) * 100).alias("a"), F.when(F.col("id") % 4 != 0, F.lit(2.5)).alias("b"),
+        F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise(-F.rand(8)).alias("c"), F.lit(None).cast("double").alias("d")).cache()
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for names in (["a", "b", "c", "d"], ["one", "one", "c", "d"]):
+        long = scaling._long(df, names)
+        want = {(r.feature, r.p): r.quantile for r in scaling.exact_quantiles(long, probs).collect()}
+        got = {(r.feature, r.p): r.quantile for r in scaling.column_quantiles(df, names, probs).collect()}
+        assert {k for k, _ in got} == set(names) - {"d"}
+        np.testing.assert_equal(got, want)
+    bounds = scaling._brackets(scaling._long(df, ["a", "b", "c", "d"]).filter("value is not null"), probs, "feature", "value")
+    zones = scaling.column_zones(df, ["a", "b", "c", "d"], bounds)
+    assert zones.agg(F.sum("_c")).first()[0] == 2 * n + n * 3 // 4
+    assert zones.count() < n * 2 * len(probs) * 2 * scaling.MARGIN + 50
+
+
 def test_samples_keep_whole_buckets_and_part_of_one(spark, hours):
     df = hours([(f"s{i}", h, float(i)) for i in range(20) for h in range(50)])
     for n in (1, 37, 999, 1000, 5000):
