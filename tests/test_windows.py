@@ -119,6 +119,10 @@ def test_blocks_hold_the_same_examples(hours, gap):
     rows = [sorted(map(tuple, x.select("station", "timestamp", "row", "x", "y").collect())) for x in (got, want)]
     assert rows[0] == rows[1] and len(rows[0]) == sum(max(0, n - 95) for n in sizes.values())
     assert found.selectExpr("max(size(times))").first()[0] <= 90 + 72
+    digest = lambda x, y: {"first": x[:, 0, 1], "total": x.sum(axis=(1, 2)).astype(float), "y0": y[:, 0]}
+    cut = blocks.block_examples(found, gap=gap, each=(digest, "first float, total double, y0 float"))
+    assert cut.columns == ["station", "timestamp", "row", "first", "total", "y0"]
+    assert sorted(map(tuple, cut.collect())) == [(*r[:3], r[3][0][1], sum(v for row in r[3] for v in row), r[4][0]) for r in rows[1]]
     with pytest.raises(ValueError):
         blocks.sequence_blocks(df, ["pm25"], ["pm25"], block_rows=50)
 
