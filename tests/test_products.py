@@ -62,6 +62,14 @@ def test_column_unknown_everywhere_keeps_the_station(hours, sites):
     assert out.count() == 240 - 48 and out.agg(F.max("pm10")).first()[0] == 0.0
 
 
+def test_stations_with_few_complete_rows_are_left_out(hours, sites):
+    readings = hours(wave(260) + wave(259, "b"))
+    out = features.build_dataset(readings, sites, min_rows=260 - 48)
+    assert {tuple(r) for r in out.groupBy("station").count().collect()} == {("a", 260 - 48)}
+    both = features.build_dataset(readings, sites, min_rows=259 - 48)
+    assert both.count() == 260 + 259 - 96
+
+
 def test_live_window_precedence_of_news(hours, sites, spark):
     readings = hours(wave(90) + wave(11, "b"))
     news = hours([("a", 89, 0.7)], "news_calamity")

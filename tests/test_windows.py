@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aqspark.operators import blocks, windows
 from aqspark.operators.segments import split_segments
-from aqspark.storage import new_path
+from aqspark.storage import materialise, new_path
 
 ROWS = 40      # segments far smaller than the frames reach
 
@@ -89,6 +89,27 @@ def test_fill_forward_then_back(gappy):
         same(got.loc[part.index, "x"], part["x"].ffill().bfill().fillna(0))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_spread_by_segment_only(spark):
+    """Rows meet the segments, a table that is smaller by far, without being shuffled for it."""
+    rows = spark.range(20_000).selectExpr(
+        "concat('s', id % 10) AS station", "timestamp_seconds(1700000000 + (id div 10) * 3600) AS timestamp",
+        "IF(id % 3 = 0, CAST(id AS double), NULL) AS x", "rand(1) AS other")
+    rows = materialise(rows)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "60kb")
+    try:
+        for out in (windows.interpolate(rows, ["x"]), windows.fill_forward_back(rows, ["x"]), windows.add_lags(rows, "x")):
+            assert "_month" not in "".join(line for line in plan_of(out).splitlines() if "hashpartitioning" in line)
+            assert out.count() == 20_000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_nulls_at_head_middle_tail(hours):
     values = [None, None, 2.0, None, 6.0, None, None]
     df = hours([("a", h, v) for h, v in enumerate(values)])
