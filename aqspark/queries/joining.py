@@ -54,7 +54,7 @@ FIRES_ZEROED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in fixed.FIRE_MEASURES
 LEFT JOIN ({FIRE_HOURS.format(places='stations')}) f
   ON h.station = f.station AND h.timestamp = f.timestamp""")
 def fires(t):
-    return joins.join_fires(t.hourly(), spatial.fire_hourly(t.stations(), t.fires()))
+    return joins.join_fires(t.hourly(), spatial.fire_hourly(t.stations(), t.fires(), shared=True))
 
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -379,7 +379,7 @@ FEATURE_OUT = "station:s timestamp:t " + " ".join(f"{c}:f" for c in fixed.FEATUR
 @query("m03_features", FEATURE_OUT, views="hourly weather fires stations",
        sql=f"SELECT *, {NO_NEWS} FROM ({features_sql()})")
 def build_features(t):
-    hours = spatial.fire_hourly(t.stations(), t.fires())
+    hours = spatial.fire_hourly(t.stations(), t.fires(), shared=True)
     return features.build_features(t.hourly(), t.stations(), cell_weather(t), hours)
 
 

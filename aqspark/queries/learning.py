@@ -102,7 +102,7 @@ def write_forecast(t):
 
 def feature_rows(t):
     """All 59 features and 24 targets of the hours whose last target is known."""
-    hours = spatial.fire_hourly(t.stations(), t.fires())
+    hours = spatial.fire_hourly(t.stations(), t.fires(), shared=True)
     rows = features.build_features(t.hourly(), t.stations(), cell_weather(t), hours)
     return rows.dropna(subset=fixed.TARGETS)
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from aqspark.operators import spatial
+from aqspark.operators import joins, spatial
 
 
 def km(a, b, c, d):
@@ -135,3 +135,21 @@ def test_pairs_of_a_site_and_hour_meet_in_one_task(spark, crowd):
     assert pairs.count() == sum(km(p[1], p[2], q[1], q[2]) <= 300 for p in places for q in points)
     if crowd == spatial.CROWD:
         assert pairs.groupBy("_site", "timestamp").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
+
+
+def test_fires_are_joined_by_site(spark):
+    """Readings get what station rows would give them, from one row per site and hour; only hours asked for are summed."""
+    stations = spark.createDataFrame([(f"s{i}", 21.0, 75.0) for i in range(40)] + [("two", 21.0, 75.0), ("two", 30.0, 80.0), ("lost", None, 75.0)],
+                                     "station string, lat double, lon double")
+    fires = fire_table(spark, [(0, 21.1, 75.0, 2.0, 300.0, None), (0, 21.2, 75.1, 4.0, 310.0, 290.0), (1, 30.0, 80.1, 8.0, 320.0, 280.0)])
+    by_site = spatial.fire_hourly(stations, fires, shared=True)
+    assert by_site.sums.count() == 3 and by_site.members.count() == 41
+    readings = spark.createDataFrame([(s, h, 1.0) for s in ("s1", "s2", "two", "lost", "unknown", None) for h in (0, 1, 2)] + [("s1", 0, 2.0)],
+                                     "station string, hour int, pm25 double").selectExpr("station", "timestamp_seconds(hour * 3600) AS timestamp", "pm25")
+    wanted = joins.join_fires(readings, spatial.fire_hourly(stations, fires))
+    got = joins.join_fires(readings, by_site)
+    assert got.columns == wanted.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    late = readings.filter("hour(timestamp) = 1")
+    (one,) = spatial.fire_hourly(stations, fires, shared=True, hours=late).sums.collect()
+    assert (one.timestamp.hour, one.frp_sum) == (1, 8.0)
