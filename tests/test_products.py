@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
-from aqspark.operators import aggregate, metrics
+from aqspark.operators import aggregate, metrics, spatial
 from aqspark.operators.joins import join_news, news_for_station
+from aqspark.operators.windows import last_n
 from aqspark.plans import features, forecast, history, learning, linear, registry
 from aqspark.sources import dims
+from aqspark.storage import materialise
 
 SITES = "station string, lat double, lon double, city string"
 
@@ -81,6 +83,26 @@ def test_live_window_precedence_of_news(hours, sites, spark):
     assert (calendar.news_industrial_event == 0.05).all()
 
 
+def test_live_window_joins_only_the_rows_it_looks_at(hours, sites, spark, monkeypatch):
+    """Rows older than the window and its longest lag meet no weather, fires or news, and change nothing."""
+    stored = []
+
+    def keep(df):
+        stored.append(materialise(df))
+        return stored[-1]
+    monkeypatch.setattr(features, "materialise", keep)
+    readings = hours(wave(400) + wave(160, "b"))
+    fires = hours([("x", h, 5.0) for h in range(0, 400, 7)], "frp").select(
+        "timestamp", "frp", F.lit(28.0).alias("latitude"), F.lit(77.0).alias("longitude"), F.lit(300.0).alias("bright_ti4"), F.lit(280.0).alias("bright_ti5"))
+    live = features.live_window(readings, sites, fires=fires)
+    assert {r["station"]: r["count"] for r in stored[0].groupBy("station").count().collect()} == {"a": 144, "b": 144}
+    whole = features.build_features(readings, sites, fires=spatial.fire_hourly(sites, fires))
+    cols = ["station", "timestamp", "pm25_lag72", "pm25_rmean24", "pm25_rstd24", "pm25_trend6h", "fire_count", "frp_sum"]
+    newest = last_n(whole, 72).select(cols)
+    assert live.count() == 144 and live.filter("fire_count > 0").count() > 0
+    assert sorted(map(str, live.select(cols).collect())) == sorted(map(str, newest.collect()))
+
+
 def test_stored_news_gated_by_city(hours, sites, spark):
     rows = hours([("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 1.0)]).join(sites, "station").select(
         "station", "city", "timestamp", "lat")
