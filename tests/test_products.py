@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aqspark.functions import fixed
 from aqspark.operators import aggregate, metrics, spatial
 from aqspark.operators.joins import join_news, news_for_station
-from aqspark.operators.windows import last_n
+from aqspark.operators.windows import interpolate, last_n
 from aqspark.plans import features, forecast, history, learning, linear, registry
 from aqspark.sources import dims
 from aqspark.storage import materialise
@@ -103,6 +103,21 @@ def test_live_window_joins_only_the_rows_it_looks_at(hours, sites, spark, monkey
     assert sorted(map(str, live.select(cols).collect())) == sorted(map(str, newest.collect()))
 
 
+def test_live_window_repairs_only_columns_with_gaps(hours, sites, monkeypatch):
+    asked = []
+
+    def repair(df, cols, **options):
+        asked.append(list(cols))
+        return interpolate(df, cols, **options)
+    monkeypatch.setattr(features, "interpolate", repair)
+    whole = features.live_window(hours(wave(200)), sites)
+    assert asked == [] and whole.count() == 72
+    short = features.live_window(hours(wave(200) + wave(100, "b")), sites)
+    assert asked == [["pm25_lag48", "pm25_lag72"]]
+    assert short.schema == whole.schema and not short.toPandas().isna().any().any()
+    assert sorted(map(str, short.filter("station = 'a'").collect())) == sorted(map(str, whole.collect()))
+
+
 def test_stored_news_gated_by_city(hours, sites, spark):
     rows = hours([("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 1.0)]).join(sites, "station").select(
         "station", "city", "timestamp", "lat")
