@@ -104,20 +104,20 @@ def _solved(products, with_target, spread, penalty):
 
 
 def fit_linear(rows: DataFrame, horizons=range(1, fixed.HORIZONS + 1), features=fixed.FEATURES, max_iter=50, loss="huber",
-               ridge=0.01, tolerance=1e-6, epsilon=EPSILON) -> dict[int, LinearModel]:
+               ridge=0.01, tolerance=1e-6, epsilon=EPSILON, stored=False) -> dict[int, LinearModel]:
     """One linear model per horizon, on rows without nulls: robust, or by least squares with ``loss="squaredError"``.
 
     Minimized is the mean loss, halved, plus half of ``ridge`` times the squares of the coefficients of standardized features. One
     job fits all by least squares; the robust fit takes one more for each reweighting, up to ``max_iter`` or until nothing
-    moves by more than ``tolerance``.
+    moves by more than ``tolerance``. Every pass reads the rows, so they are written first, unless they are ``stored`` already.
     """
     horizons, features = list(horizons), list(features)
     targets = [f"target_{h}h" for h in horizons]
     # one test over an array: the optimizer would multiply out the tests of computed columns
     known = rows.select(F.array(*[F.col(c).cast("double") for c in [*features, *targets]]).alias("v")).filter(
         ~F.exists("v", lambda v: v.isNull() | F.isnan(v)))
-    # every pass reads this
-    table = materialise(known.select(*[F.col("v")[i].alias(f"c{i}") for i in range(len(features) + len(targets))]))
+    table = known.select(*[F.col("v")[i].alias(f"c{i}") for i in range(len(features) + len(targets))])
+    table = table if stored else materialise(table)
 
     size = len(features) + 1
     sums = plain_sums(table, len(features), len(targets))
@@ -149,8 +149,8 @@ def fit_linear(rows: DataFrame, horizons=range(1, fixed.HORIZONS + 1), features=
     return {h: LinearModel(t[1:], float(t[0]), float(s)) for h, t, s in zip(horizons, theta, scale, strict=True)}
 
 
-def predict_linear(models: dict[int, LinearModel], rows: DataFrame, features=fixed.FEATURES) -> DataFrame:
-    """Long pairs: all horizons are computed in one pass over the rows, as compiled sums."""
+def predict_linear(models: dict[int, LinearModel], rows: DataFrame, features=fixed.FEATURES, keep=()) -> DataFrame:
+    """Long pairs: all horizons are computed in one pass over the rows, as compiled sums. Columns to ``keep`` go with them."""
     def value(h):
         model = models[h]
         out = F.lit(float(model.intercept))
@@ -164,7 +164,7 @@ def predict_linear(models: dict[int, LinearModel], rows: DataFrame, features=fix
                                F.col(f"target_{h}h").cast("double").alias("y_true"),
                                F.col(f"_forecast_{h}").alias("y_pred")) for h in sorted(models)])
     named = rows.select("*", *[value(h).alias(f"_forecast_{h}") for h in sorted(models)])
-    return named.select("station", "timestamp", F.inline(steps))
+    return named.select("station", "timestamp", *keep, F.inline(steps))
 
 
 # --- kept models -----------------------------------------------------------------------------

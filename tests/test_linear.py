@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from aqspark.functions import fixed
+from aqspark.plans import linear
 from aqspark.plans.linear import fit_linear, linear_predictor, plain_sums, predict_linear, read_linear, write_linear
 from aqspark.storage import new_path
 
@@ -79,3 +80,20 @@ def test_kept_models_score_alike(spark, rows):
     pairs = {r["horizon"]: r["y_pred"] for r in predict_linear(models, rows.filter("i = 5"), NAMES).collect()}
     assert got[:2].tolist() == pytest.approx([pairs[1], pairs[2]], abs=1e-4)
     assert len(got) == fixed.HORIZONS and set(got[2:]) == {got[1]}
+
+
+def test_stored_rows_are_not_written_again_and_columns_go_with_the_pairs(rows, monkeypatch):
+    wanted = fit_linear(rows, [1, 2], NAMES)
+
+    def written(df):
+        raise AssertionError("written again")
+    monkeypatch.setattr(linear, "materialise", written)
+    models = fit_linear(rows, [1, 2], NAMES, stored=True)
+    for h in (1, 2):
+        assert models[h].coefficients.tolist() == pytest.approx(wanted[h].coefficients.tolist())
+    known = rows.dropna()
+    pairs = predict_linear(models, known, NAMES, keep=["b"])
+    assert pairs.columns == ["station", "timestamp", "b", "horizon", "y_true", "y_pred"]
+    plain = predict_linear(models, known, NAMES)
+    assert sorted(map(str, pairs.drop("b").collect())) == sorted(map(str, plain.collect()))
+    assert {(r["i"], r["b"]) for r in known.collect()} == {(int(r["timestamp"].timestamp()) // 3600, r["b"]) for r in pairs.collect()}
