@@ -221,6 +221,23 @@ def test_fire_hours_of_one_place_are_kept_once(spark):
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 4
 
 
+def test_no_rows_of_closed_hours_are_collected(spark, capsys):
+    """The batch that closes the last hours has no new rows, so it is planned as empty: its spots must not be broadcast for that."""
+    path, out, state = (new_path(spark, n) for n in ("in", "out", "state"))
+    stations = spark.createDataFrame([(f"s{i}", 21.0 + i / 50, 75.0) for i in range(30)], "station string, lat double, lon double")
+    spark.createDataFrame([(START + timedelta(minutes=m), 21.1 + m % 7 / 10, 75.0, 1.0, 300.0, None) for m in range(0, 1200, 5)],
+                          schemas.FIRE_EVENTS).coalesce(1).write.parquet(path)
+    fires = stream_readings(spark, path, schemas.FIRE_EVENTS, files_per_trigger=1)
+    query = (streams.stream_fire_hours(fires, stations).writeStream.format("parquet").option("checkpointLocation", state)
+             .trigger(availableNow=True).start(out))
+    query.awaitTermination()
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "StateStoreSave" in plan and "LocalTableScan <empty>" in plan and "Join" in plan
+    assert "BroadcastHashJoin" not in plan
+    assert spark.read.parquet(out).count() == 30 * 17
+
+
 @pytest.mark.parametrize("bytes_", [64 << 20, 3000])
 def test_a_large_file_lands_in_parts_that_come_together(spark, monkeypatch, bytes_):
     """Every batch has the rows of its file, all of them and in order, however many parts they lie in; the last file may be small."""
