@@ -1,5 +1,6 @@
 """Edges of the scalar expressions."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -135,3 +136,14 @@ def test_weights_sum_to_one():
     for kind, decay in (("exp", 0.04), ("power", 0.95)):
         weights = scalars.horizon_weights(kind, decay)
         assert sum(weights) == pytest.approx(1.0) and weights == sorted(weights, reverse=True)
+
+
+def test_round_half_up_is_round(spark):
+    """Ties, values next to ties, huge ones, nulls and NaN among many of all sizes."""
+    rng = random.Random(4)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 16) for _ in range(20_000)]
+    values += [round(rng.uniform(0, 300), 9) for _ in range(5_000)] + [(k + 0.5) / 10 ** 8 for k in range(5_000)]
+    values += [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 299.999999995, 2.5, -2.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 4, 8):
+        assert df.where(~scalars.round_half_up("x", digits).eqNullSafe(F.round("x", digits))).collect() == []

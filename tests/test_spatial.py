@@ -99,6 +99,27 @@ def test_no_task_of_the_join_holds_a_crowded_cell(spark):
     assert spatial.radius_join(one, table, 300, crowd=2000).count() == 50_000
 
 
+def test_tasks_follow_the_pairs(spark):
+    """Few bytes in one partition make many pairs, all in one cell; no task may make most of them."""
+    places = spark.range(0, 200, 1, 1).selectExpr("concat('p', id) AS station", "21.3 + id % 20 / 100 AS lat", "75.3 + id % 30 / 100 AS lon")
+    points = spark.range(0, 5000, 1, 1).selectExpr("id AS i", "21.5 + id % 70 / 1000 AS latitude", "75.5 + id % 110 / 1000 AS longitude")
+    made = [r["count"] for r in spatial.radius_join(places, points, 300).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 200 * 5000
+    assert len(made) >= 8 and max(made) < 0.3 * sum(made)
+
+
+@pytest.mark.parametrize("to", [(21.0, 75.0000001), (21.01, 75.02), (23.1, 76.9), (-60.0, 170.0)])
+def test_pairs_at_the_very_edge(spark, to):
+    """A pair whose distance is the radius itself counts, unless ``strict``; nulls and NaN never do."""
+    places = spark.createDataFrame([("a", 21.0, 75.0), ("none", None, 75.0), ("nan", float("nan"), 75.0)], "station string, lat double, lon double")
+    points = spark.createDataFrame([(1, *to), (2, None, 75.0), (3, float("nan"), float("nan"))], "i int, latitude double, longitude double")
+    (one,) = places.crossJoin(points).where("station = 'a' AND i = 1").select(
+        spatial.haversine_km("lat", "lon", "latitude", "longitude").alias("km")).collect()
+    for km_, strict, want in ((one.km, False, 1), (one.km, True, 0), (one.km * (1 - 1e-12), False, 0), (one.km * (1 + 1e-12), True, 1)):
+        got = spatial.radius_join(places, points, km_, strict=strict).select("station", "i", "distance_km").collect()
+        assert [tuple(r) for r in got] == [("a", 1, one.km)] * want
+
+
 def fire_table(spark, rows):
     return spark.createDataFrame(rows, "hour int, latitude double, longitude double, frp double, bright_ti4 double, bright_ti5 double").selectExpr(
         "timestamp_seconds(hour * 3600 + 60) AS timestamp", "* EXCEPT (hour)")
